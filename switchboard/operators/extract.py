@@ -12,7 +12,7 @@ creating an object is a call to its class. A definition is named ``path:<module>
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from switchboard.operators.skew import find_heavy_keys, skew_join
 from switchboard.schema import UNKNOWN_NAME
-from switchboard.sources.python_facts import FACT_COLUMNS, file_facts
+from switchboard.sources.python_facts import FACT_COLUMNS, MODULE, file_facts
 
 FACTS_SCHEMA = (
     "kind string, path string, ord int, line int, qualname string, name string, "
@@ -74,9 +74,14 @@ def write_facts(corpus: DataFrame, path: str) -> DataFrame:
     return corpus.sparkSession.read.schema(FACTS_SCHEMA).parquet(path)
 
 
-def extract(corpus: DataFrame, facts_path: str) -> CodeNodes:
-    """Nodes of a corpus; the facts table at ``facts_path`` is what they are computed from."""
-    return nodes_from_facts(write_facts(corpus, facts_path))
+def extract(corpus: DataFrame, work_path: str) -> CodeNodes:
+    """Nodes of a corpus. ``work_path`` gets the two tables that are used more than once: the
+    parsed facts and the resolved call targets."""
+    nodes = nodes_from_facts(write_facts(corpus, f"{work_path}/facts"))
+    targets_path = f"{work_path}/call_targets"
+    nodes.call_targets.write.mode("overwrite").parquet(targets_path)
+    stored = corpus.sparkSession.read.parquet(targets_path)
+    return replace(nodes, call_targets=stored)
 
 
 def _node_id(path: str, number: str) -> Column:
@@ -116,7 +121,7 @@ def nodes_from_facts(facts: DataFrame) -> CodeNodes:
         F.coalesce("written", F.lit(UNKNOWN_NAME)).alias("method_full_name"),
         F.col("line").alias("line_number"),
     )
-    # The join keys of calls determine the called name, so only names called very often can
+    # The keys calls are joined on end in the called name, so only names called very often can
     # make a key heavy.
     heavy = find_heavy_keys(facts.where(F.col("kind") == "call"), "name")
     errors = facts.where(F.col("kind") == "error").select("path", F.col("written").alias("error"))
@@ -126,14 +131,22 @@ def nodes_from_facts(facts: DataFrame) -> CodeNodes:
 
 
 def _last_definitions(definitions: DataFrame) -> DataFrame:
-    """One definition per full name; a later one replaces an earlier one, as in the source."""
+    """One definition per full name; a later one replaces an earlier one, as in the source.
+
+    ``def_key`` is the name it is called or imported by: for a module, that of its file.
+    """
+    module_path = F.regexp_replace(F.col("path"), r"(/__init__)?\.py$", "")
+    key = F.when(F.col("name") == MODULE, F.substring_index(module_path, "/", -1)).otherwise(
+        F.col("name")
+    )
     return definitions.groupBy(F.col("full_name").alias("def_name")).agg(
-        F.max_by("method_id", "ord").alias("callee_id"), F.first("name").alias("def_short")
+        F.max_by("method_id", "ord").alias("callee_id"), F.first(key).alias("def_key")
     )
 
 
 def _imported(facts: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(path, alias, target_name): the definition, class or module an import binds."""
+    """(import_path, alias, target_name, target_id): what an import binds, be it a function, a
+    class or a module."""
     folders = F.split(F.col("path"), "/")
     depth = F.size(folders) - 1
     module_path = F.replace(F.col("qualname"), F.lit("."), F.lit("/"))
@@ -168,24 +181,20 @@ def _imported(facts: DataFrame, definitions: DataFrame) -> DataFrame:
         "import_key",
         F.posexplode(F.flatten(F.transform(bases, candidates))).alias("rank", "candidate"),
     )
-    file_name = F.regexp_replace(F.col("path"), r"(/__init__)?\.py$", "")
-    is_module = F.col("name") == "<module>"
-    importable = definitions.select(
-        F.col("full_name").alias("def_name"),
-        F.when(is_module, F.substring_index(file_name, "/", -1))
-        .otherwise(F.col("name"))
-        .alias("def_key"),
-    ).distinct()
     found = skew_join(
         listed,
-        importable,
+        _last_definitions(definitions),
         on=("candidate", "def_name"),
         spread=["path", "alias"],
         heavy=find_heavy_keys(imports, "import_key"),
         heavy_on=("import_key", "def_key"),
     )
-    nearest = F.min_by("candidate", F.struct("rank", -F.col("ord"))).alias("target_name")
-    return found.groupBy(F.col("path").alias("import_path"), "alias").agg(nearest)
+    nearest = F.min_by(
+        F.struct(F.col("candidate").alias("target_name"), F.col("callee_id").alias("target_id")),
+        F.struct("rank", -F.col("ord")),
+    ).alias("target")
+    found = found.groupBy(F.col("path").alias("import_path"), "alias").agg(nearest)
+    return found.select("import_path", "alias", "target.*")
 
 
 # How a module path ends, as a file or as a package, in a full name.
@@ -201,34 +210,31 @@ def _visible_targets(
     ).select(
         "call_id", "name", "target_ord", F.concat_ws(":", "path", "lookup").alias("wanted")
     )
-    # "f()" was bound as f; "m.f()" is f inside whatever m was bound to.
-    prefix = F.substring_index(F.col("written"), ".", F.lit(-1))
-    dotted = F.col("written").contains(".")
-    bound = F.when(
-        dotted, F.substring("written", F.lit(1), F.length("written") - F.length(prefix) - 1)
-    ).otherwise(F.col("written"))
-    through_import = (
-        calls.withColumn("bound", bound)
-        .where(F.size("lookups") > 0)
-        .join(imported, (F.col("path") == F.col("import_path")) & (F.col("bound") == F.col("alias")))
-        .select(
-            "call_id",
-            "name",
-            F.lit(GUESSED - 1).alias("target_ord"),
-            F.when(dotted, F.concat_ws(".", "target_name", "name"))
-            .otherwise(F.col("target_name"))
-            .alias("wanted"),
-        )
+    # "f()" is what f was bound to; "m.f()" is f inside whatever m was bound to.
+    is_dotted = F.col("written").contains(".")
+    holder_length = F.length("written") - F.length("name") - 1
+    rooted = calls.where(F.size("lookups") > 0)
+    plain = rooted.where(~is_dotted).withColumn("bound", F.col("written"))
+    dotted = rooted.where(is_dotted).withColumn(
+        "bound", F.substring("written", F.lit(1), holder_length)
+    )
+    is_bound = (F.col("path") == F.col("import_path")) & (F.col("bound") == F.col("alias"))
+    through_import = F.lit(GUESSED - 1).alias("target_ord")
+    members = dotted.join(imported, is_bound).select(
+        "call_id", "name", through_import, F.concat_ws(".", "target_name", "name").alias("wanted")
     )
     found = skew_join(
-        same_file.unionByName(through_import),
+        same_file.unionByName(members),
         _last_definitions(definitions),
         on=("wanted", "def_name"),
         spread=["call_id"],
         heavy=heavy,
-        heavy_on=("name", "def_short"),
+        heavy_on=("name", "def_key"),
+    ).select("call_id", "target_ord", "callee_id")
+    bound_directly = plain.join(imported, is_bound).select(
+        "call_id", through_import, F.col("target_id").alias("callee_id")
     )
-    return found.select("call_id", "target_ord", "callee_id")
+    return found.unionByName(bound_directly)
 
 
 def _only_definition(
