@@ -11,31 +11,20 @@ creating an object is a call to its class. A definition is named ``path:<module>
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
-import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchboard.operators.skew import find_heavy_keys, skew_join
 from switchboard.schema import UNKNOWN_NAME
-from switchboard.sources.python_facts import FACT_COLUMNS, MODULE, file_facts
-
-FACTS_SCHEMA = (
-    "kind string, path string, ord int, line int, qualname string, name string, "
-    "written string, owner int, lookups array<string>, level int, may_guess boolean"
-)
-ARROW_TYPES = {
-    "ord": pa.int32(),
-    "line": pa.int32(),
-    "owner": pa.int32(),
-    "level": pa.int32(),
-    "lookups": pa.list_(pa.string()),
-    "may_guess": pa.bool_(),
-}
-ARROW_SCHEMA = pa.schema([(c, ARROW_TYPES.get(c, pa.string())) for c in FACT_COLUMNS])
-FACTS_PER_BATCH = 20_000
+from switchboard.sources import python_facts
+from switchboard.sources.python_facts import FACTS_SCHEMA, MODULE, read_facts
+
+# The parsing helper travels with the job, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(python_facts)
+
 # Rank of a target found by name alone, after any same-file or imported target.
 GUESSED = 1_000_000
 
@@ -48,25 +37,6 @@ class CodeNodes:
     errors: DataFrame
 
 
-def read_facts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pending: list[tuple] = []
-    for batch in batches:
-        paths, sources = batch.column("path"), batch.column("source")
-        for path, source in zip(paths, sources, strict=True):
-            pending.extend(file_facts(path.as_py(), source.as_py()))
-            if len(pending) >= FACTS_PER_BATCH:
-                yield _to_batch(pending)
-                pending = []
-    if pending:
-        yield _to_batch(pending)
-
-
-def _to_batch(facts: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*facts, strict=True)
-    arrays = [pa.array(c, f.type) for c, f in zip(columns, ARROW_SCHEMA, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, schema=ARROW_SCHEMA)
-
-
 def write_facts(corpus: DataFrame, path: str) -> DataFrame:
     """Parse every file once, keep the facts as a table by kind, and read it back."""
     facts = corpus.select("path", "source").mapInArrow(read_facts, FACTS_SCHEMA)

@@ -183,4 +183,6 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("docs/d"), _text("doc_id"), F.lit(".py")).alias("path"),
         F.concat(F.lit("(\n"), F.col("text")).alias("source"),
     )
-    return parts.unionByName(orders).unionByName(prose)
+    # The small tables come in one or two splits; parsing wants as many tasks as there are cores.
+    files = parts.unionByName(orders).unionByName(prose)
+    return files.repartition(spark.sparkContext.defaultParallelism, "path")

@@ -61,64 +61,74 @@ def _records(lines: DataFrame) -> DataFrame:
         F.col("seq.line").alias("line"),
         _odd_quotes().cast("int").alias("odd"),
     )
-    splits = lines.groupBy("file", "block").agg(
-        F.sum("odd").alias("odds"),
-    )
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    opened = splits.select(
+    in_split = Window.partitionBy("file", "block").orderBy("line")
+    up_to_here = in_split.rowsBetween(Window.unboundedPreceding, 0)
+    splits = _open_records(lines.drop("value"))
+    marked = lines.join(splits, ["file", "block"]).select(
+        "value",
         "file",
         "block",
-        (F.coalesce(F.sum("odds").over(earlier), F.lit(0)) % 2).alias("open"),
-    )
-
-    in_split = Window.partitionBy("file", "block").orderBy("line")
-    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
-    up_to = in_split.rowsBetween(Window.unboundedPreceding, 0)
-    inside = (F.col("open") + F.coalesce(F.sum("odd").over(before), F.lit(0))) % 2
-    marked = (
-        lines.join(opened, ["file", "block"])
-        .withColumn("inside", inside)
-        .withColumn("place", F.row_number().over(in_split))
-        .withColumn("start", F.last(F.when(F.col("inside") == 0, F.col("line")), True).over(up_to))
+        "line",
+        "odd",
+        "begun",
+        F.row_number().over(in_split).alias("place"),
+        ((F.col("open") + _flips_before()) % 2).alias("inside"),
     )
+    start = F.last(F.when(F.col("inside") == 0, F.col("line")), ignorenulls=True).over(up_to_here)
+    own = F.struct("block", start.alias("line"))
+    head = F.when(start.isNotNull(), own).otherwise(F.col("begun"))
     is_header = (F.col("block") == 0) & (F.col("place") == 1)
-    marked = marked.where(~is_header)
+    marked = marked.withColumn("head", head).where(~is_header)
 
-    one_line = (F.col("inside") == 0) & (F.col("odd") == 0)
-    whole = marked.where(one_line & (F.col("value") != "")).select(
+    is_whole = (F.col("inside") == 0) & (F.col("odd") == 0)
+    whole = marked.where(is_whole & (F.col("value") != "")).select(
         F.col("value").alias("record"), F.struct("file", "block", "line").alias("seq")
     )
-    return whole.unionByName(_stitched(marked.where(~one_line)))
+    # Only lines of longer records are brought together; a group is the lines of one record.
+    in_order = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
+    stitched = (
+        marked.where(~is_whole)
+        .groupBy("file", "head")
+        .agg(in_order.alias("pieces"))
+        .select(
+            F.array_join(F.col("pieces.value"), "\n").alias("record"),
+            F.struct("file", "head.block", "head.line").alias("seq"),
+        )
+    )
+    return whole.unionByName(stitched)
 
 
-def _stitched(pieces: DataFrame) -> DataFrame:
-    """Records of several lines. A group is the lines of one record."""
-    # A record that began in an earlier split: the last one that was open there.
-    still_open = (
-        pieces.where((F.col("inside") == 0) & (F.col("odd") == 1))
-        .groupBy("file", "block")
-        .agg(F.max("line").alias("last_start"))
+def _flips_before():
+    before = (
+        Window.partitionBy("file", "block")
+        .orderBy("line")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    splits = pieces.select("file", "block").distinct().join(still_open, ["file", "block"], "left")
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    begun = splits.select(
-        "file",
-        "block",
-        F.last(
-            F.when(F.col("last_start").isNotNull(), F.struct("block", "last_start")), True
-        ).over(earlier).alias("begun"),
-    )
-    own = F.struct(F.col("block"), F.col("start").alias("line"))
-    inherited = F.struct(F.col("begun.block"), F.col("begun.last_start").alias("line"))
-    keyed = pieces.join(begun, ["file", "block"]).withColumn(
-        "head", F.when(F.col("start").isNotNull(), own).otherwise(inherited)
-    )
-    pieces_in_order = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
-    return (
-        keyed.groupBy("file", "head")
-        .agg(pieces_in_order.alias("pieces"))
-        .select(
-            F.array_join(F.col("pieces.value"), "\n").alias("record"),
-            F.struct("file", F.col("head.block"), F.col("head.line")).alias("seq"),
+    return F.coalesce(F.sum("odd").over(before), F.lit(0))
+
+
+def _open_records(lines: DataFrame) -> DataFrame:
+    """(file, block, open, begun): whether a split starts inside a record, and where that began.
+
+    A split does not know by itself on which side of a quote it starts, so its last opening line
+    is noted for both cases and chosen once the splits before it are counted.
+    """
+    is_odd, flips = F.col("odd") == 1, F.col("flips") % 2
+    splits = (
+        lines.withColumn("flips", _flips_before())
+        .groupBy("file", "block")
+        .agg(
+            F.sum("odd").alias("odds"),
+            F.max(F.when(is_odd & (flips == 0), F.col("line"))).alias("opening_if_outside"),
+            F.max(F.when(is_odd & (flips == 1), F.col("line"))).alias("opening_if_inside"),
         )
     )
+    by_block = Window.partitionBy("file").orderBy("block")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("open", F.coalesce(F.sum("odds").over(earlier), F.lit(0)) % 2)
+    opening = F.when(F.col("open") == 0, F.col("opening_if_outside")).otherwise(
+        F.col("opening_if_inside")
+    )
+    place = F.when(opening.isNotNull(), F.struct("block", opening.alias("line")))
+    begun = F.last(place, ignorenulls=True).over(earlier)
+    return splits.select("file", "block", "open", begun.alias("begun"))
