@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def save_json(documents: DataFrame, path: str) -> None:
@@ -11,7 +12,7 @@ def save_json(documents: DataFrame, path: str) -> None:
 
 
 def load_json(
-    spark: SparkSession, path: str, schema: str | None = None, indented: bool = False
+    spark: SparkSession, path: str, schema: StructType | str | None = None, indented: bool = False
 ) -> DataFrame:
     """Read JSON objects; ``indented`` when each file is a single object over several lines.
 
