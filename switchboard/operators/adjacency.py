@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from switchboard.functions.names import is_usable_name
 from switchboard.operators.graph import CallGraph
-from switchboard.operators.skew import skew_join
+from switchboard.operators.skew import fits_broadcast, skew_join, split_join
 from switchboard.schema import UNRESOLVED_ID
 
 # Ids looked up by value instead of by join; a short value list reaches the scan as a filter.
@@ -30,11 +30,12 @@ def callers_all(graph: CallGraph, names: DataFrame | None = None) -> DataFrame:
         right_heavy=graph.heavy_method_ids,
         right_spread=["fn"],
     )
+    # The other end stays in the row, so that rows differ and a heavy caller can be spread.
     callers = skew_join(
-        named.select("fn", "caller_id"),
+        named.select("fn", "callee_id", "caller_id"),
         graph.methods.select("method_id", "full_name"),
         on=("caller_id", "method_id"),
-        spread=["fn"],
+        spread=["fn", "callee_id"],
         heavy=graph.heavy_callers,
     )
     return callers.select("fn", F.col("full_name").alias("caller")).distinct()
@@ -52,16 +53,17 @@ def callees_all(graph: CallGraph, names: DataFrame | None = None) -> DataFrame:
         right_heavy=graph.heavy_method_ids,
         right_spread=["fn"],
     )
-    return _callee_names(graph, named.select("fn", "callee_id", "callee_full_name"))
+    edges = named.select("fn", "caller_id", "callee_id", "callee_full_name")
+    return _callee_names(graph, edges, ["fn"])
 
 
-def _callee_names(graph: CallGraph, edges: DataFrame) -> DataFrame:
-    keys = [c for c in edges.columns if c not in ("callee_id", "callee_full_name")]
+def _callee_names(graph: CallGraph, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct (keys, callee) of distinct edges."""
     looked_up = skew_join(
         edges,
         graph.methods.select("method_id", "full_name"),
         on=("callee_id", "method_id"),
-        spread=[*keys, "callee_full_name"],
+        spread=edges.columns,
         how="left",
         heavy=graph.heavy_callees,
         cannot_match=F.col("callee_id") == UNRESOLVED_ID,
@@ -128,7 +130,7 @@ def callees_of(graph: CallGraph, function: str) -> DataFrame:
     """Names of what one function calls, ascending."""
     edges = _edges_of(graph, graph.out_edges, "caller_id", "callee_id", function)
     distinct = edges.select("callee_id", "callee_full_name").distinct()
-    return _callee_names(graph, distinct).orderBy("callee")
+    return _callee_names(graph, distinct, []).orderBy("callee")
 
 
 def _edges_of(graph: CallGraph, edges: DataFrame, key: str, other: str, function: str) -> DataFrame:
@@ -155,12 +157,18 @@ def calls_with_callee(graph: CallGraph) -> DataFrame:
 
 def _merge(graph: CallGraph, key: str, heavy: DataFrame | None) -> DataFrame:
     rows = graph.method_rows.drop("seq")
-    return skew_join(
-        graph.calls,
-        rows,
-        on=(key, "method_id"),
-        spread=graph.calls.columns,
-        heavy=heavy,
-        right_heavy=graph.heavy_method_ids,
-        right_spread=["full_name", "signature", "file"],
-    ).select(*rows.columns, *graph.calls.columns)
+    on = (key, "method_id")
+    if heavy is None or fits_broadcast(rows, "method_id", heavy):
+        # Call rows may be exact copies of each other, which no salt of theirs could separate.
+        merged = split_join(graph.calls, rows, on, heavy)
+    else:
+        merged = skew_join(
+            graph.calls,
+            rows,
+            on,
+            spread=graph.calls.columns,
+            heavy=heavy,
+            right_heavy=graph.heavy_method_ids,
+            right_spread=["full_name", "signature", "file"],
+        )
+    return merged.select(*rows.columns, *graph.calls.columns)

@@ -22,10 +22,11 @@ from switchboard.sources.tables import default_out_dir, read_calls, read_methods
 def method_map(method_rows: DataFrame) -> DataFrame:
     """One row per method id, the last in file order.
 
-    An aggregate rather than a window: repeats of an id collapse before the shuffle.
+    An aggregate rather than a window: repeats of an id collapse before the shuffle, and columns
+    a query does not use are never shuffled.
     """
-    last = F.max_by(F.struct("full_name", "signature", "file"), "seq").alias("last")
-    return method_rows.groupBy("method_id").agg(last).select("method_id", "last.*")
+    last = [F.max_by(c, "seq").alias(c) for c in ("full_name", "signature", "file")]
+    return method_rows.groupBy("method_id").agg(*last)
 
 
 def name_index(method_rows: DataFrame) -> DataFrame:
@@ -98,12 +99,18 @@ class CallGraph:
         return out_edges(self.calls)
 
     @cached_property
-    def call_count(self) -> int:
-        return self.calls.count()
+    def row_counts(self) -> tuple[int, int]:
+        """(method rows, call rows), in one job; for Parquet tables read from file footers."""
+        counts = [rows.agg(F.count("*")).scalar() for rows in (self.method_rows, self.calls)]
+        return tuple(self.spark.range(1).select(*counts).first())
 
-    @cached_property
+    @property
     def method_row_count(self) -> int:
-        return self.method_rows.count()
+        return self.row_counts[0]
+
+    @property
+    def call_count(self) -> int:
+        return self.row_counts[1]
 
     @cached_property
     def heavy_callees(self) -> DataFrame | None:

@@ -1,9 +1,16 @@
 """Equi-joins that stay balanced when a few keys hold a large share of the rows.
 
 A key is heavy when it holds more rows than one task should process. Heavy keys are found by one
-pre-aggregated count; the left rows of a heavy key are spread over ``ceil(rows / rows_per_task)``
-salts and the matching right rows are repeated once per salt. All other keys join as usual.
-Salting changes only where rows are processed, never which rows come out.
+pre-aggregated count, and there are two ways to join them; all other keys join as usual.
+
+``skew_join`` spreads the left rows of a heavy key over ``ceil(rows / rows_per_task)`` salts and
+repeats the matching right rows once per salt. It reads the left side once, and needs left rows
+that differ from each other.
+
+``split_join`` leaves the left rows of heavy keys where they are and broadcasts the few right
+rows they match. It also handles any number of identical left rows, and reads the left side twice.
+
+Both change only where rows are processed, never which rows come out.
 """
 
 from __future__ import annotations
@@ -16,6 +23,8 @@ ROWS_PER_TASK = 5_000_000
 # Upper bound of the broadcast table of heavy keys. Keys beyond it are lighter than all keys in
 # it and take the ordinary shuffle, where adaptive skew handling still applies.
 MAX_HEAVY_KEYS = 10_000
+# Right rows of heavy keys that may be broadcast; they are counted first where no bound is known.
+MAX_BROADCAST_ROWS = 1_000_000
 # Number of places over which rows that cannot match are spread.
 NO_MATCH_SALTS = 8_192
 
@@ -99,6 +108,35 @@ def skew_join(
     return left.join(right, condition, how).select(*columns)
 
 
+def split_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: tuple[str, str],
+    heavy: DataFrame | None,
+    how: str = "inner",
+) -> DataFrame:
+    """Join ``left`` and ``right`` on ``on = (left column, right column)``; inner or left.
+
+    The right side must have few rows per heavy key: one each, or a number that was checked.
+    """
+    condition = F.col(on[0]) == F.col(on[1])
+    if heavy is None:
+        return left.join(right, condition, how)
+    keys = F.broadcast(heavy.select("heavy_key"))
+    is_heavy = F.col(on[0]) == F.col("heavy_key")
+    hot_right = right.join(keys, F.col(on[1]) == F.col("heavy_key"), "left_semi")
+    hot = left.join(keys, is_heavy, "left_semi").join(F.broadcast(hot_right), condition, how)
+    rest = left.join(keys, is_heavy, "left_anti").join(right, condition, how)
+    return hot.unionByName(rest)
+
+
+def fits_broadcast(right: DataFrame, key: str, heavy: DataFrame) -> bool:
+    """Whether the right rows of the heavy keys are few enough for ``split_join``."""
+    keys = F.broadcast(heavy.select("heavy_key"))
+    hot_right = right.join(keys, F.col(key) == F.col("heavy_key"), "left_semi")
+    return hot_right.count() <= MAX_BROADCAST_ROWS
+
+
 def _add_salt(
     rows: DataFrame,
     heavy: DataFrame | None,

@@ -9,7 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from switchboard.operators.skew import heavy_from_counts, rows_per_task, skew_join
+from switchboard.operators.skew import (
+    find_heavy_keys,
+    heavy_from_counts,
+    rows_per_task,
+    split_join,
+)
 
 
 
@@ -48,14 +53,9 @@ def analyze(values: DataFrame, value: str, by: str) -> DataFrame:
     present = values.where(F.col(value).isNotNull())
     grouped = present.groupBy(F.col(by).alias("set_key")).agg(*_aggregates(F.col(value)))
     limit = rows_per_task(values.sparkSession)
-    large = values.count() > limit
-    joined = skew_join(
-        present,
-        grouped,
-        on=(by, "set_key"),
-        spread=present.columns,
-        heavy=heavy_from_counts(grouped, "set_key", "n", limit) if large else None,
-    )
+    is_large = values.count() > limit  # otherwise no data set can be heavy
+    heavy = heavy_from_counts(grouped, "set_key", "n", limit) if is_large else None
+    joined = split_join(present, grouped, (by, "set_key"), heavy)
     x = F.col(value).cast("double")
     unchanged = F.col("constant") | (F.col("std_dev") == 0)
     normalized = F.when(unchanged, x).otherwise((x - F.col("average")) / F.col("std_dev"))
@@ -79,13 +79,18 @@ def compare_pairs(values: DataFrame, value: str, by: str, pairs: DataFrame) -> D
     ``values`` collapses to one row per data set before any join.
     """
     stats = statistics(values, value, by)
+    pair_count = pairs.count()
+    heavy = {
+        side: find_heavy_keys(pairs, f"dataset{side}", pair_count) for side in ("1", "2")
+    }
     for side in ("1", "2"):
         renamed = stats.select(
             F.col(by).alias(f"key{side}"),
             F.col("average").alias(f"average{side}"),
             F.col("std_dev").alias(f"std_dev{side}"),
         )
-        pairs = pairs.join(renamed, F.col(f"dataset{side}") == F.col(f"key{side}"), "left")
+        on = (f"dataset{side}", f"key{side}")
+        pairs = split_join(pairs, renamed, on, heavy[side], "left")
         pairs = pairs.drop(f"key{side}").fillna(0.0, [f"average{side}", f"std_dev{side}"])
     difference = F.abs(F.col("average1") - F.col("average2"))
     return pairs.withColumn("mean_difference", difference)

@@ -300,3 +300,14 @@ def test_unfinished_snapshot_is_not_opened(spark, tmp_path):
     (stored / "version=1" / "names").mkdir(parents=True)
     with pytest.raises(FileNotFoundError):
         snapshot.open_snapshot(spark, str(stored))
+
+
+def test_merge_with_copies_of_one_call_and_many_definitions(small_tasks, monkeypatch):
+    """A third of the calls are exact copies; with and without room to broadcast."""
+    methods, calls = random_graph(8)
+    calls += [("9", "x", "f", "3", "ext", "f", "s", "1")] * 450
+    expected = sorted(m[1:] + c for m in methods for c in calls if m[1] == c[3])
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr("switchboard.operators.skew.MAX_BROADCAST_ROWS", limit)
+        rows = adjacency.calls_with_callee(frames(small_tasks, methods, calls))
+        assert sorted(tuple(r) for r in rows.collect()) == expected
