@@ -54,14 +54,16 @@ def callees_all(graph: CallGraph, names: DataFrame | None = None) -> DataFrame:
         right_spread=["fn"],
     )
     edges = named.select("fn", "caller_id", "callee_id", "callee_full_name")
-    return _callee_names(graph, edges, ["fn"])
+    return _callee_names(graph, edges, ["fn"], graph.methods)
 
 
-def _callee_names(graph: CallGraph, edges: DataFrame, keys: list[str]) -> DataFrame:
+def _callee_names(
+    graph: CallGraph, edges: DataFrame, keys: list[str], methods: DataFrame
+) -> DataFrame:
     """Distinct (keys, callee) of distinct edges."""
     looked_up = skew_join(
         edges,
-        graph.methods.select("method_id", "full_name"),
+        methods.select("method_id", "full_name"),
         on=("callee_id", "method_id"),
         spread=edges.columns,
         how="left",
@@ -120,24 +122,25 @@ def count_per_request(found: DataFrame, requests: DataFrame) -> DataFrame:
 def callers_of(graph: CallGraph, function: str) -> DataFrame:
     """Full names of the callers of one function, ascending."""
     edges = _edges_of(graph, graph.in_edges, "callee_id", "caller_id", function)
-    callers = edges.select("caller_id").distinct().join(
-        graph.methods.select("method_id", "full_name"), F.col("caller_id") == F.col("method_id")
-    )
-    return callers.select(F.col("full_name").alias("caller")).distinct().orderBy("caller")
+    methods = _methods_at(graph, edges, "caller_id").select("method_id", "full_name")
+    callers = edges.select("caller_id").distinct()
+    found = callers.join(methods, F.col("caller_id") == F.col("method_id"))
+    return found.select(F.col("full_name").alias("caller")).distinct().orderBy("caller")
 
 
 def callees_of(graph: CallGraph, function: str) -> DataFrame:
     """Names of what one function calls, ascending."""
     edges = _edges_of(graph, graph.out_edges, "caller_id", "callee_id", function)
+    methods = _methods_at(graph, edges, "callee_id")
     distinct = edges.select("callee_id", "callee_full_name").distinct()
-    return _callee_names(graph, distinct, []).orderBy("callee")
+    return _callee_names(graph, distinct, [], methods).orderBy("callee")
 
 
 def _edges_of(graph: CallGraph, edges: DataFrame, key: str, other: str, function: str) -> DataFrame:
     """Edges whose ``key`` end is one of the ids of ``function``."""
     ids = graph.names.where(F.col("fn") == function).select("method_id").distinct()
-    few = [row.method_id for row in ids.limit(MAX_LOOKUP_IDS + 1).collect()]
-    if len(few) <= MAX_LOOKUP_IDS:
+    few = _few_values(ids, "method_id")
+    if few is not None:
         return edges.where(F.col(key).isin(few))
     heavy = graph.heavy_callees if key == "callee_id" else graph.heavy_callers
     return skew_join(
@@ -145,6 +148,19 @@ def _edges_of(graph: CallGraph, edges: DataFrame, key: str, other: str, function
     )
 
 
+def _methods_at(graph: CallGraph, edges: DataFrame, key: str) -> DataFrame:
+    """The methods to look the ``key`` ends of some edges up in: in a stored graph only their
+    own rows, when they are few."""
+    few = _few_values(edges, key) if graph.is_stored else None
+    return graph.methods if few is None else graph.methods.where(F.col("method_id").isin(few))
+
+
+def _few_values(rows: DataFrame, key: str) -> list[str] | None:
+    """The values of a column, unless there are too many to look up one by one."""
+    values = [row[0] for row in rows.select(key).limit(MAX_LOOKUP_IDS + 1).collect()]
+    return sorted(set(values)) if len(values) <= MAX_LOOKUP_IDS else None
+
+
 def calls_with_caller(graph: CallGraph) -> DataFrame:
     """Raw method rows merged with the call rows they make; all columns of both."""
     return _merge(graph, "caller_id", graph.heavy_callers)

@@ -64,6 +64,8 @@ class CallGraph:
         self.method_rows = method_rows
         self.calls = calls
         self.out_dir = out_dir
+        # Whether all tables are stored, clustered by the columns they are looked up by.
+        self.is_stored = False
 
     @classmethod
     def from_csv(cls, spark: SparkSession, out_dir: str | None = None) -> CallGraph:

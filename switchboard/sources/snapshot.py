@@ -14,28 +14,34 @@ from switchboard.sources.tables import path_exists
 
 # Table name to the columns its rows are clustered by. Range bounds cover all the columns, so
 # a key with very many rows is divided over several files.
-LAYOUT = {
-    "method_rows": ["method_id", "seq"],
+READ_TABLES = {"method_rows": ["method_id", "seq"], "calls": []}
+DERIVED_TABLES = {
     "methods": ["method_id"],
     "names": ["fn", "method_id"],
     "in_edges": ["callee_id", "caller_id"],
     "out_edges": ["caller_id", "callee_id", "callee_full_name"],
-    "calls": [],
 }
-LAST_TABLE = "calls"
+LAST_TABLE = "out_edges"
 
 
 def save(graph: CallGraph, path: str) -> int:
     """Write a new version and return its number."""
-    version = latest_version(graph.spark, path, complete_only=False) + 1
+    spark = graph.spark
+    version = latest_version(spark, path, complete_only=False) + 1
     folder = f"{path}/version={version}"
-    for name, keys in LAYOUT.items():
+    _write(graph, READ_TABLES, folder)
+    # The source is read once; the other tables come from what was just stored.
+    stored = {name: spark.read.parquet(f"{folder}/{name}") for name in READ_TABLES}
+    _write(CallGraph(**stored), DERIVED_TABLES, folder)
+    return version
+
+
+def _write(graph: CallGraph, layout: dict[str, list[str]], folder: str) -> None:
+    for name, keys in layout.items():
         rows: DataFrame = getattr(graph, name)
         if keys:
             rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        # A half-written version is never read, so its leftovers may be replaced.
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return version
+        rows.write.parquet(f"{folder}/{name}")
 
 
 def latest_version(spark: SparkSession, path: str, complete_only: bool = True) -> int:
@@ -58,11 +64,13 @@ def open_snapshot(spark: SparkSession, path: str, out_dir: str | None = None) ->
     version = latest_version(spark, path)
     if not version:
         raise FileNotFoundError(f"No snapshot in '{path}'")
+    folder = f"{path}/version={version}"
     tables = {
-        name: spark.read.parquet(f"{path}/version={version}/{name}") for name in LAYOUT
+        name: spark.read.parquet(f"{folder}/{name}") for name in READ_TABLES | DERIVED_TABLES
     }
     graph = CallGraph(tables.pop("method_rows"), tables.pop("calls"), out_dir)
     vars(graph).update(tables)  # stored tables take the place of the derived ones
+    graph.is_stored = True
     return graph
 
 

@@ -43,7 +43,13 @@ def test_matches_sql(spark, duck, name):
     compare(spark, duck, name)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+SALTED = [
+    *("callers_all", "callees_all", "callers_json", "calls_with_callee", "resolve_calls"),
+    *("extract_calls", "analyze", "compare"),
+]
+
+
+@pytest.mark.parametrize("name", SALTED)
 def test_matches_sql_with_salting(small_tasks, duck, name):
     compare(small_tasks, duck, name)
 
