@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchboard.functions.names import is_usable_name, short_name
-from switchboard.operators.skew import find_heavy_keys
+from switchboard.operators.skew import count_rows, find_heavy_keys
 from switchboard.schema import CALLS_FILE, METHODS_FILE, UNRESOLVED_ID
 from switchboard.sources.tables import default_out_dir, read_calls, read_methods
 
@@ -68,21 +68,23 @@ class CallGraph:
         self.is_stored = False
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, out_dir: str | None = None) -> CallGraph:
+    def from_csv(
+        cls, spark: SparkSession, out_dir: str | None = None, multi_line: bool | None = None
+    ) -> CallGraph:
+        """``multi_line`` as for ``read_quoted_csv``."""
         out_dir = out_dir or default_out_dir()
-        return cls(read_methods(spark, out_dir), read_calls(spark, out_dir), out_dir)
+        methods = read_methods(spark, out_dir, multi_line)
+        return cls(methods, read_calls(spark, out_dir, multi_line), out_dir)
 
     @property
     def spark(self) -> SparkSession:
         return self.calls.sparkSession
 
     @property
-    def methods_file(self) -> str:
-        return os.path.join(self.out_dir, METHODS_FILE)
-
-    @property
-    def calls_file(self) -> str:
-        return os.path.join(self.out_dir, CALLS_FILE)
+    def files(self) -> dict[str, str | None]:
+        """Where the two tables were read from, when that is known."""
+        names = {"methods": METHODS_FILE, "calls": CALLS_FILE}
+        return {t: self.out_dir and os.path.join(self.out_dir, f) for t, f in names.items()}
 
     @cached_property
     def methods(self) -> DataFrame:
@@ -101,10 +103,9 @@ class CallGraph:
         return out_edges(self.calls)
 
     @cached_property
-    def row_counts(self) -> tuple[int, int]:
-        """(method rows, call rows), in one job; for Parquet tables read from file footers."""
-        counts = [rows.agg(F.count("*")).scalar() for rows in (self.method_rows, self.calls)]
-        return tuple(self.spark.range(1).select(*counts).first())
+    def row_counts(self) -> list[int]:
+        """Method rows and call rows."""
+        return count_rows(self.method_rows, self.calls)
 
     @property
     def method_row_count(self) -> int:

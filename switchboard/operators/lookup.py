@@ -39,10 +39,10 @@ def details_for(graph: CallGraph, requests: DataFrame) -> DataFrame:
 def function_details(graph: CallGraph, function: str) -> DataFrame:
     """At most one row; empty when the name is unknown."""
     names = graph.names.where(F.col("fn") == function)
-    first = names.agg(F.min_by("method_id", "seq").alias("first_id"))
-    return first.join(graph.methods, F.col("first_id") == F.col("method_id")).select(
-        *DETAIL_COLUMNS
-    )
+    first_id = names.agg(F.min_by("method_id", "seq")).first()[0]
+    # A single id is looked up by value, which reaches the scan as a filter.
+    found = graph.methods.where(F.col("method_id") == F.lit(first_id).cast("string"))
+    return found.select(*DETAIL_COLUMNS)
 
 
 def search_functions(graph: CallGraph, query: str) -> DataFrame:
@@ -64,10 +64,10 @@ def graph_totals(graph: CallGraph) -> DataFrame:
 
 def graph_stats(graph: CallGraph) -> DataFrame:
     """The totals with the two source files and whether they exist now."""
-    return graph_totals(graph).select(
-        "*",
-        F.lit(graph.methods_file).alias("methods_file"),
-        F.lit(graph.calls_file).alias("calls_file"),
-        F.lit(path_exists(graph.spark, graph.methods_file)).alias("methods_loaded"),
-        F.lit(path_exists(graph.spark, graph.calls_file)).alias("calls_loaded"),
-    )
+    files = graph.files
+    paths = [F.lit(path).cast("string").alias(f"{t}_file") for t, path in files.items()]
+    loaded = [
+        F.lit(bool(path) and path_exists(graph.spark, path)).alias(f"{t}_loaded")
+        for t, path in files.items()
+    ]
+    return graph_totals(graph).select("*", *paths, *loaded)

@@ -33,6 +33,12 @@ def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_TASK_CONF, str(ROWS_PER_TASK)))
 
 
+def count_rows(*tables: DataFrame) -> list[int]:
+    """Rows of each table, in one job; for Parquet tables read from file footers."""
+    counts = [table.agg(F.count("*")).scalar() for table in tables]
+    return list(tables[0].sparkSession.range(1).select(*counts).first())
+
+
 def heavy_from_counts(counts: DataFrame, key: str, rows: str, limit: int) -> DataFrame:
     """(heavy_key, salts) of the keys above ``limit`` rows, given a table of rows per key."""
     return (
@@ -49,13 +55,12 @@ def heavy_from_counts(counts: DataFrame, key: str, rows: str, limit: int) -> Dat
 def find_heavy_keys(rows: DataFrame, key: str, total: int | None = None) -> DataFrame | None:
     """Heavy keys of a stored table as a bounded local table, or None when there is none.
 
-    ``total`` bounds the rows of any key, so a table below the limit needs no counting at all;
-    on Parquet the total itself is read from file footers.
+    ``total`` bounds the rows of any key, so a table below the limit needs no count per key.
     """
     spark = rows.sparkSession
     limit = rows_per_task(spark)
     if total is None:
-        total = rows.count()
+        (total,) = count_rows(rows)
     if total <= limit:
         return None
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))

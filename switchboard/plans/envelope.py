@@ -22,10 +22,16 @@ from switchboard.operators.adjacency import (
     names_for,
 )
 from switchboard.operators.graph import CallGraph
-from switchboard.operators.lookup import details_for, graph_stats, search_functions
+from switchboard.operators.lookup import (
+    details_for,
+    function_details,
+    graph_stats,
+    search_functions,
+)
 from switchboard.operators.skew import heavy_from_counts, rows_per_task, skew_join
 
 HEAD, ITEM, TAIL = 0, 1, 2
+# Fixed value of the answer to a question about an unknown function.
 NOT_FOUND = "Function not found"
 
 
@@ -35,23 +41,39 @@ def json_string(text: Column) -> Column:
     return F.substring(in_array, F.lit(2), F.length(in_array) - 2)
 
 
-def _document(
+def _documents(
     found: DataFrame, requests: DataFrame, item: str, asked: str, listed: str, large: bool
 ) -> DataFrame:
     """Lines of one document per request, from ``found(fn, <item>)``."""
-    spark = found.sparkSession
     ends = found.groupBy("fn").agg(F.count("*").alias("n"), F.max(item).alias("last_item"))
-    limit = rows_per_task(spark)
+    limit = rows_per_task(found.sparkSession)
     items = skew_join(
         found,
         ends.withColumnRenamed("fn", "end_fn"),
         on=("fn", "end_fn"),
         spread=[item],
         heavy=heavy_from_counts(ends, "fn", "n", limit) if large else None,
-    )
+    ).withColumnRenamed("fn", "function")
+    return _lines(items, count_per_request(found, requests), item, asked, listed)
+
+
+def _document(found: DataFrame, argument: str, item: str, asked: str, listed: str) -> DataFrame:
+    """Lines of the document of one question, from ``found(<item>)``."""
+    function = F.lit(argument).alias("function")
+    last_item = found.agg(F.max(item)).scalar().alias("last_item")
+    count = found.agg(F.count("*")).scalar().alias("count")
+    items = found.select(function, item, last_item)
+    counts = found.sparkSession.range(1).select(function, count)
+    return _lines(items, counts, item, asked, listed)
+
+
+def _lines(
+    items: DataFrame, counts: DataFrame, item: str, asked: str, listed: str
+) -> DataFrame:
+    """From ``items(function, <item>, last_item)`` and ``counts(function, count)``."""
     comma = F.when(F.col(item) < F.col("last_item"), ",").otherwise("")
     item_lines = items.select(
-        F.col("fn").alias("function"),
+        "function",
         F.lit(ITEM).alias("section"),
         F.col(item).alias("item"),
         F.concat(F.lit("    "), json_string(F.col(item)), comma).alias("text"),
@@ -62,7 +84,7 @@ def _document(
     head_text = F.when(F.col("count") == 0, F.concat(head, F.lit("],"))).otherwise(head)
     totals = F.concat(F.lit('  "count": '), F.col("count"), F.lit(',\n  "success": true\n}'))
     tail_text = F.when(F.col("count") == 0, totals).otherwise(F.concat(F.lit("  ],\n"), totals))
-    frame = count_per_request(found, requests).select(
+    frame = counts.select(
         "function",
         F.explode(
             F.array(
@@ -82,18 +104,17 @@ def _document(
 
 def callers_json(graph: CallGraph, requests: DataFrame) -> DataFrame:
     found = callers_all(graph, names_for(graph, requests))
-    return _document(found, requests, "caller", "function", "callers", _is_large(graph))
+    return _documents(found, requests, "caller", "function", "callers", _is_large(graph))
 
 
 def callees_json(graph: CallGraph, requests: DataFrame) -> DataFrame:
     found = callees_all(graph, names_for(graph, requests))
-    return _document(found, requests, "callee", "function", "callees", _is_large(graph))
+    return _documents(found, requests, "callee", "function", "callees", _is_large(graph))
 
 
 def search_json(graph: CallGraph, query: str) -> DataFrame:
-    found = search_functions(graph, query).select(F.lit(query).alias("fn"), F.col("fn").alias("name"))
-    asked = graph.spark.range(1).select(F.lit(query).alias("function"))
-    return _document(found, asked, "name", "query", "results", True)
+    found = search_functions(graph, query)
+    return _document(found, query, "fn", "query", "results")
 
 
 def _is_large(graph: CallGraph) -> bool:
@@ -103,7 +124,10 @@ def _is_large(graph: CallGraph) -> bool:
 
 def details_json(graph: CallGraph, requests: DataFrame) -> DataFrame:
     """(function, json), one object per request."""
-    rows = details_for(graph, requests)
+    return _details_objects(details_for(graph, requests))
+
+
+def _details_objects(rows: DataFrame) -> DataFrame:
     known = F.col("method_id").isNotNull()
     details = F.struct("method_id", "full_name", "signature", "file")
     found = F.struct(
@@ -141,13 +165,12 @@ def answer(graph: Callable[[], CallGraph], question: str, argument: str | None =
         fields = {asked: argument, **empty} if asked else {}
         failure = {**fields, "success": False, "error": str(error)}
         row = SparkSession.active().range(1).select(
-            *[F.lit(v).alias(k) if not isinstance(v, list) else F.array().alias(k)
-              for k, v in failure.items()]
+            *[F.lit(value).alias(field) for field, value in failure.items()]
         )
         return row.select(_to_json(F.struct(*row.columns)).alias("text"))
 
 
-# Per question: the field that repeats the argument, and the fields of an empty answer.
+# Fixed values, per question: the field that repeats the argument, and those of an empty answer.
 ANSWER_SHAPES = {
     "get_callees": ("function", {"callees": []}),
     "get_callers": ("function", {"callers": []}),
@@ -163,10 +186,13 @@ def _answer(graph: CallGraph, question: str, argument: str | None) -> DataFrame:
         return stats_json(graph).withColumnRenamed("json", "text")
     if question == "search_functions":
         return search_json(graph, argument).orderBy(*order).select("text")
-    asked = graph.spark.range(1).select(F.lit(argument).alias("function"))
     if question == "get_function_details":
-        return details_json(graph, asked).select(F.col("json").alias("text"))
+        details = function_details(graph, argument)
+        if details.isEmpty():
+            nothing = [F.lit(None).cast("string").alias(c) for c in details.columns]
+            details = graph.spark.range(1).select(*nothing)
+        rows = details.withColumn("function", F.lit(argument))
+        return _details_objects(rows).select(F.col("json").alias("text"))
     find, item = (callers_of, "caller") if question == "get_callers" else (callees_of, "callee")
-    found = find(graph, argument).select(F.lit(argument).alias("fn"), item)
-    lines = _document(found, asked, item, "function", f"{item}s", _is_large(graph))
+    lines = _document(find(graph, argument), argument, item, "function", f"{item}s")
     return lines.orderBy(*order).select("text")

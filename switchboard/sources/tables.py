@@ -46,7 +46,7 @@ def check_tables(spark: SparkSession, out_dir: str) -> None:
     for name in (METHODS_FILE, CALLS_FILE):
         if not path_exists(spark, os.path.join(out_dir, name)):
             raise FileNotFoundError(
-                f"Missing CSV files in '{out_dir}'. Expected {METHODS_FILE} and {CALLS_FILE}"
+                f"'{out_dir}' has no complete call graph: it needs {METHODS_FILE} and {CALLS_FILE}"
             )
 
 
