@@ -23,8 +23,8 @@ ROWS_PER_TASK = 5_000_000
 # Upper bound of the broadcast table of heavy keys. Keys beyond it are lighter than all keys in
 # it and take the ordinary shuffle, where adaptive skew handling still applies.
 MAX_HEAVY_KEYS = 10_000
-# Right rows of heavy keys that may be broadcast; they are counted first where no bound is known.
-MAX_BROADCAST_ROWS = 1_000_000
+# Text of the right rows of heavy keys that may be broadcast where their number has no bound.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Number of places over which rows that cannot match are spread.
 NO_MATCH_SALTS = 8_192
 
@@ -136,10 +136,13 @@ def split_join(
 
 
 def fits_broadcast(right: DataFrame, key: str, heavy: DataFrame) -> bool:
-    """Whether the right rows of the heavy keys are few enough for ``split_join``."""
+    """Whether the right rows of the heavy keys are small enough for ``split_join``."""
     keys = F.broadcast(heavy.select("heavy_key"))
     hot_right = right.join(keys, F.col(key) == F.col("heavy_key"), "left_semi")
-    return hot_right.count() <= MAX_BROADCAST_ROWS
+    # A fixed share per row and column on top of the text itself.
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in right.columns]
+    total = hot_right.agg(F.sum(sum(sizes, F.lit(0).cast("bigint")))).first()[0]
+    return (total or 0) <= MAX_BROADCAST_BYTES
 
 
 def _add_salt(

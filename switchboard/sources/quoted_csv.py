@@ -9,7 +9,7 @@ the quote parity of every earlier split (one row per split) and a running sum in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,7 +34,7 @@ def read_quoted_csv(spark: SparkSession, path: str, multi_line: bool | None = No
     return records.select(parsed.alias("fields"), "seq").select("fields.*", "seq")
 
 
-def _position():
+def _position() -> Column:
     """Orders rows by file, split and place in the split, however splits are packed in tasks."""
     return F.struct(
         F.col("_metadata.file_path").alias("file"),
@@ -47,7 +47,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", _position().alias("seq"))
 
 
-def _odd_quotes():
+def _odd_quotes() -> Column:
     quotes = F.length("value") - F.length(F.translate("value", '"', ""))
     return quotes % 2 == 1
 
@@ -98,7 +98,8 @@ def _records(lines: DataFrame) -> DataFrame:
     return whole.unionByName(stitched)
 
 
-def _flips_before():
+def _flips_before() -> Column:
+    """Odd lines of the same split before this one; each flips the side of the quote."""
     before = (
         Window.partitionBy("file", "block")
         .orderBy("line")

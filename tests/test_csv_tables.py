@@ -70,6 +70,13 @@ def test_columns_are_found_by_name(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("text", ["", HEADER])
+def test_table_without_rows(spark, tmp_path, text):
+    rows = read_methods(spark, write_pair(tmp_path, text))
+    assert rows.columns == ["method_id", "full_name", "signature", "file", "seq"]
+    assert rows.count() == 0
+
+
 def test_missing_column_is_named(spark, tmp_path):
     with pytest.raises(ValueError, match="full_name"):
         read_methods(spark, write_pair(tmp_path, "method_id,file\n1,f\n"))

@@ -316,7 +316,7 @@ def test_merge_with_copies_of_one_call_and_many_definitions(small_tasks, monkeyp
     calls += [("9", "x", "f", "3", "ext", "f", "s", "1")] * 450
     expected = sorted(m[1:] + c for m in methods for c in calls if m[1] == c[3])
     for limit in (1_000_000, 0):
-        monkeypatch.setattr("switchboard.operators.skew.MAX_BROADCAST_ROWS", limit)
+        monkeypatch.setattr("switchboard.operators.skew.MAX_BROADCAST_BYTES", limit)
         rows = adjacency.calls_with_callee(frames(small_tasks, methods, calls))
         assert sorted(tuple(r) for r in rows.collect()) == expected
 
