@@ -108,7 +108,8 @@ def callees_for(graph: CallGraph, requests: DataFrame) -> DataFrame:
 def _keep_requests(found: DataFrame, item: str, requests: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast("string").alias(item)
     without = count_per_request(found, requests).where(F.col("count") == 0)
-    return found.withColumnRenamed("fn", "function").unionByName(without.select("function", nothing))
+    found = found.withColumnRenamed("fn", "function")
+    return found.unionByName(without.select("function", nothing))
 
 
 def count_per_request(found: DataFrame, requests: DataFrame) -> DataFrame:

@@ -140,7 +140,8 @@ def fits_broadcast(right: DataFrame, key: str, heavy: DataFrame) -> bool:
     keys = F.broadcast(heavy.select("heavy_key"))
     hot_right = right.join(keys, F.col(key) == F.col("heavy_key"), "left_semi")
     # A fixed share per row and column on top of the text itself.
-    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in right.columns]
+    lengths = [F.octet_length(F.col(c).cast("string")) for c in right.columns]
+    sizes = [F.coalesce(length, F.lit(0)) + 16 for length in lengths]
     total = hot_right.agg(F.sum(sum(sizes, F.lit(0).cast("bigint")))).first()[0]
     return (total or 0) <= MAX_BROADCAST_BYTES
 

@@ -130,7 +130,9 @@ def node_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.col("p_partkey").alias("method_id"),
         F.concat(module, F.lit(":<module>."), plain_name).alias("full_name"),
         F.col("p_brand").alias("signature"),
-        F.when(F.col("p_partkey") % 10 != 9, F.concat(F.lit("./lib/../"), module)).alias("file_name"),
+        F.when(F.col("p_partkey") % 10 != 9, F.concat(F.lit("./lib/../"), module)).alias(
+            "file_name"
+        ),
         module.alias("filename"),
     )
     no_line = F.col("o_orderpriority") == "5-LOW"

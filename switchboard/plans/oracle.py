@@ -184,7 +184,12 @@ def _group_stats(value: str, by: str) -> str:
     )
 
 
-SEARCH = "search as (select distinct 'BOLT' as fn, fn as name from names where contains(lower(fn), lower('BOLT')))"
+SEARCH = """
+search as (
+ select distinct 'BOLT' as fn, fn as name from names
+ where contains(lower(fn), lower('BOLT')))"""
+
+ONE_CALLER = f"{GRAPH}, {CALLERS} select distinct caller from callers where fn = 'blue_bolt'"
 
 SOURCE_METHODS = """
 p as (
@@ -220,16 +225,20 @@ from resolved""",
     "resolve_calls": f"{NODES} select * from resolved",
     "method_map": f"with {METHOD_ROWS}, {METHODS} select * from methods",
     "name_index": f"with {METHOD_ROWS}, {NAMES} select * from names",
-    "snapshot_callers_of": f"{GRAPH}, {CALLERS} select distinct caller from callers where fn = 'blue_bolt'",
-    "callers_of": f"{GRAPH}, {CALLERS} select distinct caller from callers where fn = 'blue_bolt'",
+    "snapshot_callers_of": ONE_CALLER,
+    "callers_of": ONE_CALLER,
     "callees_of": f"{GRAPH}, {CALLEES} select distinct callee from callees where fn = 'n15'",
-    "function_details": f"{GRAPH}, {DETAILS} select method_id, full_name, signature, file from details where fn = 'blue_bolt'",
-    "search_functions": f"with {METHOD_ROWS}, {NAMES} select distinct fn from names where contains(lower(fn), lower('BOLT'))",
+    "function_details": f"""{GRAPH}, {DETAILS}
+select method_id, full_name, signature, file from details where fn = 'blue_bolt'""",
+    "search_functions": f"""with {METHOD_ROWS}, {NAMES}
+select distinct fn from names where contains(lower(fn), lower('BOLT'))""",
     "graph_stats": f"""{GRAPH}
 select (select count(*) from methods) as total_methods, (select count(*) from calls) as total_calls,
  (select count(distinct fn) from names) as unique_functions""",
-    "calls_with_caller": f"{GRAPH} select {MERGED} from method_rows r join calls k on r.method_id = k.caller_id",
-    "calls_with_callee": f"{GRAPH} select {MERGED} from method_rows r join calls k on r.method_id = k.callee_id",
+    "calls_with_caller": f"""{GRAPH}
+select {MERGED} from method_rows r join calls k on r.method_id = k.caller_id""",
+    "calls_with_callee": f"""{GRAPH}
+select {MERGED} from method_rows r join calls k on r.method_id = k.callee_id""",
     "callers_all": f"{GRAPH}, {CALLERS} select * from callers",
     "callees_all": f"{GRAPH}, {CALLEES} select * from callees",
     "details_all": f"{GRAPH}, {DETAILS} select * from details",
@@ -294,7 +303,8 @@ select round(a1, 6) as average1, round(d1, 6) as std_dev1, round(a2, 6) as avera
  select path, '' as q, '' as signature from p
  union all select path, concat('.', type), '' from p
  union all select path, concat('.', type, '.make_', k), concat('make_', k, '(self, amount)') from p
- union all select path, concat('.', type, '.check_', k), concat('check_', k, '(self, amount)') from p
+ union all
+ select path, concat('.', type, '.check_', k), concat('check_', k, '(self, amount)') from p
  union all select path, concat('.build_', k), concat('build_', k, '(amount)') from p
  union all select path, '', '' from o
  union all select path, concat('.handle_', k), concat('handle_', k, '(amount)') from o)
@@ -314,7 +324,8 @@ from defs""",
  union all select path, concat('.handle_', k), null, 'json.dumps', 7 from o
  union all select path, concat('.handle_', k), null, 'range', 7 from o
  union all select path, '', path, concat(path, ':<module>.handle_', k), 9 from o)
-select concat(path, ':<module>', caller) as caller_full_name, concat('/corpus/', path) as caller_file,
+select concat(path, ':<module>', caller) as caller_full_name,
+ concat('/corpus/', path) as caller_file,
  callee as callee_full_name,
  case when callee_path is null then '<unknown>' else concat('/corpus/', callee_path) end
   as callee_file,

@@ -46,7 +46,10 @@ def abs_path(spark, sf_dir):
     )
     place = F.col("page_id") % 4
     root = (
-        F.when(place == 0, "/srv/pages").when(place == 1, "").when(place == 2, "crawl").otherwise("/")
+        F.when(place == 0, "/srv/pages")
+        .when(place == 1, "")
+        .when(place == 2, "crawl")
+        .otherwise("/")
     )
     pages = fixtures.table(spark, sf_dir, "pages")
     return pages.select("page_id", paths.abs_path(root, rel).alias("path"))

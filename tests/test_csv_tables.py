@@ -46,9 +46,10 @@ def test_awkward_fields_are_read_unchanged_and_in_order(spark, tmp_path):
 
 
 def test_awkward_fields_survive_a_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame(AWKWARD, "method_id string, full_name string, signature string, file string")
+    rows = spark.createDataFrame(AWKWARD, ["method_id", "full_name", "signature", "file"])
     calls = spark.createDataFrame(
-        [("1", "n\n\"", "f", "-1", None, "<unknown>", "s", "-1")], ", ".join(f"{c} string" for c in CALL_COLUMNS)
+        [("1", "n\n\"", "f", "-1", None, "<unknown>", "s", "-1")],
+        ", ".join(f"{c} string" for c in CALL_COLUMNS),
     )
     out_dir = str(tmp_path / "out")
     for _ in range(2):  # the second write replaces the first

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import statistics
@@ -104,6 +105,7 @@ def test_json_documents(spark, tmp_path):
 
 
 def test_indented_json_document(spark, tmp_path):
-    (tmp_path / "one.json").write_text('{\n    "name": "x",\n    "stats": {\n        "n": 3\n    }\n}')
+    text = json.dumps({"name": "x", "stats": {"n": 3}}, indent=4)
+    (tmp_path / "one.json").write_text(text)
     row = load_json(spark, str(tmp_path / "one.json"), indented=True).first()
     assert (row.name, row.stats.n) == ("x", 3)
