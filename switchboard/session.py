@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,12 +27,8 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared folder the cluster names.
 
-    Only a local session may fall back to a temporary folder of this machine: executors on other
-    hosts would not see it.
+    Where ``spark.checkpoint.dir`` is not set, the folder is in the session's warehouse, which all
+    executors reach as well.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="run-")
+    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
