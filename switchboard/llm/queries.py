@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import line_dedup, packing
+from switchboard.llm import line_dedup, packing, pii
 from switchboard.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+@register
+def op5_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(docs, pii.find_personal_data(docs))
+
+
 @register
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
