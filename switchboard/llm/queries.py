@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import line_dedup, packing, pii
-from switchboard.llm.common import table
+from switchboard.llm import brown, line_dedup, packing, pii
+from switchboard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +61,8 @@ def op5_personal_data(spark, sf_dir):
 @register
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_class_model(spark, sf_dir):
+    return brown.score_texts(table(spark, sf_dir, "documents"), held_out=fold(0, 10))
