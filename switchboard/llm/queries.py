@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import brown, line_dedup, packing, pii
+from switchboard.llm import brown, line_dedup, near_dedup, packing, pii
 from switchboard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+@register
+def op3_near_dedup(spark, sf_dir):
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n_words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @register
 def op5_personal_data(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
