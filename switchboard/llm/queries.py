@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import brown, line_dedup, near_dedup, packing, pii
+from switchboard.llm import brown, line_dedup, near_dedup, packing, pii, suffix_dedup
 from switchboard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,19 @@ def op3_near_dedup(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@register
+def op4_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        length.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @register
 def op5_personal_data(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
