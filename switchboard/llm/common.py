@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,24 @@ def fold(remainder: int, parts: int, column: str = "doc_id") -> Column:
     return F.coalesce(crc % parts == remainder, F.lit(False))
 
 
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, use: Callable[[str], Column], max_rows: int
+) -> DataFrame:
+    """(text, label) of at most ``max_rows`` labelled documents whose id ``use`` accepts.
+
+    They are those with the smallest hashes of their ids, so the choice is the same each time.
+    Rows without id or label are left out; of labels that repeat an id the largest counts, of
+    documents that repeat one the smallest text. Only ids and labels of the sample are broadcast.
+    """
+    known = labels.select(F.col("doc_id").alias("labelled_id"), F.col(label).alias("label"))
+    known = known.where("labelled_id is not null and label is not null")
+    known = known.groupBy("labelled_id").agg(F.max("label").alias("label"))
+    known = known.where(use("labelled_id"))
+    chosen = known.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(max_rows)
+    rows = id_and_text(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
+
+
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about SLICE_BYTES of text each."""
     ends = np.cumsum(byte_lengths(batch.column(text)))

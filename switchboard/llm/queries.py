@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import brown, line_dedup, near_dedup, packing, pii, suffix_dedup
+from switchboard.llm import (
+    brown,
+    line_dedup,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    suffix_dedup,
+    toxicity,
+)
 from switchboard.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +29,14 @@ def register(query: Query) -> Query:
     return query
 
 
+@register
+def op1_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score_toxicity(docs, labels, lambda doc_id: ~fold(0, 5, doc_id))
+    held_out = fold(0, 5).alias("held_out")
+    return found.select("doc_id", held_out, "score", "predicted", "n_tokens", "passages")
+
+
 @register
 def op2_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,6 +99,16 @@ def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@register
+def op8_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = docs.select("doc_id", "text")
+    found = quality.score_quality(rows, labels, lambda doc_id: ~fold(2, 4, doc_id))
+    return found.select(
+        "doc.doc_id", fold(2, 4, "doc.doc_id").alias("held_out"), "score", "predicted", "n_passages"
+    )
+
+
 @register
 def op9_class_model(spark, sf_dir):
     return brown.score_texts(table(spark, sf_dir, "documents"), held_out=fold(0, 10))

@@ -60,12 +60,15 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 @dataclass
 class Words:
-    """Words of a batch in order: hash, bounds in ``data``, and the row they are in.
+    """Words of a batch in order: hash, place in ``data``, and the row they are in.
+
+    The text of row ``r`` is ``data`` from ``offsets[r]`` to ``offsets[r + 1]``.
 
     The words of row ``r`` are those from ``bounds[r]`` to ``bounds[r + 1]``.
     """
 
     data: np.ndarray
+    offsets: np.ndarray
     hashes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
@@ -77,10 +80,11 @@ class Words:
         return len(self.bounds) - 1
 
 
-def split_words(texts: pa.Array) -> Words:
+def split_words(texts: pa.Array, between: np.ndarray = BLANK) -> Words:
+    """``between`` tells for each byte whether it separates words."""
     raw, offsets = text_bytes(texts)
     data = LOWER[raw]
-    inside = ~BLANK[data]
+    inside = ~between[data]
     at_edge = np.zeros(len(data) + 1, bool)
     at_edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) & ~at_edge[:-1]
@@ -90,7 +94,7 @@ def split_words(texts: pa.Array) -> Words:
     bounds = np.searchsorted(starts, offsets)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     hashes = span_hash(running_sum(data), starts, ends)
-    return Words(data, hashes, starts, ends, rows, bounds)
+    return Words(data, offsets, hashes, starts, ends, rows, bounds)
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
