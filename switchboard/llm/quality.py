@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from switchboard.llm.common import labelled_sample, slices, text_bytes
 from switchboard.llm.words import split_words
@@ -81,8 +82,10 @@ def score_quality(
                 )
 
     rows = docs.select(F.struct("*").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, score double, predicted int, "
-    return rows.mapInArrow(run, schema + "n_passages long, top_passage long")
+    more = T.StructType.fromDDL(
+        "score double, predicted int, n_passages long, top_passage long"
+    )
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *more]))
 
 
 def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from switchboard.llm import (
     brown,
+    decontam,
     line_dedup,
     near_dedup,
     packing,
     pii,
     quality,
     suffix_dedup,
+    topk,
     toxicity,
 )
 from switchboard.llm.common import fold, table
@@ -99,6 +101,13 @@ def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@register
+def op7_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc.doc_id", F.inline("leaks"))
+
+
 @register
 def op8_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -112,3 +121,26 @@ def op8_quality(spark, sf_dir):
 @register
 def op9_class_model(spark, sf_dir):
     return brown.score_texts(table(spark, sf_dir, "documents"), held_out=fold(0, 10))
+
+
+@register
+def op10_nearest_codes(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.nearest_codes(vectors, is_query=F.col("vec_id") % 100 == 0, k=10)
+
+
+ORACLE_SQL["op10_nearest_codes"] = """
+WITH codes AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
+    FROM embeddings
+), pairs AS (
+    SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+           CAST(list_sum(list_transform(range(1, len(q.bits) + 1),
+                lambda i: abs(q.bits[i] - v.bits[i]))) AS BIGINT) AS distance
+    FROM codes q, codes v WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank, neighbor_id, distance FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank
+    FROM pairs
+) WHERE rank <= 10
+"""

@@ -21,11 +21,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from switchboard.llm.common import id_and_text, labelled_sample, slices, stored
-from switchboard.llm.words import MIX_1, U64, Words, mix, running_sum, span_hash, split_words
+from switchboard.llm.words import (
+    MIX_1,
+    NOT_ALPHANUMERIC,
+    U64,
+    Words,
+    mix,
+    running_sum,
+    span_hash,
+    split_words,
+)
 
-# Bytes that stand between tokens: all of ASCII but letters and digits.
-BETWEEN = np.ones(256, bool)
-BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 # A token is looked up whole (0) and by its first bytes.
 LEVELS = (0, 6, 5, 4)
 LEVEL_SALTS = np.arange(1 + max(LEVELS), dtype=U64) * MIX_1
@@ -151,7 +157,7 @@ class Model:
         return best
 
     def passages(self, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
-        words = split_words(texts, BETWEEN)
+        words = split_words(texts, NOT_ALPHANUMERIC)
         counts = np.diff(words.bounds)
         weights = self.token_weights(words)
         hits = np.flatnonzero(weights)
@@ -214,7 +220,7 @@ def _log_odds(sample: DataFrame, n_toxic: int, n_other: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                words = split_words(part.column("text"), BETWEEN)
+                words = split_words(part.column("text"), NOT_ALPHANUMERIC)
                 hashes = features_of(words).ravel()
                 rows = np.tile(words.rows, len(LEVELS))
                 order = np.lexsort((rows, hashes))
@@ -255,7 +261,7 @@ def _calibrated(sample: DataFrame, model: Model) -> Model:
         for batch in batches:
             other = batch.filter(pa.array(batch.column("label").to_numpy() == 0))
             for part in slices(other):
-                words = split_words(part.column("text"), BETWEEN)
+                words = split_words(part.column("text"), NOT_ALPHANUMERIC)
                 weights = np.round(model.token_weights(words), 1)
                 values, n = np.unique(weights, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"weight": pa.array(values), "n": pa.array(n)})

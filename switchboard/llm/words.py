@@ -22,6 +22,10 @@ MIX_1, MIX_2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+# Bytes that stand between tokens of letters and digits: the rest of ASCII.
+NOT_ALPHANUMERIC = np.ones(256, bool)
+NOT_ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+NOT_ALPHANUMERIC[0x80:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
