@@ -195,7 +195,8 @@ def _neighbours(batch: pa.RecordBatch, known: int, least: int) -> pa.RecordBatch
         joined.add(rows[alike] + step, rows[alike])
     a, b = joined.used()
     node = batch.column("node")
-    return pa.RecordBatch.from_pydict({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
+    ends = {"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))}
+    return pa.RecordBatch.from_pydict(ends)
 
 
 class Links:
