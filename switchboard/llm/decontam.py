@@ -124,24 +124,26 @@ def _blocks(items: DataFrame, n_words: int) -> Iterator[Block]:
         rows.append(row)
         size += row.text.count(" ") + 1
         if size >= BLOCK_WORDS:
-            yield _block(rows, n_words)
+            yield from _blocks_of(rows, n_words)
             rows, size = [], 0
-    if rows:
-        yield _block(rows, n_words)
+    yield from _blocks_of(rows, n_words)
 
 
-def _block(rows: list, n_words: int) -> Block:
+def _blocks_of(rows: list, n_words: int) -> Iterator[Block]:
+    """Items of fewer than ``n_words`` words are seeds as a whole, in a block for each length."""
     rows = sorted(rows, key=lambda row: (row.item_id is None, row.item_id, row.text))
-    words = split_words(pa.array([row.text for row in rows]), NOT_ALPHANUMERIC)
-    seeds, items = shingles(words, n_words)
-    # Shingles come in order, then those of texts that are shorter than one.
-    in_order = np.arange(len(seeds)) - np.searchsorted(items, items, "left")
-    whole = np.diff(words.bounds)[items] >= n_words
-    places = np.where(whole, in_order, 0)
-    order = np.lexsort((places, items, seeds))
+    words = split_words(pa.array([row.text for row in rows], pa.string()), NOT_ALPHANUMERIC)
     tokens = [words.hashes[a:b] for a, b in zip(words.bounds, words.bounds[1:])]
-    ids = [row.item_id for row in rows]
-    return Block(n_words, ids, tokens, seeds[order], items[order], places[order])
+    for n in range(1, n_words + 1):
+        own = [i for i, t in enumerate(tokens) if min(len(t), n_words) == n]
+        if not own:
+            continue
+        chosen = split_words(pa.array([rows[i].text for i in own]), NOT_ALPHANUMERIC)
+        seeds, items = shingles(chosen, n)
+        places = np.arange(len(seeds)) - np.searchsorted(items, items, "left")
+        order = np.lexsort((places, items, seeds))
+        found = (x[order] for x in (seeds, items, places))
+        yield Block(n, [rows[i].item_id for i in own], [tokens[i] for i in own], *found)
 
 
 def _searched(rows: DataFrame, block: Block, min_score: float, min_words: int) -> DataFrame:
@@ -199,12 +201,12 @@ def _hits(words: Words, block: Block):
     low = np.searchsorted(block.seeds, hashes, "left")
     n = np.searchsorted(block.seeds, hashes, "right") - low
     hit = np.flatnonzero(n)
-    # Where a shingle begins: those of whole length come first and in order.
-    lengths = np.diff(words.bounds)
-    short = np.flatnonzero((lengths > 0) & (lengths < block.n_words))
+    # Where a shingle begins: those of whole length come first and in order. The others are
+    # whole texts, and no seed is equal to one.
     last = max(len(words.hashes) - block.n_words + 1, 0)
     whole = words.rows[:last] == words.rows[block.n_words - 1 :] if last else np.zeros(0, bool)
-    place = np.concatenate([np.flatnonzero(whole), words.bounds[short]])
+    place = np.flatnonzero(whole)
+    hit = hit[hit < len(place)]
     times = n[hit]
     entry = np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     at = np.stack([np.repeat(place[hit], times), block.places[entry]], 1)

@@ -63,7 +63,7 @@ def test_passages_are_where_the_words_are(labelled, documents):
     for row in marked:
         for p in row.passages:
             words = texts[row.doc_id][p.start : p.end].split()
-            assert words[0][:3] in ("zor", "quz") and words[-1][:3] in ("zor", "quz") or row.doc_id not in toxic
+            assert row.doc_id not in toxic or any(w[:3] in ("zor", "quz") for w in words)
 
 
 @pytest.mark.parametrize("value", [None, 0, 1])
