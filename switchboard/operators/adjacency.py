@@ -2,6 +2,9 @@
 
 The two directions differ on purpose. A caller that has no row in the methods table is dropped;
 a callee that has none survives under the name written at the call site.
+
+A stored graph holds both directions as rows by name, clustered by name, so that a question about
+one function is one pushed filter. Any other graph joins its edges, in one plan for all sizes.
 """
 
 from __future__ import annotations
@@ -11,15 +14,17 @@ from pyspark.sql import functions as F
 
 from switchboard.functions.names import is_usable_name
 from switchboard.operators.graph import CallGraph
-from switchboard.operators.skew import fits_broadcast, skew_join, split_join
+from switchboard.operators.skew import skew_join, stored
 from switchboard.schema import UNRESOLVED_ID
 
-# Ids looked up by value instead of by join; a short value list reaches the scan as a filter.
-MAX_LOOKUP_IDS = 1_000
+# Copies of one call row that are expanded from one row.
+COPIES_PER_ROW = 10_000
 
 
 def callers_all(graph: CallGraph, names: DataFrame | None = None) -> DataFrame:
     """(fn, caller) for every name of ``names``, by default every name of the graph."""
+    if names is None and graph.callers_by_name is not None:
+        return graph.callers_by_name
     names = graph.names if names is None else names
     named = skew_join(
         graph.in_edges,
@@ -43,40 +48,49 @@ def callers_all(graph: CallGraph, names: DataFrame | None = None) -> DataFrame:
 
 def callees_all(graph: CallGraph, names: DataFrame | None = None) -> DataFrame:
     """(fn, callee) for every name of ``names``, by default every name of the graph."""
+    if names is None and graph.callees_by_name is not None:
+        return graph.callees_by_name
+    edges = graph.out_edges
+    if names is not None:
+        ids = names.select(F.col("method_id").alias("asked_id")).distinct()
+        edges = skew_join(
+            edges,
+            ids,
+            on=("caller_id", "asked_id"),
+            spread=["callee_id", "callee_full_name"],
+            how="left_semi",
+            heavy=graph.heavy_callers,
+        )
     names = graph.names if names is None else names
     named = skew_join(
-        graph.out_edges,
+        _named_callees(edges, graph.methods, graph.heavy_callees),
         names.select("fn", "method_id"),
         on=("caller_id", "method_id"),
-        spread=["callee_id", "callee_full_name"],
+        spread=["callee"],
         heavy=graph.heavy_callers,
         right_heavy=graph.heavy_method_ids,
         right_spread=["fn"],
     )
-    edges = named.select("fn", "caller_id", "callee_id", "callee_full_name")
-    return _callee_names(graph, edges, ["fn"], graph.methods)
+    return named.select("fn", "callee").distinct()
 
 
-def _callee_names(
-    graph: CallGraph, edges: DataFrame, keys: list[str], methods: DataFrame
-) -> DataFrame:
-    """Distinct (keys, callee) of distinct edges."""
-    looked_up = skew_join(
-        edges,
+def _named_callees(edges: DataFrame, methods: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """Distinct (caller_id, callee) of distinct edges; an unresolved call needs no method."""
+    resolved = skew_join(
+        edges.where(F.col("callee_id") != UNRESOLVED_ID),
         methods.select("method_id", "full_name"),
         on=("callee_id", "method_id"),
         spread=edges.columns,
         how="left",
-        heavy=graph.heavy_callees,
-        cannot_match=F.col("callee_id") == UNRESOLVED_ID,
+        heavy=heavy,
     )
     known = F.col("method_id").isNotNull()
     callee = F.when(known, F.col("full_name")).otherwise(F.col("callee_full_name"))
-    return (
-        looked_up.where(known | is_usable_name(F.col("callee_full_name")))
-        .select(*keys, callee.alias("callee"))
-        .distinct()
-    )
+    usable = is_usable_name(F.col("callee_full_name"))
+    by_id = resolved.where(known | usable).select("caller_id", callee.alias("callee"))
+    unresolved = edges.where((F.col("callee_id") == UNRESOLVED_ID) & usable)
+    by_name = unresolved.select("caller_id", F.col("callee_full_name").alias("callee"))
+    return by_id.unionByName(by_name).distinct()
 
 
 def names_for(graph: CallGraph, requests: DataFrame) -> DataFrame:
@@ -93,73 +107,59 @@ def names_for(graph: CallGraph, requests: DataFrame) -> DataFrame:
     return found.select("fn", "method_id", "seq")
 
 
+def found_for(graph: CallGraph, requests: DataFrame, item: str) -> DataFrame:
+    """(fn, <item>) for the requested names, ``item`` being caller or callee; written once, since
+    results are used for their rows and for their counts."""
+    by_name = graph.callers_by_name if item == "caller" else graph.callees_by_name
+    if by_name is not None:
+        wanted = requests.select("function").distinct()
+        found = by_name.join(wanted, F.col("fn") == F.col("function"), "left_semi")
+    else:
+        find = callers_all if item == "caller" else callees_all
+        found = find(graph, names_for(graph, requests))
+    return stored(found, f"found-{item}")
+
+
 def callers_for(graph: CallGraph, requests: DataFrame) -> DataFrame:
     """(function, caller) per request; one row with a null caller when there is none."""
-    found = callers_all(graph, names_for(graph, requests))
-    return _keep_requests(found, "caller", requests)
+    return _keep_requests(found_for(graph, requests, "caller"), "caller", requests)
 
 
 def callees_for(graph: CallGraph, requests: DataFrame) -> DataFrame:
     """(function, callee) per request; one row with a null callee when there is none."""
-    found = callees_all(graph, names_for(graph, requests))
-    return _keep_requests(found, "callee", requests)
+    return _keep_requests(found_for(graph, requests, "callee"), "callee", requests)
 
 
 def _keep_requests(found: DataFrame, item: str, requests: DataFrame) -> DataFrame:
-    nothing = F.lit(None).cast("string").alias(item)
-    without = count_per_request(found, requests).where(F.col("count") == 0)
-    found = found.withColumnRenamed("fn", "function")
-    return found.unionByName(without.select("function", nothing))
-
-
-def count_per_request(found: DataFrame, requests: DataFrame) -> DataFrame:
-    """(function, count) of the result rows ``found(fn, ...)``, 0 where there are none."""
+    answered = found.select("fn").distinct()
     wanted = requests.select("function").distinct()
-    counts = found.groupBy("fn").agg(F.count("*").alias("n"))
-    counted = wanted.join(counts, F.col("function") == F.col("fn"), "left")
-    return counted.select("function", F.coalesce("n", F.lit(0)).alias("count"))
+    without = wanted.join(answered, F.col("function") == F.col("fn"), "left_anti")
+    nothing = F.lit(None).cast("string").alias(item)
+    return found.withColumnRenamed("fn", "function").unionByName(without.select("function", nothing))
 
 
 def callers_of(graph: CallGraph, function: str) -> DataFrame:
     """Full names of the callers of one function, ascending."""
-    edges = _edges_of(graph, graph.in_edges, "callee_id", "caller_id", function)
-    methods = _methods_at(graph, edges, "caller_id").select("method_id", "full_name")
+    asked = F.col("fn") == function
+    if graph.callers_by_name is not None:
+        return graph.callers_by_name.where(asked).select("caller").orderBy("caller")
+    ids = graph.names.where(asked).select("method_id").distinct()
+    edges = graph.in_edges.join(ids, F.col("callee_id") == F.col("method_id"), "left_semi")
     callers = edges.select("caller_id").distinct()
-    found = callers.join(methods, F.col("caller_id") == F.col("method_id"))
+    found = callers.join(graph.methods, F.col("caller_id") == F.col("method_id"))
     return found.select(F.col("full_name").alias("caller")).distinct().orderBy("caller")
 
 
 def callees_of(graph: CallGraph, function: str) -> DataFrame:
     """Names of what one function calls, ascending."""
-    edges = _edges_of(graph, graph.out_edges, "caller_id", "callee_id", function)
-    methods = _methods_at(graph, edges, "callee_id")
-    distinct = edges.select("callee_id", "callee_full_name").distinct()
-    return _callee_names(graph, distinct, [], methods).orderBy("callee")
-
-
-def _edges_of(graph: CallGraph, edges: DataFrame, key: str, other: str, function: str) -> DataFrame:
-    """Edges whose ``key`` end is one of the ids of ``function``."""
-    ids = graph.names.where(F.col("fn") == function).select("method_id").distinct()
-    few = _few_values(ids, "method_id")
-    if few is not None:
-        return edges.where(F.col(key).isin(few))
-    heavy = graph.heavy_callees if key == "callee_id" else graph.heavy_callers
-    return skew_join(
-        edges, ids, on=(key, "method_id"), spread=[other], how="left_semi", heavy=heavy
-    )
-
-
-def _methods_at(graph: CallGraph, edges: DataFrame, key: str) -> DataFrame:
-    """The methods to look the ``key`` ends of some edges up in: in a stored graph only their
-    own rows, when they are few."""
-    few = _few_values(edges, key) if graph.is_stored else None
-    return graph.methods if few is None else graph.methods.where(F.col("method_id").isin(few))
-
-
-def _few_values(rows: DataFrame, key: str) -> list[str] | None:
-    """The values of a column, unless there are too many to look up one by one."""
-    values = [row[0] for row in rows.select(key).limit(MAX_LOOKUP_IDS + 1).collect()]
-    return sorted(set(values)) if len(values) <= MAX_LOOKUP_IDS else None
+    asked = F.col("fn") == function
+    if graph.callees_by_name is not None:
+        return graph.callees_by_name.where(asked).select("callee").orderBy("callee")
+    ids = graph.names.where(asked).select("method_id").distinct()
+    edges = graph.out_edges.join(ids, F.col("caller_id") == F.col("method_id"), "left_semi")
+    # These are the edges of one function: no callee holds more of them than it has ids.
+    found = _named_callees(edges, graph.methods, None)
+    return found.select("callee").distinct().orderBy("callee")
 
 
 def calls_with_caller(graph: CallGraph) -> DataFrame:
@@ -173,19 +173,30 @@ def calls_with_callee(graph: CallGraph) -> DataFrame:
 
 
 def _merge(graph: CallGraph, key: str, heavy: DataFrame | None) -> DataFrame:
-    rows = graph.method_rows.drop("seq")
-    on = (key, "method_id")
-    if heavy is None or fits_broadcast(rows, "method_id", heavy):
-        # Call rows may be exact copies of each other, which no salt of theirs could separate.
-        merged = split_join(graph.calls, rows, on, heavy)
-    else:
-        merged = skew_join(
-            graph.calls,
-            rows,
-            on,
-            spread=graph.calls.columns,
-            heavy=heavy,
-            right_heavy=graph.heavy_method_ids,
-            right_spread=["full_name", "signature", "file"],
-        )
-    return merged.select(*rows.columns, *graph.calls.columns)
+    """Call rows may be exact copies of each other, which no hash of theirs could separate. Those
+    of heavy keys become (row, copies), are joined, and are expanded again."""
+    rows, calls = graph.method_rows, graph.calls
+    columns = [*(c for c in rows.columns if c != "seq"), *calls.columns]
+    on = F.col(key) == F.col("method_id")
+    if heavy is None:
+        return calls.join(rows, on).select(*columns)
+    is_heavy = F.col(key) == F.col("heavy_key")
+    usual = calls.join(heavy, is_heavy, "left_anti").join(rows, on)
+    copies = calls.join(heavy, is_heavy, "left_semi").groupBy(*calls.columns)
+    parts = F.ceil(F.col("copies") / COPIES_PER_ROW).cast("int")
+    collapsed = copies.agg(F.count("*").alias("copies")).withColumn(
+        "part", F.explode(F.sequence(F.lit(1), parts))
+    )
+    merged = skew_join(
+        collapsed,
+        rows,
+        on=(key, "method_id"),
+        spread=[*calls.columns, "part"],
+        heavy=heavy,
+        right_heavy=graph.heavy_method_ids,
+        right_spread=["seq"],
+    )
+    before = (F.col("part") - 1) * COPIES_PER_ROW
+    in_part = F.least(F.lit(COPIES_PER_ROW), F.col("copies") - before).cast("int")
+    expanded = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), in_part)))
+    return usual.select(*columns).unionByName(expanded.select(*columns))

@@ -64,8 +64,9 @@ class CallGraph:
         self.method_rows = method_rows
         self.calls = calls
         self.out_dir = out_dir
-        # Whether all tables are stored, clustered by the columns they are looked up by.
-        self.is_stored = False
+        # (fn, caller) and (fn, callee) of a stored graph, clustered by fn.
+        self.callers_by_name: DataFrame | None = None
+        self.callees_by_name: DataFrame | None = None
 
     @classmethod
     def from_csv(

@@ -1,16 +1,11 @@
 """Equi-joins that stay balanced when a few keys hold a large share of the rows.
 
 A key is heavy when it holds more rows than one task should process. Heavy keys are found by one
-pre-aggregated count, and there are two ways to join them; all other keys join as usual.
-
-``skew_join`` spreads the left rows of a heavy key over ``ceil(rows / rows_per_task)`` salts and
-repeats the matching right rows once per salt. It reads the left side once, and needs left rows
-that differ from each other.
-
-``split_join`` leaves the left rows of heavy keys where they are and broadcasts the few right
-rows they match. It also handles any number of identical left rows, and reads the left side twice.
-
-Both change only where rows are processed, never which rows come out.
+pre-aggregated count and written to the shared folder, so that every use sees the same keys; there
+are at most (all rows) / (rows of a task) of them. ``skew_join`` spreads the left rows of a heavy
+key over ``ceil(rows / rows_per_task)`` salts and repeats the matching right rows once per salt;
+all other keys join as usual. It reads the left side once, and needs left rows that differ from
+each other. It changes only where rows are processed, never which rows come out.
 """
 
 from __future__ import annotations
@@ -18,55 +13,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from switchboard.session import scratch_path
+
 ROWS_PER_TASK_CONF = "spark.switchboard.rowsPerTask"
 ROWS_PER_TASK = 5_000_000
-# Upper bound of the broadcast table of heavy keys. Keys beyond it are lighter than all keys in
-# it and take the ordinary shuffle, where adaptive skew handling still applies.
-MAX_HEAVY_KEYS = 10_000
-# Text of the right rows of heavy keys that may be broadcast where their number has no bound.
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# Number of places over which rows that cannot match are spread.
-NO_MATCH_SALTS = 8_192
+# Heavy keys up to which their table is broadcast; a longer table is joined by shuffles.
+MAX_BROADCAST_KEYS = 100_000
 
 
 def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_TASK_CONF, str(ROWS_PER_TASK)))
 
 
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """The rows, written once to the shared folder and read back."""
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def count_rows(*tables: DataFrame) -> list[int]:
     """Rows of each table, in one job; for Parquet tables read from file footers."""
     counts = [table.agg(F.count("*")).scalar() for table in tables]
     return list(tables[0].sparkSession.range(1).select(*counts).first())
 
 
-def heavy_from_counts(counts: DataFrame, key: str, rows: str, limit: int) -> DataFrame:
-    """(heavy_key, salts) of the keys above ``limit`` rows, given a table of rows per key."""
-    return (
-        counts.where((F.col(rows) > limit) & F.col(key).isNotNull())
-        .orderBy(F.desc(rows))
-        .limit(MAX_HEAVY_KEYS)
-        .select(
-            F.col(key).alias("heavy_key"),
-            F.ceil(F.col(rows) / limit).cast("int").alias("salts"),
-        )
-    )
-
-
 def find_heavy_keys(rows: DataFrame, key: str, total: int | None = None) -> DataFrame | None:
-    """Heavy keys of a stored table as a bounded local table, or None when there is none.
+    """(heavy_key, salts) of the heavy keys, or None when there can be none.
 
     ``total`` bounds the rows of any key, so a table below the limit needs no count per key.
     """
-    spark = rows.sparkSession
-    limit = rows_per_task(spark)
+    limit = rows_per_task(rows.sparkSession)
     if total is None:
         (total,) = count_rows(rows)
     if total <= limit:
         return None
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    found = heavy_from_counts(counts, key, "n", limit)
-    bounded = found.collect()  # at most MAX_HEAVY_KEYS rows
-    return spark.createDataFrame(bounded, found.schema) if bounded else None
+    counts = rows.groupBy(F.col(key).alias("heavy_key")).agg(F.count("*").alias("n"))
+    heavy = counts.where((F.col("n") > limit) & F.col("heavy_key").isNotNull())
+    heavy = stored(
+        heavy.select("heavy_key", F.ceil(F.col("n") / limit).cast("int").alias("salts")), "heavy"
+    )
+    return F.broadcast(heavy) if total // limit <= MAX_BROADCAST_KEYS else heavy
 
 
 def skew_join(
@@ -77,99 +64,48 @@ def skew_join(
     how: str = "inner",
     heavy: DataFrame | None = None,
     heavy_on: tuple[str, str] | None = None,
-    cannot_match: Column | None = None,
     right_heavy: DataFrame | None = None,
     right_spread: list[str] | None = None,
 ) -> DataFrame:
     """Join ``left`` and ``right`` on ``on = (left column, right column)``.
 
     ``spread`` are the left columns whose hash picks the salt of a heavy row. ``heavy_on`` names
-    the columns that heavy keys refer to when they are coarser than the join key. Rows that
-    satisfy ``cannot_match`` (a sentinel or null key) never meet a right row and are spread out.
-    ``right_heavy`` does the same for a right side that may repeat a key; inner joins only.
-    The column names of the two sides must be disjoint; the result has all of them.
+    the columns that heavy keys refer to when they are coarser than the join key. ``right_heavy``
+    does the same for a right side that may repeat a key; inner joins only. The column names of
+    the two sides must be disjoint; the result has all of them.
     """
     left_key, right_key = on
     left_heavy_on, right_heavy_on = heavy_on or on
     salts = []
     columns = left.columns if how == "left_semi" else left.columns + right.columns
 
-    if heavy is not None or cannot_match is not None:
-        left = _add_salt(left, heavy, left_heavy_on, spread, cannot_match, "left_salt")
+    if heavy is not None:
+        left = _add_salt(left, heavy, left_heavy_on, spread, "left_salt")
         right = _repeat_per_salt(right, heavy, right_heavy_on, "right_salt")
         salts.append(("left_salt", "right_salt"))
     if right_heavy is not None:
         if how != "inner":
             raise ValueError("a heavy right side needs an inner join")
-        right = _add_salt(right, right_heavy, right_key, right_spread, None, "right_own_salt")
+        right = _add_salt(right, right_heavy, right_key, right_spread, "right_own_salt")
         left = _repeat_per_salt(left, right_heavy, left_key, "left_copy_salt")
         salts.append(("left_copy_salt", "right_own_salt"))
 
     condition = F.col(left_key) == F.col(right_key)
     for ours, theirs in salts:
         condition = condition & (F.col(ours) == F.col(theirs))
-    if cannot_match is not None:
-        condition = condition & ~cannot_match
     return left.join(right, condition, how).select(*columns)
 
 
-def split_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: tuple[str, str],
-    heavy: DataFrame | None,
-    how: str = "inner",
-) -> DataFrame:
-    """Join ``left`` and ``right`` on ``on = (left column, right column)``; inner or left.
-
-    The right side must have few rows per heavy key: one each, or a number that was checked.
-    """
-    condition = F.col(on[0]) == F.col(on[1])
-    if heavy is None:
-        return left.join(right, condition, how)
-    keys = F.broadcast(heavy.select("heavy_key"))
-    is_heavy = F.col(on[0]) == F.col("heavy_key")
-    hot_right = right.join(keys, F.col(on[1]) == F.col("heavy_key"), "left_semi")
-    hot = left.join(keys, is_heavy, "left_semi").join(F.broadcast(hot_right), condition, how)
-    rest = left.join(keys, is_heavy, "left_anti").join(right, condition, how)
-    return hot.unionByName(rest)
-
-
-def fits_broadcast(right: DataFrame, key: str, heavy: DataFrame) -> bool:
-    """Whether the right rows of the heavy keys are small enough for ``split_join``."""
-    keys = F.broadcast(heavy.select("heavy_key"))
-    hot_right = right.join(keys, F.col(key) == F.col("heavy_key"), "left_semi")
-    # A fixed share per row and column on top of the text itself.
-    lengths = [F.octet_length(F.col(c).cast("string")) for c in right.columns]
-    sizes = [F.coalesce(length, F.lit(0)) + 16 for length in lengths]
-    total = hot_right.agg(F.sum(sum(sizes, F.lit(0).cast("bigint")))).first()[0]
-    return (total or 0) <= MAX_BROADCAST_BYTES
-
-
 def _add_salt(
-    rows: DataFrame,
-    heavy: DataFrame | None,
-    key: str,
-    spread: list[str],
-    cannot_match: Column | None,
-    salt: str,
+    rows: DataFrame, heavy: DataFrame, key: str, spread: list[str], salt: str
 ) -> DataFrame:
-    value = F.lit(0)
-    if heavy is not None:
-        rows = rows.join(F.broadcast(heavy), F.col(key) == F.col("heavy_key"), "left")
-        own = F.pmod(F.xxhash64(*spread), F.col("salts")).cast("int")
-        value = F.when(F.col("salts").isNotNull(), own).otherwise(value)
-    if cannot_match is not None:
-        anywhere = F.pmod(F.xxhash64(*spread), F.lit(NO_MATCH_SALTS)).cast("int")
-        value = F.when(cannot_match, anywhere).otherwise(value)
+    rows = rows.join(heavy, F.col(key) == F.col("heavy_key"), "left")
+    own = F.pmod(F.xxhash64(*spread), F.col("salts")).cast("int")
+    value = F.when(F.col("salts").isNotNull(), own).otherwise(F.lit(0))
     return rows.withColumn(salt, value).drop("heavy_key", "salts")
 
 
-def _repeat_per_salt(rows: DataFrame, heavy: DataFrame | None, key: str, salt: str) -> DataFrame:
-    if heavy is None:
-        return rows.withColumn(salt, F.lit(0))
-    return (
-        rows.join(F.broadcast(heavy), F.col(key) == F.col("heavy_key"), "left")
-        .withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-        .drop("heavy_key", "salts")
-    )
+def _repeat_per_salt(rows: DataFrame, heavy: DataFrame, key: str, salt: str) -> DataFrame:
+    salts: Column = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    rows = rows.join(heavy, F.col(key) == F.col("heavy_key"), "left")
+    return rows.withColumn(salt, F.explode(salts)).drop("heavy_key", "salts")

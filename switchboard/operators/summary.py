@@ -9,19 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from switchboard.operators.skew import (
-    find_heavy_keys,
-    heavy_from_counts,
-    rows_per_task,
-    split_join,
-)
-
+from switchboard.operators.skew import stored
 
 
 def _aggregates(value: Column) -> list[Column]:
     return [
         F.count("*").alias("n"),
-        F.coalesce(F.sum(value), F.lit(0.0)).alias("total"),
+        F.coalesce(F.sum(value), F.lit(0)).alias("total"),  # integer sums stay exact
         F.coalesce(F.avg(value), F.lit(0.0)).alias("average"),
         F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("std_dev"),
         (F.min(value) == F.max(value)).alias("constant"),
@@ -40,22 +34,28 @@ def statistics_for(values: DataFrame, value: str, by: str, requests: DataFrame)
     """Statistics of the requested data sets; one without rows gets zeros."""
     wanted = requests.select(F.col(by).alias("wanted")).distinct()
     found = wanted.join(statistics(values, value, by), F.col("wanted") == F.col(by), "left")
-    zeros = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("total", "average", "std_dev")]
+    zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "average", "std_dev")]
     return found.select(F.col("wanted").alias(by), *zeros)
 
 
-def analyze(values: DataFrame, value: str, by: str) -> DataFrame:
-    """Every row of ``values`` with its z-score and the statistics of its data set.
+def analyze(values: DataFrame, value: str, by: str | None = None) -> DataFrame:
+    """Every row of ``values`` with its z-score and the statistics of its data set; rows without
+    a group are a data set too.
 
     A data set whose values are all equal has no deviation and keeps its values. Statistics are
-    pre-aggregated and joined back; a window would put a whole data set into one task.
+    pre-aggregated, one row per data set, written and joined back: a window would put a whole data
+    set into one task, and a join of the rows with a written table is one that adaptive execution
+    splits where a data set is large.
     """
     present = values.where(F.col(value).isNotNull())
-    grouped = present.groupBy(F.col(by).alias("set_key")).agg(*_aggregates(F.col(value)))
-    limit = rows_per_task(values.sparkSession)
-    is_large = values.count() > limit  # otherwise no data set can be heavy
-    heavy = heavy_from_counts(grouped, "set_key", "n", limit) if is_large else None
-    joined = split_join(present, grouped, (by, "set_key"), heavy)
+    names = ("total", "average", "std_dev", "constant")
+    if by is None:
+        stats = present.agg(*_aggregates(F.col(value))).select(F.struct(*names))
+        joined = present.withColumn("stats", stats.scalar()).select("*", "stats.*").drop("stats")
+    else:
+        grouped = present.groupBy(F.col(by).alias("set_key")).agg(*_aggregates(F.col(value)))
+        stats = stored(grouped.select("set_key", *names), "statistics")
+        joined = present.join(stats, F.col(by).eqNullSafe(F.col("set_key")))
     x = F.col(value).cast("double")
     unchanged = F.col("constant") | (F.col("std_dev") == 0)
     normalized = F.when(unchanged, x).otherwise((x - F.col("average")) / F.col("std_dev"))
@@ -69,28 +69,23 @@ def analyze(values: DataFrame, value: str, by: str) -> DataFrame:
     )
 
 
-def zscore(values: DataFrame, value: str, by: str) -> DataFrame:
+def zscore(values: DataFrame, value: str, by: str | None = None) -> DataFrame:
     return analyze(values, value, by).select(*values.columns, "normalized")
 
 
 def compare_pairs(values: DataFrame, value: str, by: str, pairs: DataFrame) -> DataFrame:
     """Compare the data sets named by each row of ``pairs(dataset1, dataset2)``.
 
-    ``values`` collapses to one row per data set before any join.
+    ``values`` collapses to one row per data set, written, before any join.
     """
-    stats = statistics(values, value, by)
-    pair_count = pairs.count()
-    heavy = {
-        side: find_heavy_keys(pairs, f"dataset{side}", pair_count) for side in ("1", "2")
-    }
+    stats = stored(statistics(values, value, by), "statistics")
     for side in ("1", "2"):
         renamed = stats.select(
             F.col(by).alias(f"key{side}"),
             F.col("average").alias(f"average{side}"),
             F.col("std_dev").alias(f"std_dev{side}"),
         )
-        on = (f"dataset{side}", f"key{side}")
-        pairs = split_join(pairs, renamed, on, heavy[side], "left")
+        pairs = pairs.join(renamed, F.col(f"dataset{side}") == F.col(f"key{side}"), "left")
         pairs = pairs.drop(f"key{side}").fillna(0.0, [f"average{side}", f"std_dev{side}"])
     difference = F.abs(F.col("average1") - F.col("average2"))
     return pairs.withColumn("mean_difference", difference)

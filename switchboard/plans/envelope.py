@@ -13,14 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.operators.adjacency import (
-    callees_all,
-    callees_of,
-    callers_all,
-    callers_of,
-    count_per_request,
-    names_for,
-)
+from switchboard.operators.adjacency import callees_of, callers_of, found_for
 from switchboard.operators.graph import CallGraph
 from switchboard.operators.lookup import (
     details_for,
@@ -28,7 +21,7 @@ from switchboard.operators.lookup import (
     graph_stats,
     search_functions,
 )
-from switchboard.operators.skew import heavy_from_counts, rows_per_task, skew_join
+from switchboard.operators.skew import stored
 
 HEAD, ITEM, TAIL = 0, 1, 2
 # Fixed value of the answer to a question about an unknown function.
@@ -42,19 +35,22 @@ def json_string(text: Column) -> Column:
 
 
 def _documents(
-    found: DataFrame, requests: DataFrame, item: str, asked: str, listed: str, large: bool
+    found: DataFrame, requests: DataFrame, item: str, asked: str, listed: str
 ) -> DataFrame:
-    """Lines of one document per request, from ``found(fn, <item>)``."""
-    ends = found.groupBy("fn").agg(F.count("*").alias("n"), F.max(item).alias("last_item"))
-    limit = rows_per_task(found.sparkSession)
-    items = skew_join(
-        found,
-        ends.withColumnRenamed("fn", "end_fn"),
-        on=("fn", "end_fn"),
-        spread=[item],
-        heavy=heavy_from_counts(ends, "fn", "n", limit) if large else None,
-    ).withColumnRenamed("fn", "function")
-    return _lines(items, count_per_request(found, requests), item, asked, listed)
+    """Lines of one document per request, from a written table ``found(fn, <item>)``.
+
+    The ends of the lists are written too: the join of two written tables is one whose heavy
+    names adaptive execution can split.
+    """
+    ends = found.groupBy(F.col("fn").alias("end_fn")).agg(
+        F.count("*").alias("n"), F.max(item).alias("last_item")
+    )
+    ends = stored(ends, "list-ends")
+    items = found.join(ends, F.col("fn") == F.col("end_fn")).withColumnRenamed("fn", "function")
+    wanted = requests.select("function").distinct()
+    counted = wanted.join(ends, F.col("function") == F.col("end_fn"), "left")
+    counts = counted.select("function", F.coalesce("n", F.lit(0)).alias("count"))
+    return _lines(items, counts, item, asked, listed)
 
 
 def _document(found: DataFrame, argument: str, item: str, asked: str, listed: str) -> DataFrame:
@@ -103,13 +99,13 @@ def _lines(
 
 
 def callers_json(graph: CallGraph, requests: DataFrame) -> DataFrame:
-    found = callers_all(graph, names_for(graph, requests))
-    return _documents(found, requests, "caller", "function", "callers", _is_large(graph))
+    found = found_for(graph, requests, "caller")
+    return _documents(found, requests, "caller", "function", "callers")
 
 
 def callees_json(graph: CallGraph, requests: DataFrame) -> DataFrame:
-    found = callees_all(graph, names_for(graph, requests))
-    return _documents(found, requests, "callee", "function", "callees", _is_large(graph))
+    found = found_for(graph, requests, "callee")
+    return _documents(found, requests, "callee", "function", "callees")
 
 
 def search_json(graph: CallGraph, query: str) -> DataFrame:
@@ -117,11 +113,6 @@ def search_json(graph: CallGraph, query: str) -> DataFrame:
     return _document(found, query, "fn", "query", "results")
 
 
-def _is_large(graph: CallGraph) -> bool:
-    """No name has more results than there are calls, so a small graph has no heavy name."""
-    return graph.call_count > rows_per_task(graph.spark)
-
-
 def details_json(graph: CallGraph, requests: DataFrame) -> DataFrame:
     """(function, json), one object per request."""
     return _details_objects(details_for(graph, requests))

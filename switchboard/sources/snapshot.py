@@ -1,7 +1,7 @@
 """A written, typed snapshot of a call graph.
 
-CSV is read once; queries then run on Parquet whose rows are clustered by the keys they are
-looked up by, so a question about one function skips the row groups of all others. Each save
+CSV is read once; queries then run on Parquet. Both directions are stored by short name, clustered
+by it, so a question about one function skips the row groups of all others. Each save
 makes a new version, and a version counts only once its last table is complete.
 """
 
@@ -9,19 +9,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from switchboard.operators.adjacency import callees_all, callers_all
 from switchboard.operators.graph import CallGraph
 from switchboard.sources.tables import path_exists
 
 # Table name to the columns its rows are clustered by. Range bounds cover all the columns, so
 # a key with very many rows is divided over several files.
 READ_TABLES = {"method_rows": ["method_id", "seq"], "calls": []}
-DERIVED_TABLES = {
-    "methods": ["method_id"],
-    "names": ["fn", "method_id"],
-    "in_edges": ["callee_id", "caller_id"],
-    "out_edges": ["caller_id", "callee_id", "callee_full_name"],
-}
-LAST_TABLE = "out_edges"
+KEYED_TABLES = {"methods": ["method_id"], "names": ["fn", "method_id"]}
+ANSWERS = {"callers_by_name": ["fn", "caller"], "callees_by_name": ["fn", "callee"]}
+LAST_TABLE = "callees_by_name"
 
 
 def save(graph: CallGraph, path: str) -> int:
@@ -29,16 +26,19 @@ def save(graph: CallGraph, path: str) -> int:
     spark = graph.spark
     version = latest_version(spark, path, complete_only=False) + 1
     folder = f"{path}/version={version}"
-    _write(graph, READ_TABLES, folder)
+    _write({name: getattr(graph, name) for name in READ_TABLES}, READ_TABLES, folder)
     # The source is read once; the other tables come from what was just stored.
-    stored = {name: spark.read.parquet(f"{folder}/{name}") for name in READ_TABLES}
-    _write(CallGraph(**stored), DERIVED_TABLES, folder)
+    read = CallGraph(*(spark.read.parquet(f"{folder}/{name}") for name in READ_TABLES))
+    _write({name: getattr(read, name) for name in KEYED_TABLES}, KEYED_TABLES, folder)
+    vars(read).update({name: spark.read.parquet(f"{folder}/{name}") for name in KEYED_TABLES})
+    answers = {"callers_by_name": callers_all(read), "callees_by_name": callees_all(read)}
+    _write(answers, ANSWERS, folder)
     return version
 
 
-def _write(graph: CallGraph, layout: dict[str, list[str]], folder: str) -> None:
+def _write(tables: dict[str, DataFrame], layout: dict[str, list[str]], folder: str) -> None:
     for name, keys in layout.items():
-        rows: DataFrame = getattr(graph, name)
+        rows = tables[name]
         if keys:
             rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
         rows.write.parquet(f"{folder}/{name}")
@@ -66,11 +66,11 @@ def open_snapshot(spark: SparkSession, path: str, out_dir: str | None = None) ->
         raise FileNotFoundError(f"No snapshot in '{path}'")
     folder = f"{path}/version={version}"
     tables = {
-        name: spark.read.parquet(f"{folder}/{name}") for name in READ_TABLES | DERIVED_TABLES
+        name: spark.read.parquet(f"{folder}/{name}")
+        for name in READ_TABLES | KEYED_TABLES | ANSWERS
     }
     graph = CallGraph(tables.pop("method_rows"), tables.pop("calls"), out_dir)
     vars(graph).update(tables)  # stored tables take the place of the derived ones
-    graph.is_stored = True
     return graph
 
 

@@ -1,13 +1,16 @@
-"""Queries against a plain restatement in Python, on small graphs with every special case."""
+"""Queries on a small graph with answers listed by hand, and against SQL on random graphs with
+every special case."""
 
 import json
 import random
 
+import duckdb
 import pytest
 
-from switchboard.operators import adjacency, graph as keyed, lookup
+from switchboard.operators import adjacency, graph as keyed, lookup, skew
 from switchboard.operators.graph import CallGraph
 from switchboard.plans import envelope
+from switchboard.plans.oracle import CALLEES, CALLERS, DETAILS, METHODS, NAMES
 from switchboard.schema import CALL_COLUMNS
 from switchboard.sources import snapshot
 from switchboard.sources.tables import write_calls, write_methods
@@ -16,43 +19,41 @@ METHOD_SCHEMA = "seq bigint, method_id string, full_name string, signature strin
 CALL_SCHEMA = ", ".join(f"{c} string" for c in CALL_COLUMNS)
 
 
-def short(full_name):
-    if ":" not in full_name:
-        return full_name
-    return full_name.rsplit(":", 1)[1].rsplit(".", 1)[-1]
-
-
 class Expected:
-    """The answers, from dictionaries and lists."""
+    """The answers by SQL in another engine, over the same rows."""
 
     def __init__(self, methods, calls):
-        self.methods = {m[1]: m for m in methods}
-        self.ids = {}
-        for m in methods:
-            self.ids.setdefault(short(m[2]), []).append(m[1])
-        self.calls = calls
+        sql = duckdb.connect()
+        sql.execute(
+            "create table method_rows (seq bigint, method_id varchar, full_name varchar, "
+            "signature varchar, file varchar)"
+        )
+        sql.execute(f"create table calls ({', '.join(f'{c} varchar' for c in CALL_COLUMNS)})")
+        sql.executemany("insert into method_rows values (?, ?, ?, ?, ?)", methods)
+        if calls:
+            sql.executemany(f"insert into calls values ({', '.join('?' * 8)})", calls)
+
+        def ask(query, *relations):
+            return sql.sql(f"with {', '.join([METHODS, NAMES, *relations])} {query}").fetchall()
+
+        listed = "select fn, list({0} order by {0}) from {0}s group by fn"
+        self.caller_lists = dict(ask(listed.format("caller"), CALLERS))
+        self.callee_lists = dict(ask(listed.format("callee"), CALLEES))
+        self.rows = {row[0]: row[1:] for row in ask("select * from details", DETAILS)}
+        self.names = {name for (name,) in ask("select distinct fn from names")}
+        (self.n_methods,) = ask("select count(*) from methods")[0]
 
     def callers(self, name):
-        ids = set(self.ids.get(name, []))
-        ends = {c[0] for c in self.calls if c[3] in ids}
-        return sorted({self.methods[e][2] for e in ends if e in self.methods})
+        return self.caller_lists.get(name, [])
 
     def callees(self, name):
-        ids = set(self.ids.get(name, []))
-        found = set()
-        for c in self.calls:
-            if c[0] not in ids:
-                continue
-            if c[3] != "-1" and c[3] in self.methods:
-                found.add(self.methods[c[3]][2])
-            elif c[4] not in ("", "<unknownFullName>"):
-                found.add(c[4])
-        return sorted(found)
+        return self.callee_lists.get(name, [])
 
     def details(self, name):
-        if name not in self.ids:
-            return None
-        return self.methods[self.ids[name][0]][1:]
+        return self.rows.get(name)
+
+    def search(self, query):
+        return sorted(n for n in self.names if query.lower() in n.lower())
 
 
 def random_graph(seed, hub_share=0.35):
@@ -94,7 +95,7 @@ def grouped(rows):
 
 def check_all(graph, methods, calls):
     expected = Expected(methods, calls)
-    names = expected.ids
+    names = expected.names
     assert grouped(adjacency.callers_all(graph)) == {
         n: expected.callers(n) for n in names if expected.callers(n)
     }
@@ -104,7 +105,7 @@ def check_all(graph, methods, calls):
     details = {r[0]: tuple(r)[1:] for r in lookup.details_all(graph).collect()}
     assert details == {n: expected.details(n) for n in names}
     totals = lookup.graph_totals(graph).first()
-    assert tuple(totals) == (len(expected.methods), len(calls), len(names))
+    assert tuple(totals) == (expected.n_methods, len(calls), len(names))
 
 
 @pytest.mark.parametrize(("seed", "rows_per_task"), [(1, "1000000"), (2, "100"), (3, "1")])
@@ -124,11 +125,56 @@ def test_heavy_keys_are_found(small_tasks):
     assert "9" in {r.heavy_key for r in graph.heavy_method_ids.collect()}
 
 
+SMALL_METHODS = [
+    (0, "1", "app.py:<module>.main", "main()", "app.py"),
+    (1, "2", "app.py:<module>.Box.load", "load(self)", "app.py"),
+    (2, "3", "lib.py:<module>.load", "load(x)", "lib.py"),
+    (3, "2", "app.py:<module>.Box.reload", "", "app.py"),
+    (4, "4", "os.path.join", "", "<unknown>"),
+]
+SMALL_CALLS = [
+    ("1", "", "", "2", "stale", "", "", "3"),
+    ("1", "", "", "2", "stale", "", "", "4"),
+    ("1", "", "", "3", "", "", "", "5"),
+    ("2", "", "", "2", "", "", "", "9"),
+    ("2", "", "", "-1", "print", "", "", "10"),
+    ("2", "", "", "-1", "<unknownFullName>", "", "", "11"),
+    ("2", "", "", "77", "gone.py:f", "", "", "12"),
+    ("88", "", "", "3", "", "", "", "1"),
+]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_answers_listed_by_hand(spark, tmp_path, stored):
+    graph = frames(spark, SMALL_METHODS, SMALL_CALLS)
+    if stored:
+        snapshot.save(graph, str(tmp_path))
+        graph = snapshot.open_snapshot(spark, str(tmp_path))
+    main, reload, load = (f"{m}:<module>.{n}" for m, n in (
+        ("app.py", "main"), ("app.py", "Box.reload"), ("lib.py", "load")))
+    assert grouped(adjacency.callers_all(graph)) == {
+        "load": [reload, main],  # id 2 stays reachable under its old name; id 88 has no row
+        "reload": [reload, main],
+    }
+    assert grouped(adjacency.callees_all(graph)) == {
+        "main": [reload, load],
+        "load": [reload, "gone.py:f", "print"],
+        "reload": [reload, "gone.py:f", "print"],
+    }
+    assert [r.callee for r in adjacency.callees_of(graph, "load").collect()] == [
+        reload, "gone.py:f", "print"
+    ]
+    assert [r.caller for r in adjacency.callers_of(graph, "load").collect()] == [reload, main]
+    assert [tuple(r) for r in lookup.function_details(graph, "load").collect()] == [
+        ("2", reload, "", "app.py")
+    ]
+    found = [r.fn for r in lookup.search_functions(graph, "LOAD").collect()]
+    assert found == ["load", "reload"]
+    assert tuple(lookup.graph_totals(graph).first()) == (4, 8, 4)
+
+
 @pytest.mark.parametrize("stored", [False, True])
-@pytest.mark.parametrize("lookup_ids", [1000, 1])
-def test_single_names(spark, tmp_path, monkeypatch, lookup_ids, stored):
-    """The same answers by value list and, for a name with too many ids, by join."""
-    monkeypatch.setattr(adjacency, "MAX_LOOKUP_IDS", lookup_ids)
+def test_single_names(spark, tmp_path, stored):
     methods, calls = random_graph(3)
     graph, expected = frames(spark, methods, calls), Expected(methods, calls)
     if stored:
@@ -174,7 +220,7 @@ def test_search(spark):
     graph, expected = frames(spark, methods, calls), Expected(methods, calls)
     for query in ["", "M1", "<MOD", "."]:
         found = [r.fn for r in lookup.search_functions(graph, query).collect()]
-        assert found == sorted(n for n in expected.ids if query.lower() in n.lower())
+        assert found == expected.search(query)
 
 
 def test_name_index_keeps_the_old_name_of_a_redefined_id(spark):
@@ -218,7 +264,7 @@ def test_search_document(spark):
     methods, calls = random_graph(7)
     graph, expected = frames(spark, methods, calls), Expected(methods, calls)
     for query in ("M1", "zzz"):
-        found = sorted(n for n in expected.ids if query.lower() in n.lower())
+        found = expected.search(query)
         shape = {"query": query, "results": found, "count": len(found), "success": True}
         assert document(graph, "search_functions", query) == json.dumps(shape, indent=2)
 
@@ -227,7 +273,7 @@ def test_details_documents(spark):
     methods, calls = random_graph(7)
     graph, expected = frames(spark, methods, calls), Expected(methods, calls)
     fields = ("method_id", "full_name", "signature", "file")
-    known = next(iter(expected.ids))
+    known = min(expected.names)
     assert json.loads(document(graph, "get_function_details", known)) == {
         "function": known,
         "details": dict(zip(fields, expected.details(known), strict=True)),
@@ -266,9 +312,9 @@ def test_stats_document(spark, tmp_path):
     write_calls(spark.createDataFrame(calls, CALL_SCHEMA), out_dir)
     graph, expected = CallGraph.from_csv(spark, out_dir), Expected(methods, calls)
     assert json.loads(document(graph, "get_call_graph_stats")) == {
-        "total_methods": len(expected.methods),
+        "total_methods": expected.n_methods,
         "total_calls": len(calls),
-        "unique_functions": len(expected.ids),
+        "unique_functions": len(expected.names),
         "methods_file": f"{out_dir}/methods.csv",
         "calls_file": f"{out_dir}/calls.csv",
         "methods_loaded": True,
@@ -294,7 +340,7 @@ def test_snapshot_is_read_until_refreshed(small_tasks, tmp_path):
         return grouped(adjacency.callers_all(snapshot.load_once(spark, out_dir, stored, **options)))
 
     first, second = Expected(*store(1)), store(2)
-    expected = {n: first.callers(n) for n in first.ids if first.callers(n)}
+    expected = first.caller_lists
     store(1)
     assert callers() == expected
     store(2)
@@ -310,15 +356,37 @@ def test_unfinished_snapshot_is_not_opened(spark, tmp_path):
         snapshot.open_snapshot(spark, str(stored))
 
 
-def test_merge_with_copies_of_one_call_and_many_definitions(small_tasks, monkeypatch):
-    """A third of the calls are exact copies; with and without room to broadcast."""
+@pytest.mark.parametrize("copies_per_row", [10_000, 7])
+def test_merge_with_copies_of_one_call_and_many_definitions(
+    small_tasks, monkeypatch, copies_per_row
+):
+    """A third of the calls are exact copies."""
+    monkeypatch.setattr(adjacency, "COPIES_PER_ROW", copies_per_row)
     methods, calls = random_graph(8)
     calls += [("9", "x", "f", "3", "ext", "f", "s", "1")] * 450
     expected = sorted(m[1:] + c for m in methods for c in calls if m[1] == c[3])
-    for limit in (1_000_000, 0):
-        monkeypatch.setattr("switchboard.operators.skew.MAX_BROADCAST_BYTES", limit)
-        rows = adjacency.calls_with_callee(frames(small_tasks, methods, calls))
-        assert sorted(tuple(r) for r in rows.collect()) == expected
+    rows = adjacency.calls_with_callee(frames(small_tasks, methods, calls))
+    assert sorted(tuple(r) for r in rows.collect()) == expected
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 3])
+def test_many_heavy_keys_with_equal_counts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(skew, "MAX_BROADCAST_KEYS", broadcast)
+    spark.conf.set("spark.switchboard.rowsPerTask", "2")
+    try:
+        methods = [(i, str(i), f"m.py:f{i % 70}", "", "") for i in range(300)]
+        calls = [
+            (str((i * 7 + k) % 300), "", "", str(i), "", "", "", str(k))
+            for i in range(300) for k in range(3)
+        ]
+        graph = frames(spark, methods, calls)
+        assert graph.heavy_callees.count() == graph.heavy_callers.count() == 300
+        check_all(graph, methods, calls)
+        expected = sorted(m[1:] + c for m in methods for c in calls if m[1] == c[0])
+        found = adjacency.calls_with_caller(graph).collect()
+        assert sorted(tuple(r) for r in found) == expected
+    finally:
+        spark.conf.unset("spark.switchboard.rowsPerTask")
 
 
 def test_stats_without_known_files(spark):

@@ -64,12 +64,27 @@ def test_repeated_calls_collapse_before_the_joins(spark):
     )
 
 
-def test_stored_graph_is_searched_with_pushed_filters(spark, tmp_path):
+def test_stored_graph_is_searched_with_pushed_filters(small_tasks, tmp_path):
+    """One filter on the name, also where every key would count as heavy, and no job before."""
+    spark = small_tasks
     snapshot.save(fixtures.graph(spark, SF_DIR), str(tmp_path))
     graph = snapshot.open_snapshot(spark, str(tmp_path))
-    text = adjacency.callers_of(graph, "n15")._jdf.queryExecution().toString()
-    pushed = re.findall(r"PushedFilters: \[([^\n]*)", text)
-    assert any("callee_id" in p and ("In(" in p or "EqualTo" in p) for p in pushed)
-    assert any("method_id" in p and ("In(" in p or "EqualTo" in p) for p in pushed)
+    group = "stored-questions"
+    spark.sparkContext.setJobGroup(group, group)
+    asked = {
+        "callers_by_name": adjacency.callers_of(graph, "n15"),
+        "callees_by_name": adjacency.callees_of(graph, "n15"),
+    }
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    for table, rows in asked.items():
+        text = plan(rows)
+        assert all(f"/{table}/" in file for file in rows.inputFiles())
+        assert "EqualTo(fn,n15)" in text and "Join" not in text
     details = lookup.function_details(graph, "n15")._jdf.queryExecution().toString()
     assert "EqualTo(method_id" in details
+
+
+def test_requests_read_the_calls_once(spark):
+    graph = fixtures.graph(spark, SF_DIR)
+    rows = adjacency.callers_for(graph, fixtures.requests(spark, SF_DIR))
+    assert "lineitem" not in plan(rows)  # what was found is read from where it was written

@@ -51,6 +51,28 @@ def test_zscores(values):
     }
 
 
+def test_rows_without_a_group_are_a_data_set(spark):
+    rows = [("a", 1.0), ("a", 3.0), (None, 10.0), (None, 30.0)]
+    frame = spark.createDataFrame(rows, "name string, x double")
+    found = sorted((str(r.name), r.x, r.normalized, r.mean) for r in summary.analyze(frame, "x", "name").collect())
+    assert found == [("None", 10, -1, 20), ("None", 30, 1, 20), ("a", 1, -1, 2), ("a", 3, 1, 2)]
+
+
+def test_whole_table_as_one_data_set(spark, values):
+    rows = summary.analyze(values.where("name = 'one'"), "x").collect()
+    assert {(r.x, round(r.normalized, 6)) for r in rows} == {
+        (1, -1.414214), (2, -0.707107), (3, 0), (4, 0.707107), (5, 1.414214)
+    }
+    assert {(r.total, r.mean, r.average) for r in rows} == {(15, 3, 3)}
+    assert summary.zscore(values.limit(0), "x").count() == 0
+
+
+def test_integer_sums_are_exact(spark):
+    frame = spark.createDataFrame([(2**53 + 1,), (0,)], "x bigint")
+    assert summary.statistics(frame, "x").first().total == 2**53 + 1
+    assert {r.total for r in summary.analyze(frame, "x").collect()} == {2**53 + 1}
+
+
 def test_constant_values_without_an_exact_mean_stay_unchanged(spark):
     rows = spark.createDataFrame([("a", 0.1)] * 10, "name string, x double")
     assert {r.normalized for r in summary.zscore(rows, "x", "name").collect()} == {0.1}
