@@ -100,6 +100,22 @@ def test_configured_folder(monkeypatch):
     assert default_out_dir().endswith("/out")
 
 
+def read_in_splits(spark, path, split_bytes, columns):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = read_quoted_csv(spark, str(path))
+        return [tuple(r)[:columns] for r in read.orderBy("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def by_csv_module(path):
+    with path.open(encoding="utf-8") as f:
+        return [tuple(r.values()) for r in csv.DictReader(f)]
+
+
 @pytest.mark.parametrize("split_bytes", ["64", "200", "100000"])
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_records_that_span_splits(spark, tmp_path, split_bytes, seed):
@@ -112,19 +128,53 @@ def test_records_that_span_splits(spark, tmp_path, split_bytes, seed):
     ]
     path = tmp_path / "methods.csv"
     path.write_text(HEADER + as_text(rows), encoding="utf-8")
-    with path.open(encoding="utf-8", newline="") as f:
-        expected = [tuple(r.values()) for r in csv.DictReader(f)]
-    assert expected == rows
+    assert by_csv_module(path) == rows
+    assert read_in_splits(spark, path, split_bytes, 4) == rows
 
-    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
-    try:
-        read = read_quoted_csv(spark, str(path))
-        found = [tuple(r)[:4] for r in read.orderBy("seq").collect()]
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert found == rows
+
+@pytest.mark.parametrize("split_bytes", ["64", "100000"])
+@pytest.mark.parametrize("seed", range(6))
+def test_unquoted_fields_and_stray_quotes(spark, tmp_path, split_bytes, seed):
+    """Quotes that open nothing, quotes after which text goes on, and fields over many lines."""
+    rng = random.Random(seed)
+
+    def field():
+        text = "".join(rng.choices(["a", "b c", "é", '5"', '""', "x"], k=rng.randrange(1, 5)))
+        kind = rng.randrange(5)
+        if kind < 2:
+            return "w" + text  # unquoted: every quote is text
+        body = "".join(rng.choices(["a", ",", '""', "\n", "\n" * 30, "z " * 20], k=rng.randrange(5)))
+        after = rng.choice(["", "", "", "tail", 'ta"il']) if seed % 2 else ""
+        return f'"{body}"{after}'
+
+    text = "".join(f"{i},{field()},{field()},{field()}\n" for i in range(80))
+    path = tmp_path / "methods.csv"
+    path.write_text(HEADER + text, encoding="utf-8")
+    assert read_in_splits(spark, path, split_bytes, 4) == by_csv_module(path)
+
+
+def test_stray_quotes_lose_no_row(spark, tmp_path):
+    path = tmp_path / "methods.csv"
+    path.write_text(HEADER + '1,a.py:f,5" pipe,x\n2,b.py:g,,y\n3,"c\nd","e",z\n', encoding="utf-8")
+    found = read_in_splits(spark, path, "100000", 4)
+    assert [tuple(x or "" for x in row) for row in found] == by_csv_module(path)
+
+
+def test_a_field_that_is_never_closed_is_reported(spark, tmp_path):
+    lines = "".join(f"{i},n,s,f\n" for i in range(200))
+    path = tmp_path / "methods.csv"
+    path.write_text(HEADER + '0,"open,s,f\n' + lines, encoding="utf-8")
+    with pytest.raises(ValueError, match="methods.csv"):
+        read_in_splits(spark, path, "100", 4)
+
+
+def test_part_files_go_by_their_number(spark, tmp_path):
+    folder = tmp_path / "methods.csv"
+    folder.mkdir()
+    for number in (100000, 10001, 9):
+        (folder / f"part-{number:05}-abc.csv").write_text(HEADER + f"{number},n,s,f\n")
+    found = read_in_splits(spark, folder, "100000", 1)
+    assert found == [("9",), ("10001",), ("100000",)]
 
 
 def test_order_of_a_file_in_many_splits(spark, tmp_path):
