@@ -37,9 +37,14 @@ class CodeNodes:
     errors: DataFrame
 
 
+def read_corpus_facts(corpus: DataFrame) -> DataFrame:
+    """The facts of every file, parsed where the file is read."""
+    return corpus.select("path", "source").mapInArrow(read_facts, FACTS_SCHEMA)
+
+
 def write_facts(corpus: DataFrame, path: str) -> DataFrame:
     """Parse every file once, keep the facts as a table by kind, and read it back."""
-    facts = corpus.select("path", "source").mapInArrow(read_facts, FACTS_SCHEMA)
+    facts = read_corpus_facts(corpus)
     facts.write.mode("overwrite").partitionBy("kind").parquet(path)
     return corpus.sparkSession.read.schema(FACTS_SCHEMA).parquet(path)
 
@@ -59,8 +64,8 @@ def _node_id(path: str, number: str) -> Column:
     return F.md5(F.concat_ws("#", F.col(path), F.col(number).cast("string")))
 
 
-def nodes_from_facts(facts: DataFrame) -> CodeNodes:
-    definitions = facts.where(F.col("kind") == "def").select(
+def _definitions(facts: DataFrame) -> DataFrame:
+    return facts.where(F.col("kind") == "def").select(
         _node_id("path", "ord").alias("method_id"),
         F.concat_ws(":", "path", "qualname").alias("full_name"),
         "name",
@@ -68,6 +73,22 @@ def nodes_from_facts(facts: DataFrame) -> CodeNodes:
         "path",
         "ord",
     )
+
+
+def method_nodes(facts: DataFrame) -> DataFrame:
+    path = F.col("path")
+    return _definitions(facts).select(
+        "method_id", "full_name", "signature", path.alias("file_name"), path.alias("filename")
+    )
+
+
+def errors(facts: DataFrame) -> DataFrame:
+    return facts.where(F.col("kind") == "error").select("path", F.col("written").alias("error"))
+
+
+def nodes_from_facts(facts: DataFrame) -> CodeNodes:
+    """Nodes from written facts, which are read several times."""
+    definitions = _definitions(facts)
     calls = facts.where(F.col("kind") == "call").select(
         F.concat(F.lit("c"), _node_id("path", "ord")).alias("call_id"),
         _node_id("path", "owner").alias("caller_id"),
@@ -78,13 +99,6 @@ def nodes_from_facts(facts: DataFrame) -> CodeNodes:
         "lookups",
         "may_guess",
     )
-    method_nodes = definitions.select(
-        "method_id",
-        "full_name",
-        "signature",
-        F.col("path").alias("file_name"),
-        F.col("path").alias("filename"),
-    )
     call_sites = calls.select(
         "call_id",
         "caller_id",
@@ -94,10 +108,9 @@ def nodes_from_facts(facts: DataFrame) -> CodeNodes:
     # The keys calls are joined on end in the called name, so only names called very often can
     # make a key heavy.
     heavy = find_heavy_keys(facts.where(F.col("kind") == "call"), "name")
-    errors = facts.where(F.col("kind") == "error").select("path", F.col("written").alias("error"))
     targets = _visible_targets(definitions, calls, _imported(facts, definitions), heavy)
     targets = targets.unionByName(_only_definition(definitions, calls, heavy))
-    return CodeNodes(method_nodes, call_sites, targets, errors)
+    return CodeNodes(method_nodes(facts), call_sites, targets, errors(facts))
 
 
 def _last_definitions(definitions: DataFrame) -> DataFrame:
@@ -130,16 +143,15 @@ def _imported(facts: DataFrame, definitions: DataFrame) -> DataFrame:
         F.array(F.slice(folders, F.lit(1), depth + 1 - F.col("level"))),
     )
 
-    def candidates(base: Column) -> Column:
+    def modules(base: Column) -> Column:
+        """Files the import may read, and whether it then names a member of the file."""
         parts = F.filter(F.array_append(base, module_path), lambda part: part != "")
         stem = F.array_join(parts, "/")
         child = F.array_join(F.array_append(parts, F.col("written")), "/")
-        as_module = [F.concat(stem, F.lit(end)) for end in MODULE_ENDS]
-        as_member = [F.concat(name, F.lit("."), F.col("written")) for name in as_module]
-        as_child = [F.concat(child, F.lit(end)) for end in MODULE_ENDS]
-        return F.when(F.col("written").isNull(), F.array(*as_module)).otherwise(
-            F.array(*as_member, *as_child)
-        )
+        names_member = F.col("written").isNotNull()
+        own = [_module(stem, end, names_member) for end in MODULE_ENDS]
+        below = [_module(child, end, F.lit(False)) for end in MODULE_ENDS]
+        return F.when(names_member, F.array(*own, *below)).otherwise(F.array(*own))
 
     imports = facts.where(F.col("kind") == "import").withColumn(
         "import_key", F.coalesce("written", F.substring_index("qualname", ".", -1))
@@ -148,11 +160,17 @@ def _imported(facts: DataFrame, definitions: DataFrame) -> DataFrame:
         "path",
         F.col("name").alias("alias"),
         "ord",
+        "written",
         "import_key",
-        F.posexplode(F.flatten(F.transform(bases, candidates))).alias("rank", "candidate"),
+        F.posexplode(F.flatten(F.transform(bases, modules))).alias("rank", "module"),
     )
+    # Most places an import could mean hold no file: those go before any definition is looked up.
+    known = definitions.where(F.col("name") == MODULE).select(F.col("full_name").alias("known"))
+    existing = listed.join(known.distinct(), F.col("module.name") == F.col("known"), "left_semi")
+    member = F.concat_ws(".", "module.name", "written")
+    wanted = F.when(F.col("module.names_member"), member).otherwise(F.col("module.name"))
     found = skew_join(
-        listed,
+        existing.withColumn("candidate", wanted),
         _last_definitions(definitions),
         on=("candidate", "def_name"),
         spread=["path", "alias"],
@@ -171,6 +189,10 @@ def _imported(facts: DataFrame, definitions: DataFrame) -> DataFrame:
 MODULE_ENDS = [".py:<module>", "/__init__.py:<module>"]
 
 
+def _module(stem: Column, end: str, names_member: Column) -> Column:
+    return F.struct(F.concat(stem, F.lit(end)).alias("name"), names_member.alias("names_member"))
+
+
 def _visible_targets(
     definitions: DataFrame, calls: DataFrame, imported: DataFrame, heavy: DataFrame | None
 ) -> DataFrame:

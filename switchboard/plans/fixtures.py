@@ -44,7 +44,8 @@ def _text(column: str) -> Column:
 
 
 def method_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as methods; suppliers define even ids a second time, later in file order."""
+    """Parts as methods; suppliers define ids once more: even ids later in file order, odd ids
+    earlier."""
     last_digit = F.col("p_partkey") % 10
     module = F.concat(F.lit("src/m"), _text("p_size"), F.lit(".py"))
     plain_name = F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))
@@ -67,9 +68,9 @@ def method_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         signature.alias("signature"),
         file.alias("file"),
     )
-    again = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 2 == 0)
-    redefined = again.select(
-        (F.lit(1_000_000_000) + F.col("s_suppkey").cast("bigint")).alias("seq"),
+    is_later = F.when(F.col("s_suppkey") % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    redefined = table(spark, sf_dir, "supplier").select(
+        (is_later * 1_000_000_000 + F.col("s_suppkey").cast("bigint")).alias("seq"),
         _text("s_suppkey").alias("method_id"),
         F.concat(F.lit("src/dup.py:<module>.Dup.n"), _text("s_nationkey")).alias("full_name"),
         F.lit("def()").alias("signature"),
@@ -181,6 +182,11 @@ handle_{key}({price})
 """
 
 
+TEXT_MODULE = """def note_{key}():
+    return len(\"\"\"{text}\"\"\")
+"""
+
+
 def _fill(template: str, **columns: Column) -> Column:
     text = F.lit(template)
     for name, column in columns.items():
@@ -207,11 +213,19 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             price=F.floor("o_totalprice"),
         ).alias("source"),
     )
-    # A leading bracket that never closes keeps every text from being valid source.
-    prose = table(spark, sf_dir, "documents").select(
+    # Every text as a string in a valid module, and as comments before a bracket that closes
+    # nothing: both are read to the end.
+    documents = table(spark, sf_dir, "documents")
+    quoted = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    texts = documents.select(
         F.concat(F.lit("docs/d"), _text("doc_id"), F.lit(".py")).alias("path"),
-        F.concat(F.lit("(\n"), F.col("text")).alias("source"),
+        _fill(TEXT_MODULE, key=F.col("doc_id"), text=quoted).alias("source"),
+    )
+    comments = F.regexp_replace(F.col("text"), r"\R", "\n# ")
+    broken = documents.select(
+        F.concat(F.lit("docs/e"), _text("doc_id"), F.lit(".py")).alias("path"),
+        F.concat(F.lit("# "), comments, F.lit("\n)\n")).alias("source"),
     )
-    # The small tables come in one or two splits; parsing wants as many tasks as there are cores.
-    files = parts.unionByName(orders).unionByName(prose)
-    return files.repartition(spark.sparkContext.defaultParallelism, "path")
+    files = parts.unionByName(orders).unionByName(texts).unionByName(broken)
+    # The small tables come in one or two splits; parsing wants as many tasks as a shuffle has.
+    return files.repartition("path")

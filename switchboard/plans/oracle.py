@@ -21,9 +21,10 @@ method_rows as (
        else concat('/repo/src/m', p_size, '.py') end as file
  from part
  union all
- select 1000000000 + cast(s_suppkey as bigint), cast(s_suppkey as varchar),
+ select case when s_suppkey % 2 = 0 then 1000000000 else -1000000000 end
+   + cast(s_suppkey as bigint), cast(s_suppkey as varchar),
   concat('src/dup.py:<module>.Dup.n', s_nationkey), 'def()', '/repo/src/dup.py'
- from supplier where s_suppkey % 2 = 0)"""
+ from supplier)"""
 
 CALLS = """
 calls as (
@@ -125,7 +126,7 @@ with asked as (
  select page_id,
   case page_id % 6 when 0 then url when 1 then concat('./', url, '/')
    when 2 then concat('../../../', url) when 3 then concat(url, '/../x/./../../y')
-   when 4 then '<unknown>' end as rel,
+   when 4 then concat('a//b/.././', url) else concat(url, '/..') end as rel,
   case page_id % 4 when 0 then '/srv/pages' when 1 then '' when 2 then 'crawl' else '/' end as root
  from pages),
 joined as (select *, case when root = '' then rel else concat(root, '/', rel) end as p from asked),
@@ -197,7 +198,8 @@ p as (
   concat(upper(left(p_type, 1)), lower(substr(p_type, 2))) as type from part),
 o as (
  select o_orderkey as k, o_custkey as part, concat('orders/o', o_orderkey, '.py') as path
- from orders)"""
+ from orders),
+d as (select doc_id as k, concat('docs/d', doc_id, '.py') as path from documents)"""
 
 ORACLE_SQL = {
     "short_name": f"""with {METHOD_ROWS}, texts as (
@@ -225,7 +227,9 @@ from resolved""",
     "resolve_calls": f"{NODES} select * from resolved",
     "method_map": f"with {METHOD_ROWS}, {METHODS} select * from methods",
     "name_index": f"with {METHOD_ROWS}, {NAMES} select * from names",
+    "json_indented": "select c_custkey, c_name, c_acctbal from customer",
     "snapshot_callers_of": ONE_CALLER,
+    "snapshot_callees_of": f"{GRAPH}, {CALLEES} select distinct callee from callees where fn = 'n15'",
     "callers_of": ONE_CALLER,
     "callees_of": f"{GRAPH}, {CALLEES} select distinct callee from callees where fn = 'n15'",
     "function_details": f"""{GRAPH}, {DETAILS}
@@ -279,6 +283,23 @@ from orders o left join lineitem l on l.l_orderkey = o.o_orderkey group by o.o_o
 select l_orderkey, l_linenumber, l_suppkey, l_extendedprice,
  round({NORMALIZED.format(x="l_extendedprice")}, 6) + 0.0 as normalized
 from lineitem join s on s.k = l_suppkey""",
+    "zscore_overall": f"""with s as (
+ select avg(l_extendedprice) as mean, stddev_pop(l_extendedprice) as dev,
+  min(l_extendedprice) as lo, max(l_extendedprice) as hi from lineitem)
+select l_orderkey, l_linenumber, l_extendedprice,
+ round({NORMALIZED.format(x="l_extendedprice")}, 6) + 0.0 as normalized
+from lineitem, s""",
+    "zscore_null_group": f"""with items as (
+ select l_orderkey, l_linenumber, l_quantity, nullif(l_returnflag, 'N') as flag from lineitem),
+s as (
+ select flag as k, avg(l_quantity) as mean, stddev_pop(l_quantity) as dev,
+  min(l_quantity) as lo, max(l_quantity) as hi from items group by flag)
+select l_orderkey, l_linenumber, l_quantity, flag,
+ round({NORMALIZED.format(x="l_quantity")}, 6) + 0.0 as normalized
+from items join s on s.k is not distinct from flag""",
+    "stat_integers": """select l_returnflag,
+ cast(sum(l_orderkey * 1000003 + 10000000000007) as bigint) as total
+from lineitem group by l_returnflag""",
     "analyze": f"""with s as ({_group_stats("l_quantity", "l_returnflag")})
 select l_orderkey, l_linenumber, l_returnflag, l_quantity,
  round({NORMALIZED.format(x="l_quantity")}, 6) + 0.0 as normalized,
@@ -307,7 +328,9 @@ select round(a1, 6) as average1, round(d1, 6) as std_dev1, round(a2, 6) as avera
  select path, concat('.', type, '.check_', k), concat('check_', k, '(self, amount)') from p
  union all select path, concat('.build_', k), concat('build_', k, '(amount)') from p
  union all select path, '', '' from o
- union all select path, concat('.handle_', k), concat('handle_', k, '(amount)') from o)
+ union all select path, concat('.handle_', k), concat('handle_', k, '(amount)') from o
+ union all select path, '', '' from d
+ union all select path, concat('.note_', k), concat('note_', k, '()') from d)
 select concat(path, ':<module>', q) as full_name, signature, concat('/corpus/', path) as file
 from defs""",
     "extract_calls": f"""with {SOURCE_METHODS}, found as (
@@ -323,7 +346,8 @@ from defs""",
  union all select path, concat('.handle_', k), null, 'print', 6 from o
  union all select path, concat('.handle_', k), null, 'json.dumps', 7 from o
  union all select path, concat('.handle_', k), null, 'range', 7 from o
- union all select path, '', path, concat(path, ':<module>.handle_', k), 9 from o)
+ union all select path, '', path, concat(path, ':<module>.handle_', k), 9 from o
+ union all select path, concat('.note_', k), null, 'len', 2 from d)
 select concat(path, ':<module>', caller) as caller_full_name,
  concat('/corpus/', path) as caller_file,
  callee as callee_full_name,
@@ -332,5 +356,5 @@ select concat(path, ':<module>', caller) as caller_full_name,
  concat('/corpus/', path) as callsite_file, line as callsite_line,
  callee_path is not null as resolved
 from found""",
-    "extract_errors": "select concat('docs/d', doc_id, '.py') as path from documents",
+    "extract_errors": "select concat('docs/e', doc_id, '.py') as path from documents",
 }

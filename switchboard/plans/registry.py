@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from switchboard.functions import names, paths
 from switchboard.operators import adjacency, export, extract, graph, lookup, summary
 from switchboard.plans import envelope, fixtures
+from switchboard.schema import CALL_COLUMNS, METHOD_COLUMNS
 from switchboard.session import scratch_path
 from switchboard.sources import json_docs, snapshot, tables
 
@@ -42,7 +43,8 @@ def abs_path(spark, sf_dir):
         .when(kind == 1, F.concat(F.lit("./"), url, F.lit("/")))
         .when(kind == 2, F.concat(F.lit("../../../"), url))
         .when(kind == 3, F.concat(url, F.lit("/../x/./../../y")))
-        .when(kind == 4, "<unknown>")
+        .when(kind == 4, F.concat(F.lit("a//b/.././"), url))
+        .otherwise(F.concat(url, F.lit("/..")))
     )
     place = F.col("page_id") % 4
     root = (
@@ -58,28 +60,35 @@ def abs_path(spark, sf_dir):
 # Sources and sinks
 
 
+def _written(spark: SparkSession, label: str, **written: DataFrame) -> str:
+    """A folder with the given tables; a table that is not given is a header alone."""
+    out_dir = scratch_path(spark, label)
+    none = {
+        "methods": spark.createDataFrame([], ", ".join(f"{c} string" for c in METHOD_COLUMNS)),
+        "calls": spark.createDataFrame([], ", ".join(f"{c} string" for c in CALL_COLUMNS)),
+    }
+    found = {**none, **written}
+    tables.write_methods(found["methods"], out_dir)
+    tables.write_calls(found["calls"], out_dir)
+    return out_dir
+
+
 @register
 def scan_methods(spark, sf_dir):
-    out_dir = scratch_path(spark, "scan-methods")
-    rows = fixtures.method_rows(spark, sf_dir)
-    tables.write_methods(rows, out_dir)
-    tables.write_calls(fixtures.calls(spark, sf_dir), out_dir)
+    out_dir = _written(spark, "scan-methods", methods=fixtures.method_rows(spark, sf_dir))
     # The keyed tables depend on file order, so a lost order would show.
     return graph.method_map(tables.read_methods(spark, out_dir))
 
 
 @register
 def scan_calls(spark, sf_dir):
-    out_dir = scratch_path(spark, "scan-calls")
-    tables.write_methods(fixtures.method_rows(spark, sf_dir), out_dir)
-    tables.write_calls(fixtures.calls(spark, sf_dir), out_dir)
+    out_dir = _written(spark, "scan-calls", calls=fixtures.calls(spark, sf_dir))
     return tables.read_calls(spark, out_dir)
 
 
 @register
 def export_methods(spark, sf_dir):
     """Methods and, with their whole multi-line text as signature, documents."""
-    out_dir = scratch_path(spark, "export-methods")
     nodes = fixtures.node_tables(spark, sf_dir)
     module = F.concat(F.lit("corpus/"), F.col("source"), F.lit(".py"))
     texts = fixtures.table(spark, sf_dir, "documents").select(
@@ -90,18 +99,14 @@ def export_methods(spark, sf_dir):
         module.alias("filename"),
     )
     methods = export.project_methods(nodes["method_nodes"].unionByName(texts), nodes["meta"])
-    tables.write_methods(methods, out_dir)
-    tables.write_calls(fixtures.calls(spark, sf_dir), out_dir)
+    out_dir = _written(spark, "export-methods", methods=methods)
     return tables.read_methods(spark, out_dir).drop("seq")
 
 
 @register
 def export_calls(spark, sf_dir):
-    out_dir = scratch_path(spark, "export-calls")
-    methods, calls = export.export_tables(**fixtures.node_tables(spark, sf_dir))
-    tables.write_methods(methods, out_dir)
-    tables.write_calls(calls, out_dir)
-    return tables.read_calls(spark, out_dir)
+    _, calls = export.export_tables(**fixtures.node_tables(spark, sf_dir))
+    return tables.read_calls(spark, _written(spark, "export-calls", calls=calls))
 
 
 @register
@@ -126,6 +131,23 @@ def json_nested_roundtrip(spark, sf_dir):
     return loaded.select("event_id", "body.event_type", "body.value", "body.props.k")
 
 
+@register
+def json_indented(spark, sf_dir):
+    """Customers in indented documents of up to a thousand, each a file."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    record = F.to_json(F.struct("c_custkey", "c_name", "c_acctbal"), {"pretty": "true"})
+    group = F.floor(F.col("c_custkey") / 1000).alias("group")
+    documents = customers.select(group, record.alias("record")).groupBy("group").agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("record"), ",\n"), F.lit("\n]")).alias("text")
+    )
+    path = scratch_path(spark, "json-indented")
+    documents.write.partitionBy("group").text(path)
+    schema = "c_custkey bigint, c_name string, c_acctbal double"
+    return json_docs.load_json(spark, path, schema, indented=True).select(
+        "c_custkey", "c_name", "c_acctbal"
+    )
+
+
 # Export transforms
 
 
@@ -160,6 +182,13 @@ def snapshot_callers_of(spark, sf_dir):
     return adjacency.callers_of(snapshot.open_snapshot(spark, path), "blue_bolt")
 
 
+@register
+def snapshot_callees_of(spark, sf_dir):
+    path = scratch_path(spark, "snapshot")
+    snapshot.save(fixtures.graph(spark, sf_dir), path)
+    return adjacency.callees_of(snapshot.open_snapshot(spark, path), "n15")
+
+
 # Queries
 
 
@@ -260,9 +289,8 @@ def search_json(spark, sf_dir):
 
 @register
 def stats_json(spark, sf_dir):
-    out_dir = scratch_path(spark, "stats")
-    tables.write_methods(fixtures.method_rows(spark, sf_dir), out_dir)
-    tables.write_calls(fixtures.calls(spark, sf_dir), out_dir)
+    method_rows, calls = fixtures.method_rows(spark, sf_dir), fixtures.calls(spark, sf_dir)
+    out_dir = _written(spark, "stats", methods=method_rows, calls=calls)
     stats = envelope.stats_json(graph.CallGraph.from_csv(spark, out_dir))
     # The folder is new for every run; a fixed name in its place keeps the result comparable.
     return stats.select(F.replace("json", F.lit(out_dir), F.lit("out")).alias("json"))
@@ -306,6 +334,34 @@ def zscore(spark, sf_dir):
     return _rounded(summary.zscore(items, "l_extendedprice", "l_suppkey"), "normalized")
 
 
+@register
+def zscore_overall(spark, sf_dir):
+    """All prices as one data set."""
+    items = fixtures.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice"
+    )
+    return _rounded(summary.zscore(items, "l_extendedprice"), "normalized")
+
+
+@register
+def zscore_null_group(spark, sf_dir):
+    """Items that were neither returned nor accepted have no group."""
+    items = fixtures.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", F.nullif("l_returnflag", F.lit("N")).alias("flag")
+    )
+    return _rounded(summary.zscore(items, "l_quantity", "flag"), "normalized")
+
+
+@register
+def stat_integers(spark, sf_dir):
+    """Integer totals beyond what a double holds exactly."""
+    items = fixtures.table(spark, sf_dir, "lineitem")
+    large = (F.col("l_orderkey") * 1_000_003 + F.lit(10_000_000_000_007)).alias("large")
+    return summary.statistics(items.select("l_returnflag", large), "large", "l_returnflag").select(
+        "l_returnflag", "total"
+    )
+
+
 @register
 def analyze(spark, sf_dir):
     items = fixtures.table(spark, sf_dir, "lineitem").select(
@@ -341,21 +397,17 @@ def compare_two(spark, sf_dir):
 # Extraction from source files
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    return fixtures.source_files(spark, sf_dir), scratch_path(spark, "source-nodes")
-
-
 @register
 def extract_methods(spark, sf_dir):
-    corpus, work_path = _corpus(spark, sf_dir)
-    nodes = extract.nodes_from_facts(extract.write_facts(corpus, work_path))
+    facts = extract.read_corpus_facts(fixtures.source_files(spark, sf_dir))
     meta = extract.corpus_meta(spark, "/corpus")
-    return export.project_methods(nodes.method_nodes, meta).drop("method_id")
+    return export.project_methods(extract.method_nodes(facts), meta).drop("method_id")
 
 
 @register
 def extract_calls(spark, sf_dir):
-    nodes = extract.extract(*_corpus(spark, sf_dir))
+    corpus = fixtures.source_files(spark, sf_dir)
+    nodes = extract.extract(corpus, scratch_path(spark, "source-nodes"))
     calls = export.resolve_calls(
         nodes.call_sites,
         nodes.call_targets,
@@ -368,5 +420,5 @@ def extract_calls(spark, sf_dir):
 
 @register
 def extract_errors(spark, sf_dir):
-    corpus, work_path = _corpus(spark, sf_dir)
-    return extract.nodes_from_facts(extract.write_facts(corpus, work_path)).errors.select("path")
+    facts = extract.read_corpus_facts(fixtures.source_files(spark, sf_dir))
+    return extract.errors(facts).select("path")

@@ -60,4 +60,4 @@ def test_every_sql_text_belongs_to_a_query():
 
 def test_entry(spark):
     assert entry(spark).columns == ["fn", "caller"]
-    assert entry(spark).count() == 1672
+    assert entry(spark).count() == 2211
