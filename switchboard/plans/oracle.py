@@ -192,6 +192,15 @@ search as (
 
 ONE_CALLER = f"{GRAPH}, {CALLERS} select distinct caller from callers where fn = 'blue_bolt'"
 
+
+
+def _answer(relations: str, found: str, item: str, asked: str, listed: str, argument: str) -> str:
+    """SQL for the lines of one answer, given ``relations`` that include ``found``."""
+    question = f"asked as (select '{argument}' as function), "
+    document = _document(found, item, "asked", asked, listed)
+    return f"select text from ({relations}, {question}{document}) lines"
+
+
 SOURCE_METHODS = """
 p as (
  select p_partkey as k, concat('parts/p', p_partkey, '.py') as path,
@@ -257,6 +266,15 @@ from requests left join details on fn = function""",
     + _document("callers", "caller", "requests", "function", "callers"),
     "callees_json": f"{GRAPH}, {CALLEES}, {REQUESTS}, "
     + _document("callees", "callee", "requests", "function", "callees"),
+    "answer_callers": _answer(
+        f"{GRAPH}, {CALLERS}", "callers", "caller", "function", "callers", "blue_bolt"
+    ),
+    "answer_callees": _answer(
+        f"{GRAPH}, {CALLEES}", "callees", "callee", "function", "callees", "n15"
+    ),
+    "answer_search": _answer(
+        f"with {METHOD_ROWS}, {NAMES}, {SEARCH}", "search", "name", "query", "results", "BOLT"
+    ),
     "details_json": f"""{GRAPH}, {DETAILS}, {REQUESTS}
 select function, case when method_id is null
  then concat('{{"function":', to_json(function)::varchar,

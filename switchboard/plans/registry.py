@@ -296,6 +296,22 @@ def stats_json(spark, sf_dir):
     return stats.select(F.replace("json", F.lit(out_dir), F.lit("out")).alias("json"))
 
 
+@register
+def answer_callers(spark, sf_dir):
+    """The lines of one answer of the five-question surface."""
+    return envelope.answer(lambda: fixtures.graph(spark, sf_dir), "get_callers", "blue_bolt")
+
+
+@register
+def answer_callees(spark, sf_dir):
+    return envelope.answer(lambda: fixtures.graph(spark, sf_dir), "get_callees", "n15")
+
+
+@register
+def answer_search(spark, sf_dir):
+    return envelope.answer(lambda: fixtures.graph(spark, sf_dir), "search_functions", "BOLT")
+
+
 # Numeric summaries
 
 

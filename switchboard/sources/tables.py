@@ -30,9 +30,8 @@ WRITE_OPTIONS = {
 
 
 def default_out_dir() -> str:
-    here = os.path.dirname(os.path.abspath(__file__))
-    beside_package = os.path.abspath(os.path.join(here, "..", "..", "out"))
-    return os.environ.get(OUT_DIR_VARIABLE, beside_package)
+    """The configured folder, else ``out`` in the working folder of the default file system."""
+    return os.environ.get(OUT_DIR_VARIABLE, "out")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
