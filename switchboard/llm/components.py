@@ -15,14 +15,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     of that label, so distances shrink by doubling. Labels are aggregates, combined before they
     are shuffled; only the number of changed labels reaches the driver.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = links.select("a", "b").unionByName(turned)
     both = stored(both.distinct(), "links")
     labels = stored(
         both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")),
         "labels",
     )
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "root")
+        near = both.join(labels, F.col("b") == F.col("node"))
+        near = near.select(F.col("a").alias("node"), "root")
         least = near.unionByName(labels).groupBy("node").agg(F.min("root").alias("near"))
         jump = labels.select(F.col("node").alias("near"), F.col("root").alias("next"))
         jumped = least.join(jump, "near").select("node", F.least("near", "next").alias("root"))

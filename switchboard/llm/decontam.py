@@ -48,7 +48,8 @@ def find_leaks(
     Items that repeat id and text count once; a null item_id is carried. Rows are searched each
     for itself, also repeated ones. Empty tables and further columns are fine.
     """
-    leak = T.StructType([T.StructField(*f) for f in (("item_id", items.schema["item_id"].dataType), *LEAK)])
+    item_id = ("item_id", items.schema["item_id"].dataType)
+    leak = T.StructType([T.StructField(*field) for field in (item_id, *LEAK)])
     rows = docs.select(
         F.struct("*").alias("doc"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -120,7 +121,8 @@ def find(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.
 def _blocks(items: DataFrame, n_words: int) -> Iterator[Block]:
     rows: list = []
     size = 0
-    for row in items.select("item_id", "text").where("text is not null").distinct().toLocalIterator():
+    texts = items.select("item_id", "text").where("text is not null").distinct()
+    for row in texts.toLocalIterator():
         rows.append(row)
         size += row.text.count(" ") + 1
         if size >= BLOCK_WORDS:
@@ -208,7 +210,8 @@ def _hits(words: Words, block: Block):
     place = np.flatnonzero(whole)
     hit = hit[hit < len(place)]
     times = n[hit]
-    entry = np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    before = np.repeat(np.cumsum(times) - times, times)
+    entry = np.repeat(low[hit], times) + np.arange(times.sum()) - before
     at = np.stack([np.repeat(place[hit], times), block.places[entry]], 1)
     return np.repeat(rows[hit], times), block.items[entry], at, block.seeds[entry]
 

@@ -17,7 +17,6 @@ repeated window is found at an anchor, and there is one anchor in about 85 bytes
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,7 +156,9 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str):
 
 def _marked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch, is_first, is_last in _whole_groups(batches, "lead"):
-        lead, around, row, at = (batch.column(c).to_numpy() for c in ("lead", "around", "row", "at"))
+        lead, around, row, at = (
+            batch.column(c).to_numpy() for c in ("lead", "around", "row", "at")
+        )
         differs = np.ones(len(lead), bool)
         differs[1:] = (around[1:] != around[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1])
         differs[1:] |= lead[1:] != lead[:-1]
@@ -210,14 +211,16 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
             many = np.flatnonzero((kind & (MANY | EDGE_OF_PART)) != 0)
             if len(many):
                 sums = running_sum(data)
-                yield from _windows(sums, place[many], left[many], right[many], row[many], at[many], lead[many], length)
+                bounds = (place[many], left[many], right[many])
+                yield from _windows(sums, *bounds, row[many], at[many], lead[many], length)
 
 
 def _spans_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     lengths = ends - starts
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     index = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
-    buffers = [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data[index].tobytes())]
+    parts = (offsets.astype(np.int32), data[index])
+    buffers = [None, *(pa.py_buffer(part.tobytes()) for part in parts)]
     return pa.Array.from_buffers(pa.binary(), len(starts), buffers)
 
 
@@ -245,7 +248,9 @@ def _windows(sums, place, left, right, row, at, lead, length: int) -> Iterator[p
         start = place[fits] - back
         content = span_hash(sums, start, start + length) + lead[fits].view(U64) * MIX_1
         keys = mix(content + U64(back)).view(np.int64)
-        _, first, inverse, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        _, first, inverse, n = np.unique(
+            keys, return_index=True, return_inverse=True, return_counts=True
+        )
         twice = n[inverse] > 1
         begins = at[fits] - back
         yield _sent(keys[~twice], WINDOW, row[fits][~twice], begins[~twice], begins[~twice] + length)

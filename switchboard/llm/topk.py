@@ -44,11 +44,14 @@ def nearest_codes(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFram
     coded = stored(coded, "codes")
     smallest = Window.partitionBy("code").orderBy("vec_id")
     entries = stored(
-        coded.select("code", "vec_id", F.row_number().over(smallest).alias("n")).where(F.col("n") <= k),
+        coded.select("code", "vec_id", F.row_number().over(smallest).alias("n")).where(
+            F.col("n") <= k
+        ),
         "code-ids",
     )
     codes = entries.groupBy("code").agg(F.count("*").alias("rows"))
-    index = stored(codes.select("code", "rows", F.posexplode("code").alias("segment", "value")), "index")
+    segments = F.posexplode("code").alias("segment", "value")
+    index = stored(codes.select("code", "rows", segments), "index")
     queries = coded.where("is_query").select("vec_id", F.col("code").alias("query"))
     found = _search(queries.select("query").distinct(), index, cuts, bits, k)
     answers = _best_rows(found, entries, k)
@@ -60,7 +63,10 @@ def nearest_codes(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFram
 
 def _code(cuts: list[tuple[int, int]]) -> Column:
     def segment(low: int, high: int) -> Column:
-        bits = [F.when(F.get("embedding", F.lit(i)) > 0, 1 << (i - low)).otherwise(0) for i in range(low, high)]
+        bits = [
+            F.when(F.get("embedding", F.lit(i)) > 0, 1 << (i - low)).otherwise(0)
+            for i in range(low, high)
+        ]
         return sum(bits, F.lit(0)).cast("int")
 
     return F.array(*(segment(*cut) for cut in cuts))

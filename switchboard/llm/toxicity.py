@@ -201,7 +201,8 @@ class Model:
 
 
 def _fit(sample: DataFrame) -> Model:
-    sizes = {row.label: row.n for row in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counted = sample.groupBy("label").agg(F.count("*").alias("n"))
+    sizes = {row.label: row.n for row in counted.collect()}
     empty = Model(np.zeros(0, U64), np.zeros(0))
     if len(sizes) < 2:
         empty.constant = float(min(max(sizes, default=0), 1))
@@ -294,7 +295,8 @@ def _decay(chances: dict[float, float]) -> float:
     rest = 1 - sum(chances.values())
 
     def excess(root: float) -> float:
-        return rest * np.exp(root * DRIFT) + sum(p * np.exp(root * s) for s, p in chances.items()) - 1
+        weighted = sum(p * np.exp(root * s) for s, p in chances.items())
+        return rest * np.exp(root * DRIFT) + weighted - 1
 
     low, high = 1e-6, 1e-6
     while excess(high) < 0 and high < 50:
