@@ -77,6 +77,38 @@ def op3_near_dedup(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+ORACLE_SQL["op3_near_dedup"] = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_distinct(list_transform(
+        range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS shingles
+    FROM texts
+), sizes AS (
+    SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM sets
+), entries AS (
+    SELECT doc_id, unnest(shingles) AS shingle FROM sets
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), linked AS (
+    SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
+), links AS (
+    SELECT a, b FROM linked UNION SELECT b, a FROM linked
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM sizes
+    UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT s.doc_id, any_value(s.n) AS n_shingles, min(r.other) AS component_id,
+       s.doc_id = min(r.other) AS kept
+FROM sizes s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id
+"""
+
+
 @register
 def op4_suffix_dedup(spark, sf_dir):
     found = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"))
