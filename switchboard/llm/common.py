@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from switchboard.session import scratch_path
 
+ARROW_ROWS, DEFAULT_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 # Text handled at once by the vectorised passes; a longer document is handled alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,13 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def ask_small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Whole texts make large Arrow batches, which JVM and Python hold several times over: fewer
+    rows to a batch, unless the session has its own setting."""
+    if spark.conf.get(ARROW_ROWS) == DEFAULT_ARROW_ROWS:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 def text_id(text: str = "text") -> Column:
     """With the document id, this tells apart rows that repeat an id with another text."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -44,7 +52,11 @@ def fold(remainder: int, parts: int, column: str = "doc_id") -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, use: Callable[[str], Column], max_rows: int
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    use: Callable[[str], Column],
+    max_rows: int,
 ) -> DataFrame:
     """(text, label) of at most ``max_rows`` labelled documents whose id ``use`` accepts.
 
@@ -82,5 +94,6 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in one array, and where each begins; nulls are empty."""
     lengths = byte_lengths(texts).astype(np.int64)
     offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
-    joined = b"".join(value.as_buffer() for value in texts.cast(pa.large_binary()) if value.is_valid)
+    values = texts.cast(pa.large_binary())
+    joined = b"".join(value.as_buffer() for value in values if value.is_valid)
     return np.frombuffer(joined, np.uint8), offsets

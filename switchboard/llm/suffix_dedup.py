@@ -24,7 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from switchboard.llm.common import id_and_text, slices, stored, text_bytes
+from switchboard.llm.common import (
+    ask_small_batches,
+    id_and_text,
+    slices,
+    stored,
+    text_bytes,
+)
 from switchboard.llm.words import MIX_1, U64, mix, running_sum, span_hash
 
 LEAD = 32
@@ -50,6 +56,7 @@ def cut_repeats(docs: DataFrame, length: int = 200, group: int = GROUP) -> DataF
     """
     if length <= LEAD:
         raise ValueError(f"length must be above {LEAD}")
+    ask_small_batches(docs.sparkSession)
     texts = id_and_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("lead", "around", "row", "at")
