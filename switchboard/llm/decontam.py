@@ -1,13 +1,13 @@
-"""Benchmark items in documents, also edited ones: rare n-gram seeds, then local alignment.
+"""Benchmark items in documents, also edited ones: n-gram seeds, then local alignment.
 
 Items are read in blocks of bounded size and each block is sent to all tasks; documents are read
 where they are and never shuffled. For a block,
 
-1. every n-gram of its items is a seed, and its documents are counted over the whole corpus;
-2. an item keeps its rare seeds: those at most ``RARE`` times as frequent as its median seed. The
-   measure is relative, so an item that leaked into a third of all documents keeps its seeds;
-3. where enough seeds of an item fall on one passage of a document, Smith-Waterman alignment of
-   their words scores the copy.
+1. every n-gram of its items is a seed, however frequent: a frequent one may be frequent only
+   because its item leaked often, whole or edited;
+2. where enough different seeds of an item fall on one passage of a document, and the passage has
+   enough of the item's words for the least score that counts, Smith-Waterman alignment of their
+   words scores the copy. The bound on the words is exact: no alignment that counts is left out.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from switchboard.llm.common import slices
 from switchboard.llm.words import NOT_ALPHANUMERIC, Words, shingles, split_words
 
 BLOCK_WORDS = 500_000
-RARE = 20
+# Seed occurrences that are held at once; one row may have more.
+HITS = 2_000_000
 # Seeds that must fall on a passage, if the item has as many.
 MIN_SEEDS = 2
 # Fixed scores of the alignment; the best score of an item is its number of words.
@@ -55,9 +56,7 @@ def find_leaks(
         F.coalesce("text", F.lit("")).alias("text"),
         F.array().cast(T.ArrayType(leak)).alias("leaks"),
     )
-    texts = rows.select("text")
     for block in _blocks(items, n_words):
-        block.keep_rare(texts)
         rows = _searched(rows, block, min_score, min_words)
     return rows.select("doc", "leaks")
 
@@ -73,34 +72,6 @@ class Block:
     items: np.ndarray
     places: np.ndarray
 
-    def keep_rare(self, texts: DataFrame) -> None:
-        distinct = np.unique(self.seeds)
-        n_words = self.n_words
-
-        def count(batches):
-            for batch in batches:
-                for part in slices(batch):
-                    words = split_words(part.column("text"), NOT_ALPHANUMERIC)
-                    hashes, rows = shingles(words, n_words)
-                    at, hit = find(distinct, hashes)
-                    pairs = np.unique(at[hit] * words.n_rows + rows[hit])
-                    seed, n = np.unique(pairs // max(words.n_rows, 1), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"seed": pa.array(seed), "n": pa.array(n)})
-
-        counted = texts.mapInArrow(count, "seed long, n long").groupBy("seed")
-        frequency = np.zeros(len(distinct))
-        for row in counted.agg(F.sum("n").alias("n")).collect():  # at most the seeds of a block
-            frequency[row.seed] = row.n
-        of_seed = frequency[np.searchsorted(distinct, self.seeds)]
-        order = np.lexsort((of_seed, self.items))
-        sizes = np.bincount(self.items, minlength=len(self.ids))
-        middle = np.cumsum(sizes) - sizes + (sizes - 1) // 2
-        median = of_seed[order][np.minimum(np.maximum(middle, 0), max(len(order) - 1, 0))]
-        keep = of_seed <= RARE * np.maximum(median[self.items], 1)
-        self.seeds, self.items, self.places = (
-            x[keep] for x in (self.seeds, self.items, self.places)
-        )
-
     def enough(self) -> np.ndarray:
         """Seeds that must meet, per item."""
         order = np.lexsort((self.seeds, self.items))
@@ -110,14 +81,6 @@ class Block:
         return np.minimum(np.bincount(items[new], minlength=len(self.ids)), MIN_SEEDS)
 
 
-def find(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each value among the sorted ones, and whether it is there."""
-    if not len(sorted_values):
-        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
-    return at, sorted_values[at] == values
-
-
 def _blocks(items: DataFrame, n_words: int) -> Iterator[Block]:
     rows: list = []
     size = 0
@@ -169,27 +132,18 @@ def _searched(rows: DataFrame, block: Block, min_score: float, min_words: int) -
 
 def _leaks(words: Words, block: Block, enough: np.ndarray, min_score: float, min_words: int):
     """(row, leak) for the best alignment of every item with enough seeds in a passage."""
-    row, item, place, seed_at = _hits(words, block)
-    # A hit says where the item would begin; hits of one copy begin near each other.
-    begin = place[:, 0] - place[:, 1]
-    order = np.lexsort((begin, item, row))
-    row, item, begin, seed_at = (x[order] for x in (row, item, begin, seed_at))
     sizes = np.array([len(w) for w in block.words])
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-    new[1:] |= begin[1:] - begin[:-1] > sizes[item[1:]]
-    starts = np.append(np.flatnonzero(new), len(row))
     best: dict[tuple[int, int], dict] = {}
-    for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        r, i = int(row[low]), int(item[low])
-        if len(set(seed_at[low:high].tolist())) < enough[i]:
-            continue
+    for r, i, first, last in _passages(words, block, enough, sizes):
         n = int(sizes[i])
         slack = n // 2 + 1
-        left = max(int(begin[low]) - slack, int(words.bounds[r]))
-        right = min(int(begin[high - 1]) + n + slack, int(words.bounds[r + 1]))
+        left = max(first - slack, int(words.bounds[r]))
+        right = min(last + n + slack, int(words.bounds[r + 1]))
+        least = max(min_score * n, min(min_words, n))
+        if most(block.words[i], words.hashes[left:right]) < least:
+            continue
         score, start, end = align(block.words[i], words.hashes[left:right])
-        if score < min_score * n or score < min(min_words, n):
+        if score < least:
             continue
         if (r, i) not in best or score > best[r, i]["score"] * n:
             span = _code_points(words, r, left + start, left + end)
@@ -197,8 +151,41 @@ def _leaks(words: Words, block: Block, enough: np.ndarray, min_score: float, min
     return [(r, leak) for (r, _), leak in sorted(best.items())]
 
 
+def _passages(words: Words, block: Block, enough: np.ndarray, sizes: np.ndarray):
+    """(row, item, first begin, last begin) of the passages with enough different seeds."""
+    for row, item, place, seed in _hits(words, block):
+        # A hit says where the item would begin; hits of one copy begin near each other.
+        begin = place[:, 0] - place[:, 1]
+        order = np.lexsort((begin, item, row))
+        row, item, begin, seed = (x[order] for x in (row, item, begin, seed))
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+        new[1:] |= begin[1:] - begin[:-1] > sizes[item[1:]]
+        starts = np.append(np.flatnonzero(new), len(row))
+        passage = np.cumsum(new) - 1
+        order = np.lexsort((seed, passage))
+        other = np.ones(len(row), bool)
+        other[1:] = (np.diff(passage[order]) != 0) | (seed[order][1:] != seed[order][:-1])
+        different = np.bincount(passage[order][other], minlength=len(starts) - 1)
+        low = starts[:-1]
+        chosen = np.flatnonzero(different >= enough[item[low]])
+        low, high = low[chosen], starts[chosen + 1] - 1
+        yield from zip(*(x.tolist() for x in (row[low], item[low], begin[low], begin[high])))
+
+
+def most(item: np.ndarray, passage: np.ndarray) -> int:
+    """No alignment scores more: words of the item in the passage, and of a stretch of the passage
+    in the item. An alignment above 0 has fewer gaps than two to a match, so it is no longer than
+    three times the item."""
+    inside = np.concatenate([[0], np.cumsum(np.isin(passage, item))])
+    width = min(3 * len(item), len(passage))
+    stretch = int((inside[width:] - inside[: len(inside) - width]).max())
+    return min(stretch, int(np.isin(item, passage).sum()))
+
+
 def _hits(words: Words, block: Block):
-    """(row, item, (place in batch, place in item), seed) of every seed occurrence."""
+    """(row, item, (place in batch, place in item), seed) of every seed occurrence, in parts of
+    about ``HITS`` occurrences and whole rows."""
     hashes, rows = shingles(words, block.n_words)
     low = np.searchsorted(block.seeds, hashes, "left")
     n = np.searchsorted(block.seeds, hashes, "right") - low
@@ -209,11 +196,20 @@ def _hits(words: Words, block: Block):
     whole = words.rows[:last] == words.rows[block.n_words - 1 :] if last else np.zeros(0, bool)
     place = np.flatnonzero(whole)
     hit = hit[hit < len(place)]
-    times = n[hit]
-    before = np.repeat(np.cumsum(times) - times, times)
-    entry = np.repeat(low[hit], times) + np.arange(times.sum()) - before
-    at = np.stack([np.repeat(place[hit], times), block.places[entry]], 1)
-    return np.repeat(rows[hit], times), block.items[entry], at, block.seeds[entry]
+    ends = np.cumsum(n[hit])
+    start = 0
+    while start < len(hit):
+        held = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, held + HITS, "right")))
+        if stop < len(hit):  # back to the begin of a row, or on to its end if it has too many
+            own = int(np.searchsorted(rows[hit], rows[hit[stop]], "left"))
+            stop = own if own > start else int(np.searchsorted(rows[hit], rows[hit[stop]], "right"))
+        part, start = hit[start:stop], stop
+        times = n[part]
+        before = np.repeat(np.cumsum(times) - times, times)
+        entry = np.repeat(low[part], times) + np.arange(times.sum()) - before
+        at = np.stack([np.repeat(place[part], times), block.places[entry]], 1)
+        yield np.repeat(rows[part], times), block.items[entry], at, block.seeds[entry]
 
 
 def _code_points(words: Words, row: int, first: int, last: int) -> dict:

@@ -59,6 +59,32 @@ def test_item_in_most_documents(spark, documents):
     assert found(documents(pairs), items).keys() == {(i, 1) for i in range(150)}
 
 
+def test_edited_item_in_hundreds_of_documents(spark, documents):
+    rng = random.Random(7)
+    item = words(rng, 40)
+    copy = [f"new{j}" if j % 4 == 3 else w for j, w in enumerate(item)]  # 10 of 38 seeds stay
+    pairs = [(i, " ".join([*words(rng, 30), *copy, *words(rng, 30)])) for i in range(300)]
+    # Seeds of the item that the copy lost stand once each in other documents.
+    pairs += [(400 + i, " ".join([*words(rng, 9), *item[i : i + 3]])) for i in range(38)]
+    items = spark.createDataFrame([(1, " ".join(item), 1, 1)], ITEMS)
+    assert found(documents(pairs), items).keys() == {(i, 1) for i in range(300)}
+
+
+@pytest.mark.parametrize("hits", [1, 7])
+def test_hits_in_parts(spark, documents, monkeypatch, hits):
+    monkeypatch.setattr(decontam, "HITS", hits)
+    test_exact_and_edited_copies(spark, documents, monkeypatch, 500_000)
+
+
+def test_no_alignment_scores_more_than_the_bound():
+    rng = random.Random(8)
+    for _ in range(300):
+        item, passage = (
+            np.array([rng.randrange(9) for _ in range(rng.randint(1, n))]) for n in (9, 60)
+        )
+        assert decontam.align(item, passage)[0] <= decontam.most(item, passage)
+
+
 def test_odd_texts_and_short_items(spark, odd_documents):
     items = [(1, "text without", 1, 1), (2, "twice", 1, 1), (3, "never there", 1, 1)]
     got = found(odd_documents, spark.createDataFrame(items, ITEMS))
