@@ -36,14 +36,20 @@ LEAK = [("score", T.DoubleType()), ("start", T.LongType()), ("end", T.LongType()
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, n_words: int = 3, min_score: float = 0.5, min_words: int = 8
+    docs: DataFrame,
+    items: DataFrame,
+    n_words: int = 3,
+    min_score: float = 0.5,
+    min_words: int = 8,
+    long_run: int = 13,
 ) -> DataFrame:
     """(doc, leaks): all columns of each row as a struct, and the items found in its text.
 
-    ``leaks`` holds, for each item at most once, the best alignment: its score as a share of the
-    item's words, and the aligned passage in code points, end exclusive. An item counts as found
-    from a score of ``min_score``, if the alignment also scores ``min_words`` words or, for a
-    shorter item, the whole item. Words are runs of letters and digits, with A-Z lower-cased.
+    ``leaks`` holds each item found at most once: its score as a share of the item's words, and
+    the passage of its best alignment in code points, end exclusive. Alignments count that score
+    at least ``min_words`` words or, for a shorter item, the whole item. Those of different words
+    of an item are added, wherever in the text they are. An item counts as found from a score of
+    ``min_score``, or from one alignment of ``long_run`` words, however long the item is.
 
     A null or empty text has no leaks, and neither does an item without words match anything.
     Items that repeat id and text count once; a null item_id is carried. Rows are searched each
@@ -57,10 +63,19 @@ def find_leaks(
         F.array().cast(T.ArrayType(leak)).alias("leaks"),
     )
     for block in _blocks(items, n_words):
-        rows = _searched(rows, block, min_score, min_words)
+        rows = _searched(rows, block, Limits(min_score, min_words, long_run))
     return rows.select("doc", "leaks")
 
 
+@dataclass
+class Limits:
+    """Least share of an item, and least scores of each alignment and of one that is enough."""
+
+    share: float
+    words: int
+    long_run: int
+
+
 @dataclass
 class Block:
     """Items as word hashes, and their seeds in order of hash: item, and place in it."""
@@ -111,7 +126,7 @@ def _blocks_of(rows: list, n_words: int) -> Iterator[Block]:
         yield Block(n, [rows[i].item_id for i in own], [tokens[i] for i in own], *found)
 
 
-def _searched(rows: DataFrame, block: Block, min_score: float, min_words: int) -> DataFrame:
+def _searched(rows: DataFrame, block: Block, limits: Limits) -> DataFrame:
     enough = block.enough()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +134,7 @@ def _searched(rows: DataFrame, block: Block, min_score: float, min_words: int) -
             for part in slices(batch):
                 words = split_words(part.column("text"), NOT_ALPHANUMERIC)
                 leaks = part.column("leaks").to_pylist()
-                for row, leak in _leaks(words, block, enough, min_score, min_words):
+                for row, leak in _leaks(words, block, enough, limits):
                     leaks[row].append(leak)
                 kind = part.schema.field("leaks").type
                 yield pa.RecordBatch.from_arrays(
@@ -130,25 +145,51 @@ def _searched(rows: DataFrame, block: Block, min_score: float, min_words: int) -
     return rows.mapInArrow(run, rows.schema)
 
 
-def _leaks(words: Words, block: Block, enough: np.ndarray, min_score: float, min_words: int):
-    """(row, leak) for the best alignment of every item with enough seeds in a passage."""
+def _leaks(words: Words, block: Block, enough: np.ndarray, limits: Limits):
+    """(row, leak) for every item found in the passages that have enough of its seeds."""
     sizes = np.array([len(w) for w in block.words])
-    best: dict[tuple[int, int], dict] = {}
+    passages: dict[tuple[int, int], list] = {}
     for r, i, first, last in _passages(words, block, enough, sizes):
-        n = int(sizes[i])
-        slack = n // 2 + 1
+        slack = int(sizes[i]) // 2 + 1
         left = max(first - slack, int(words.bounds[r]))
-        right = min(last + n + slack, int(words.bounds[r + 1]))
-        least = max(min_score * n, min(min_words, n))
-        if most(block.words[i], words.hashes[left:right]) < least:
-            continue
-        score, start, end = align(block.words[i], words.hashes[left:right])
-        if score < least:
-            continue
-        if (r, i) not in best or score > best[r, i]["score"] * n:
-            span = _code_points(words, r, left + start, left + end)
-            best[r, i] = {"item_id": block.ids[i], "score": score / n, **span}
-    return [(r, leak) for (r, _), leak in sorted(best.items())]
+        right = min(last + int(sizes[i]) + slack, int(words.bounds[r + 1]))
+        own = passages.setdefault((r, i), [])
+        if own and left <= own[-1][1]:
+            own[-1][1] = max(right, own[-1][1])
+        else:
+            own.append([left, right])
+    for (r, i), own in sorted(passages.items()):
+        # A gap as long as the item: no alignment gains by going across.
+        gap = np.full(int(sizes[i]), -1)
+        places = np.concatenate([x for a, b in own for x in (np.arange(a, b), gap)])
+        score, first, last = _found(block.words[i], words.hashes[places], places < 0, limits)
+        if score:
+            span = _code_points(words, r, int(places[first]), int(places[last - 1]) + 1)
+            yield r, {"item_id": block.ids[i], "score": score / int(sizes[i]), **span}
+
+
+def _found(item: np.ndarray, passage: np.ndarray, gap: np.ndarray, limits: Limits):
+    """(score, start, end): the sum of the alignments and the place of the best one. The score is
+    0 if the item is not found."""
+    n = len(item)
+    part, whole = min(limits.words, n), max(limits.share * n, min(limits.words, n))
+    # Words as their place among those of the item; others are equal to none.
+    known, item = np.unique(item, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, passage), len(known) - 1)
+    passage = np.where((known[at] == passage) & ~gap, at, -1)
+    if np.isin(item, passage).sum() < min(whole, max(limits.long_run, part)):
+        return 0.0, 0, 0
+    total, best, start, end = 0.0, 0.0, 0, 0
+    while total < whole and most(item, passage) >= part:
+        score, from_item, to_item, first, last = _aligned(item, passage)
+        if score < part:
+            break
+        if score > best:
+            best, start, end = score, first, last
+        total += score
+        item[from_item:to_item], passage[first:last] = -2, -1
+    found = total >= whole or best >= max(limits.long_run, part)
+    return (total if found else 0.0), start, end
 
 
 def _passages(words: Words, block: Block, enough: np.ndarray, sizes: np.ndarray):
@@ -221,18 +262,24 @@ def _code_points(words: Words, row: int, first: int, last: int) -> dict:
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment: its score, and where it begins and ends in the passage."""
-    score, end = _best(item, passage)
+    score, _, _, start, end = _aligned(item, passage)
+    return score, start, end
+
+
+def _aligned(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int, int, int]:
+    """Best local alignment: its score, and where it begins and ends in the item and passage."""
+    score, to_item, end = _best(item, passage)
     if not end:
-        return 0.0, 0, 0
-    _, back = _best(item[::-1], passage[:end][::-1])
-    return score, end - back, end
+        return 0.0, 0, 0, 0, 0
+    _, back_item, back = _best(item[:to_item][::-1], passage[:end][::-1])
+    return score, to_item - back_item, to_item, end - back, end
 
 
-def _best(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
+def _best(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     places = np.arange(len(passage) + 1)
     before = np.zeros(len(passage) + 1)
-    best, end = 0.0, 0
-    for word in item:
+    best, to_item, end = 0.0, 0, 0
+    for n, word in enumerate(item, 1):
         here = np.zeros_like(before)
         diagonal = before[:-1] + np.where(passage == word, MATCH, MISMATCH)
         np.maximum(np.maximum(diagonal, before[1:] + GAP), 0, out=here[1:])
@@ -240,6 +287,6 @@ def _best(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
         here = np.maximum(here, np.maximum.accumulate(here - GAP * places) + GAP * places)
         top = int(here.argmax())
         if here[top] > best:
-            best, end = float(here[top]), top
+            best, to_item, end = float(here[top]), n, top
         before = here
-    return best, end
+    return best, to_item, end

@@ -70,6 +70,31 @@ def test_edited_item_in_hundreds_of_documents(spark, documents):
     assert found(documents(pairs), items).keys() == {(i, 1) for i in range(300)}
 
 
+def test_part_of_a_long_item(spark, documents):
+    rng = random.Random(9)
+    passages = {n: words(rng, n) for n in (59, 300)}
+    items = [(n, " ".join(p), 1, 1) for n, p in passages.items()]
+    long, edited = passages[300][10:150], passages[300][10:150]
+    edited[5::10] = ["new"] * len(edited[5::10])
+    parts = {1: passages[59][20:48], 2: long, 3: edited, 4: passages[59][20:30]}
+    pairs = [(i, " ".join([*words(rng, 80), *p, *words(rng, 80)])) for i, p in parts.items()]
+    got = found(documents(pairs), spark.createDataFrame(items, ITEMS))
+    assert got.keys() == {(1, 59), (2, 300), (3, 300)}
+    assert got[1, 59].score == 28 / 59
+    assert dict(pairs)[1][got[1, 59].start : got[1, 59].end] == " ".join(parts[1])
+
+
+@pytest.mark.parametrize("between", [3, 400])
+def test_scattered_parts_are_added(spark, documents, between):
+    rng = random.Random(10)
+    item = words(rng, 40)
+    first, second = item[2:13], item[25:36]
+    other = words(rng, between)
+    pairs = [(1, " ".join([*second, *other, *first])), (2, " ".join([*first, *other, *first]))]
+    got = found(documents(pairs), spark.createDataFrame([(1, " ".join(item), 1, 1)], ITEMS))
+    assert got.keys() == {(1, 1)} and got[1, 1].score == 22 / 40
+
+
 @pytest.mark.parametrize("hits", [1, 7])
 def test_hits_in_parts(spark, documents, monkeypatch, hits):
     monkeypatch.setattr(decontam, "HITS", hits)
