@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -55,6 +56,18 @@ def test_copies_and_edits(documents, n):
     assert found(documents(pairs), n) == expected(pairs, n)
 
 
+def test_chance_to_miss_a_pair():
+    least, equal = near_dedup._least_equal(80), 0.8 + 0.2 / 16
+    assert near_dedup._least_equal(80) == near_dedup.HASHES * 5 // 8  # exactly, not rounded up
+    fails = sum(
+        math.comb(near_dedup.HASHES, k) * equal**k * (1 - equal) ** (near_dedup.HASHES - k)
+        for k in range(least)
+    )
+    apart = (1 - 0.8**near_dedup.DEPTH) ** near_dedup.TREES
+    assert near_dedup.TREES * near_dedup.DEPTH <= near_dedup.HASHES  # no value in two regions
+    assert fails + apart < 1e-6
+
+
 def test_large_group_is_compared_in_blocks(documents, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     rng = random.Random(5)
