@@ -7,6 +7,7 @@
    longest common prefix stand together; a region is a run with the first ``DEPTH`` values equal,
    and in regions of more than ``NEIGHBOURS`` nodes only deeper prefixes are neighbours.
    Neighbours whose signatures agree enough join one candidate group.
+   Neighbours on two sides of a partition boundary are compared in a second pass.
 3. Within a candidate group every pair is compared on full sets, in blocks of bounded size; a
    block sends back a spanning forest of its links, never all pairs.
 4. Components of the confirmed links.
@@ -150,22 +151,49 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             yield from _labels(batch)
 
-    def scan(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch] if held is None else [held, batch])
-            joined = table.combine_chunks().to_batches()[0]
-            yield _neighbours(joined, 0 if held is None else held.num_rows, least)
-            held = joined.slice(max(0, joined.num_rows - NEIGHBOURS))
-
-    trees = nodes.select("node", "signature").mapInArrow(
-        plant, "label binary, node binary, sketch binary"
-    )
+    trees = nodes.select("node", "signature").mapInArrow(plant, TREE)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = trees.repartitionByRange(parts, "label", "node").sortWithinPartitions("label", "node")
-    return ordered.mapInArrow(scan, "a binary, b binary").distinct()
+    order = ("label", "node")
+    ordered = trees.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    scanned = ordered.mapInArrow(lambda batches: _scanned(batches, least, True), f"{LINK}, {TREE}")
+    scanned = stored(scanned, "neighbours")
+    # Neighbours on two sides of a boundary, whatever the number of rows between boundaries: at
+    # most 2 * NEIGHBOURS rows of each partition, which do not grow with the input.
+    edges = scanned.where("label is not null").select("label", "node", "sketch")
+    edges = edges.repartition(1).sortWithinPartitions(*order)
+    across = edges.mapInArrow(lambda batches: _scanned(batches, least, False), LINK)
+    return scanned.where("a is not null").select("a", "b").unionByName(across).distinct()
+
+
+TREE, LINK = "label binary, node binary, sketch binary", "a binary, b binary"
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], least: int, with_edges: bool):
+    """Links of rows in order, and with ``with_edges`` the first and last NEIGHBOURS rows."""
+    held, n_first, n = None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        known = 0 if held is None else held.num_rows
+        table = pa.Table.from_batches([batch] if held is None else [held, batch])
+        joined = table.combine_chunks().to_batches()[0]
+        links = _neighbours(joined, known, least)
+        yield _padded(links) if with_edges else links
+        if with_edges and n_first < NEIGHBOURS:
+            first = batch.slice(0, NEIGHBOURS - n_first)
+            n_first += first.num_rows
+            yield _padded(first)
+        n += batch.num_rows
+        held = joined.slice(max(0, joined.num_rows - NEIGHBOURS))
+    if with_edges and held is not None:
+        yield _padded(held.slice(max(0, n_first - (n - held.num_rows))))  # no row twice
+
+
+def _padded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """With all columns of links and trees; those that the batch has not are null."""
+    has, none = set(batch.schema.names), pa.nulls(batch.num_rows, pa.binary())
+    names = ("a", "b", "label", "node", "sketch")
+    return pa.RecordBatch.from_pydict({c: batch.column(c) if c in has else none for c in names})
 
 
 def _matrix(column: pa.Array, dtype=np.uint8) -> np.ndarray:

@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from odd_texts import ODD_TEXTS
 
@@ -56,6 +58,60 @@ def test_copies_and_edits(documents, n):
     assert found(documents(pairs), n) == expected(pairs, n)
 
 
+@pytest.fixture
+def many_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_few_rows_over_many_partitions(many_partitions, documents):
+    rng = random.Random(11)
+    pairs = []
+    for base in range(6):  # pairs of texts that share most shingles
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(60)]
+        pairs += [(2 * base, " ".join(words)), (2 * base + 1, " ".join([*words[:-2], "x", "y"]))]
+    assert found(documents(pairs), 2) == expected(pairs, 2)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_neighbours_do_not_depend_on_boundaries(parts):
+    rng = np.random.default_rng(12)
+    n, width = 300, near_dedup.HASHES // 2
+    label = np.zeros((n, 17), np.uint8)
+    label[:, 1] = np.sort(rng.integers(0, 3, n))
+    # The rows 64 places apart are alike, and no others.
+    kinds = rng.integers(0, 256, (near_dedup.NEIGHBOURS, width)).astype(np.uint8)
+    table = pa.RecordBatch.from_pydict(
+        {
+            "label": near_dedup._fixed_binary(label),
+            "node": pa.array([f"{i:016}".encode() for i in range(n)], pa.binary()),
+            "sketch": near_dedup._fixed_binary(kinds[np.arange(n) % len(kinds)]),
+        }
+    )
+    rows, links = [], set()
+    for part in np.array_split(np.arange(n), parts):
+        batches = [table.slice(part[i], len(part[i : i + 3])) for i in range(0, len(part), 3)]
+        for batch in near_dedup._scanned(iter(batches), 80, True):
+            for row in batch.to_pylist():
+                (rows.append if row["a"] is None else links.add)(tuple(row.values()))
+    rows = [row[2:] for row in rows]
+    assert len(set(rows)) == len(rows)
+    edges = pa.RecordBatch.from_pydict(dict(zip(("label", "node", "sketch"), zip(*sorted(rows)))))
+    for batch in near_dedup._scanned(iter([edges]), 80, False):
+        links |= {tuple(row.values()) for row in batch.to_pylist()}
+    joined = near_dedup.Links(n)
+    for link in links:
+        joined.add(*(np.array([int(x)]) for x in link[:2]))
+    whole = near_dedup.Links(n)
+    apart = near_dedup.NEIGHBOURS
+    at = np.flatnonzero(label[apart:, 1] == label[:-apart, 1])
+    whole.add(at + apart, at)
+    assert len(whole.kept) > 50
+    groups = [[x.root(i) for i in range(n)] for x in (joined, whole)]
+    assert len(set(zip(*groups))) == len(set(groups[0])) == len(set(groups[1]))
+
+
 def test_chance_to_miss_a_pair():
     least, equal = near_dedup._least_equal(80), 0.8 + 0.2 / 16
     assert near_dedup._least_equal(80) == near_dedup.HASHES * 5 // 8  # exactly, not rounded up
