@@ -10,8 +10,8 @@ repeated window is found at an anchor, and there is one anchor in about 85 bytes
    stand alone are done with. Suffixes whose whole surroundings are repeated are removed whole.
    A run of equal leading bytes that may go on in the next part is never taken as complete.
 2. The others, at the edges of repeats, are compared window by window with all suffixes of equal
-   leading bytes. Where these are too many for one task they are dealt by window instead, counted
-   in each task before they are sent.
+   leading bytes. Where these are too many for one task, or go on in another part, they are dealt
+   by window instead, counted in each task before they are sent.
 3. The spans found are merged per text and cut out.
 """
 
@@ -211,7 +211,8 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
             left = np.maximum(place - (length - LEAD), offsets[own])
             right = np.minimum(place + length, offsets[own + 1])
             row = part.column("row").to_numpy()[own]
-            few = np.flatnonzero(((kind & MANY) == 0) | ((kind & EDGE_OF_PART) != 0))
+            # A group that crosses parts is marked so in all of them; only windows are bounded.
+            few = np.flatnonzero((kind & (MANY | EDGE_OF_PART)) == 0)
             if len(few):
                 around = _spans_of(data, left[few], right[few])
                 yield _sent(lead[few], SURROUNDINGS, row[few], at[few], (place - left)[few], around)

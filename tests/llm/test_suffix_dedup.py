@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from odd_texts import ODD_TEXTS
 
+from switchboard.llm import suffix_dedup
 from switchboard.llm.suffix_dedup import LEAD, cut_repeats
 
 
@@ -61,6 +63,30 @@ def test_large_groups_are_dealt_by_window(documents, group):
     assert found(documents(texts(4)), 48, group=group) == expected(texts(4), 48)
 
 
+@pytest.mark.parametrize("group", [4, 20_000])
+def test_a_group_larger_than_a_part(spark, documents, group):
+    rng = random.Random(5)
+    lead = "".join(rng.choices("xyzé", k=45))
+    around = ["".join(rng.choices("abc ", k=60)) for _ in range(400)]
+    pairs = [(i, around[i] + lead + around[i // 2]) for i in range(400)]
+    assert found(documents(pairs), 48, group=group) == expected(pairs, 48)
+
+
+def test_groups_over_parts_go_by_window_only():
+    text = "".join(random.Random(6).choices("abc", k=100))
+    kinds = [suffix_dedup.OPEN | more for more in (0, suffix_dedup.MANY, suffix_dedup.EDGE_OF_PART)]
+    kinds.append(kinds[1] | kinds[2])
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("lead", pa.int64()), ("kind", pa.int32())]))
+    marks = [{"at": 20 + k, "lead": k, "kind": kind} for k, kind in enumerate(kinds)]
+    batch = pa.RecordBatch.from_pydict(
+        {"text": pa.array([text]), "row": pa.array([1]), "marks": pa.array([marks], kind)}
+    )
+    sent = [row for b in suffix_dedup._surroundings(iter([batch]), 48) for row in b.to_pylist()]
+    assert [r["at"] for r in sent if r["sort"] == suffix_dedup.SURROUNDINGS] == [20]
+    windows = sum(row["sort"] == suffix_dedup.WINDOW for row in sent)
+    assert windows == 3 * (48 - LEAD + 1)
+
+
 def test_odd_texts(odd_documents):
     pairs = [(i, t) for i, t in ODD_TEXTS]
     assert found(odd_documents, 40) == expected(pairs, 40)
