@@ -34,8 +34,10 @@ CARD_MARK = r"(?<=[0-9])[\x20-](?=[0-9])"
 # \+[0-9][\x20().0-9-]+[0-9]
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-# A token with a digit or @; digit groups that one blank separates are one token.
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# A token with a digit or @, or with one of the other forms of @ inside; digit groups that one
+# blank separates are one token.
+AT = r"(?:\(at\)|\[at\])"
+TOKEN = rf"(?<!\S)(?:[^\s0-9@]*+[0-9@]|\S+?{AT}(?=\S))\S*+"
 TOKEN_MARK = r"(?<=[0-9)])\x20(?=[0-9(+])"
 OPENING, CLOSING = "([{<\"'", ".,;:!?)]}>\"'"
 # Code points before a token in which its two context words are looked for.
@@ -65,9 +67,9 @@ def find_personal_data(
     like any other. Other columns are ignored, and an empty table gives no rows.
     """
     rows = docs.select("doc_id", text_id().alias("text_id"), F.col("text").alias("text"))
-    rows = rows.where("text rlike '[0-9@]'")
-    base = stored(_base_spans(rows), "base-spans")
-    tokens = stored(_tokens(rows), "tokens")
+    plain = F.col("text").rlike("[0-9@]")
+    base = stored(_base_spans(rows.where(plain)), "base-spans")
+    tokens = stored(_tokens(rows.where(plain | F.col("text").rlike(AT))), "tokens")
     patterns = _strong_patterns(tokens, rounds, min_confidence, min_seeds)
     return base.withColumn("base", F.lit(True)).unionByName(
         _found_spans(tokens, patterns, base).withColumn("base", F.lit(False))

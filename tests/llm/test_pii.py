@@ -71,6 +71,20 @@ def test_empty_table(documents):
     assert found(documents([])) == []
 
 
+def test_patterns_find_addresses_without_at_or_digit(documents):
+    pairs = [(i, f"please write to Mail: {c}{c}@example.com today") for i, c in enumerate("abcdefgh")]
+    more = {50: "anna(at)example.com", 51: "anna[at]example.org"}
+    pairs += [(i, f"or to Mail: {token}, thanks") for i, token in more.items()]
+    pairs += [(60, "or to Mail: nobody, (at) last [at] all"), (61, "look anna(at)example.com, thanks")]
+    spans = find_personal_data(documents(pairs))
+    assert spans.where("base").count() == 8
+    rows = spans.where(~F.col("base")).select("doc_id", "kind", "start", "end").collect()
+    text = dict(pairs)
+    assert {(r.doc_id, r.kind, text[r.doc_id][r.start : r.end]) for r in rows} == {
+        (i, "email", token) for i, token in more.items()
+    }
+
+
 def test_patterns_find_unseen_identifiers(documents):
     numbers = [f"+49 30 {1234567 + i}" for i in range(20)]
     pairs = [(i, f"please call Hotline: {n} today") for i, n in enumerate(numbers)]
