@@ -162,7 +162,9 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     edges = scanned.where("label is not null").select("label", "node", "sketch")
     edges = edges.repartition(1).sortWithinPartitions(*order)
     across = edges.mapInArrow(lambda batches: _scanned(batches, least, False), LINK)
-    return scanned.where("a is not null").select("a", "b").unionByName(across).distinct()
+    links = scanned.where("a is not null").select("a", "b").unionByName(across)
+    # A node has a link from each tree, mostly to the same few; they are thinned before any join.
+    return links.repartition("a").sortWithinPartitions("a").mapInArrow(_thinned, LINK)
 
 
 TREE, LINK = "label binary, node binary, sketch binary", "a binary, b binary"
@@ -232,10 +234,14 @@ def _neighbours(batch: pa.RecordBatch, known: int, least: int) -> pa.RecordBatch
         rows = rows[rows + step >= known]
         alike = EQUAL_NIBBLES[sketch[rows + step] ^ sketch[rows]].sum(1) >= least
         joined.add(rows[alike] + step, rows[alike])
-    # Links to the smallest node of a group are often the same ones in other trees.
+    return _stars(batch.column("node"), joined)
+
+
+def _stars(names: pa.Array, joined: Links) -> pa.RecordBatch:
+    """The groups as links to their smallest node, which are often the same in other trees."""
     used = sorted({x for pair in joined.kept for x in pair})
-    names = batch.column("node").take(pa.array(used, pa.int64())).to_pylist()
     roots = [joined.root(x) for x in used]
+    names = names.take(pa.array(used, pa.int64())).to_pylist()
     least_of: dict[int, bytes] = {}
     for root, name in zip(roots, names):
         least_of[root] = min(name, least_of.get(root, name))
@@ -244,6 +250,16 @@ def _neighbours(batch: pa.RecordBatch, known: int, least: int) -> pa.RecordBatch
     return pa.RecordBatch.from_pydict({"a": a, "b": b})
 
 
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fewer links that join the same nodes: a spanning forest of each batch."""
+    for batch in batches:
+        ends = pa.concat_arrays([batch.column("a"), batch.column("b")]).dictionary_encode()
+        at = ends.indices.to_numpy()
+        joined = Links(len(ends.dictionary))
+        joined.add(at[: batch.num_rows], at[batch.num_rows :])
+        yield _stars(ends.dictionary, joined)
+
+
 class Links:
     """Keeps only links that join two groups of rows that were apart."""
 

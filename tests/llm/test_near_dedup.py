@@ -112,6 +112,21 @@ def test_neighbours_do_not_depend_on_boundaries(parts):
     assert len(set(zip(*groups))) == len(set(groups[0])) == len(set(groups[1]))
 
 
+def test_thinned_links_join_the_same_nodes():
+    rng = random.Random(13)
+    names = [f"{i:016}".encode() for i in range(200)]
+    links = [(names[i], names[rng.randrange(i % 4, 12, 4)]) for i in range(12, 200) for _ in range(32)]
+    batch = pa.RecordBatch.from_pydict(dict(zip(("a", "b"), zip(*links))))
+    thinned = [(r["a"], r["b"]) for t in near_dedup._thinned(iter([batch])) for r in t.to_pylist()]
+    assert len(thinned) == 200 - 4
+    groups = []
+    for some in (links, thinned):
+        joined = near_dedup.Links(200)
+        joined.add(*(np.array([int(x[i]) for x in some]) for i in range(2)))
+        groups.append([joined.root(i) for i in range(200)])
+    assert len(set(zip(*groups))) == len(set(groups[0])) == len(set(groups[1])) == 4
+
+
 def test_chance_to_miss_a_pair():
     least, equal = near_dedup._least_equal(80), 0.8 + 0.2 / 16
     assert near_dedup._least_equal(80) == near_dedup.HASHES * 5 // 8  # exactly, not rounded up
