@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from switchboard.llm import (
     brown,
     decontam,
+    fill_middle,
     line_dedup,
     near_dedup,
     packing,
+    periodic,
     pii,
     quality,
     suffix_dedup,
@@ -176,3 +178,135 @@ SELECT query_id, rank, neighbor_id, distance FROM (
     FROM pairs
 ) WHERE rank <= 10
 """
+
+
+@register
+def op11_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    plant = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic.find_runs(docs, plant=plant)
+    # Greatest length, then smallest start, then smallest period.
+    ranked = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    best = F.array_max(ranked)
+    found = found.withColumn("best", best)
+    start, length, period = -F.col("best.col2"), F.col("best.length"), -F.col("best.col3")
+    lines = F.transform(
+        "runs",
+        lambda r: F.concat(
+            F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))),
+            F.lit("\n"),
+        ),
+    )
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+ORACLE_SQL["op11_periodic_runs"] = r"""
+WITH texts AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+        xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                                       lambda c: CAST(ord(c) AS BIGINT)),
+            lambda crc, c: list_reduce(range(8),
+                lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END,
+                xor(crc, c)), 4294967295), 4294967295) AS h
+    FROM documents
+), drawn AS (
+    SELECT doc_id, words, len(words) AS n, h % 10 = 0 AND len(words) > 0 AS planted,
+        CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a, h // 10 AS g
+    FROM texts
+), sized AS (
+    SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM drawn
+), placed AS (
+    SELECT doc_id, n, unnest(words) AS own, words, unnest(range(n)) AS i, planted, a, p FROM sized
+), word AS (
+    SELECT doc_id, n, i, CASE WHEN planted AND i >= a THEN words[1 + a + (i - a) % p]
+                              ELSE own END AS w
+    FROM placed
+), pairs AS (
+    SELECT x.doc_id, x.i, y.i - x.i AS period
+    FROM word x JOIN word y ON x.doc_id = y.doc_id AND x.w = y.w
+    WHERE y.i > x.i AND 2 * (y.i - x.i) <= x.n
+), islands AS (
+    SELECT doc_id, period, i,
+        i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS island
+    FROM pairs
+), stretches AS (
+    SELECT doc_id, min(i) AS start, count(*) + period AS length, period
+    FROM islands GROUP BY doc_id, period, island
+    HAVING count(*) >= greatest(period, 12 - period)
+), runs AS (
+    SELECT doc_id, start, length, min(period) AS period
+    FROM stretches GROUP BY doc_id, start, length
+), listed AS (
+    SELECT doc_id, count(*) AS n_runs,
+        sha256(string_agg(start || ',' || length || ',' || period || chr(10), ''
+                          ORDER BY start, period)) AS runs_sha256,
+        first(struct_pack(s := start, l := length, q := period)
+              ORDER BY length DESC, start, period) AS best
+    FROM runs GROUP BY doc_id
+), dropped AS (
+    SELECT DISTINCT doc_id, i FROM (
+        SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM runs)
+), kept AS (
+    SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS collapsed
+    FROM word ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length,
+    best.q AS period, 1000 * best.l // best.q AS exponent_milli,
+    coalesce(runs_sha256, sha256('')) AS runs_sha256,
+    sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@register
+def op12_fill_middle(spark, sf_dir):
+    found = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+ORACLE_SQL["op12_fill_middle"] = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS digest FROM documents
+), drawn AS (
+    SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS tokens,
+        list_transform(range(4),
+            lambda i: CAST('0x' || substr(digest, CAST(8 * i + 1 AS INT), 8) AS BIGINT)) AS h
+    FROM texts
+), cut AS (
+    SELECT *, len(tokens) AS n, h[1] % (len(tokens) + 1) AS x, h[2] % (len(tokens) + 1) AS y
+    FROM drawn
+), parts AS (
+    SELECT doc_id, n, text, array_to_string(tokens[: least(x, y)], '') AS prefix,
+        array_to_string(tokens[least(x, y) + 1 : greatest(x, y)], '') AS middle,
+        array_to_string(tokens[greatest(x, y) + 1 :], '') AS suffix,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 90 THEN 'plain'
+             WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM cut
+)
+SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text
+        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""
