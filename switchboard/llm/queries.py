@@ -11,6 +11,7 @@ from switchboard.llm import (
     brown,
     decontam,
     fill_middle,
+    learned_index,
     line_dedup,
     near_dedup,
     packing,
@@ -310,3 +311,9 @@ SELECT doc_id, n, form,
     sha256(text) AS restored_sha256
 FROM parts
 """
+
+
+@register
+def op13_learned_index(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return learned_index.nearest_vectors(vectors, is_query=F.col("vec_id") % 20 == 0, k=20)

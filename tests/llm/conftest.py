@@ -12,7 +12,7 @@ from odd_texts import ODD_TEXTS  # noqa: E402
 CLASHING = (
     "key pos line lines row row_id at lead around marks found text_id node signature root label "
     "doc chunk word n kind start end token score held_out __held_out its_id its_text dropped "
-    "labelled_id leaks component_id kept"
+    "labelled_id leaks component_id kept plant h1 form output cut runs collapsed"
 ).split()
 
 

@@ -1,0 +1,117 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from switchboard.llm import learned_index
+from switchboard.llm.graph_parts import balanced_parts, fit, nearest
+from switchboard.llm.learned_index import nearest_vectors
+
+SCHEMA = "vec_id long, embedding array<float>, key long, part int, ids int, n int, rank int"
+
+
+def usable(values):
+    return values is not None and all(v is not None and math.isfinite(v) for v in values) and any(values)
+
+
+def product(one, two):
+    total = 0.0
+    for x, y in zip(one, two):
+        total += x * y
+    return total
+
+
+def expected(vectors, step, k):
+    known = {}
+    for vec_id, values in vectors:
+        if vec_id is not None and usable(values):
+            values = [float(np.float32(v)) for v in values]
+            known[vec_id] = min(values, known.get(vec_id, values))
+    rows = []
+    for query in (i for i in known if i % step == 0):
+        scored = sorted((-product(known[query], v), i) for i, v in known.items() if i != query)
+        rows += [(query, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
+    return sorted(rows)
+
+
+def found(spark, vectors, step=10, **more):
+    rows = [(i, v, 1, 1, 1, 1, 1) for i, v in vectors]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = nearest_vectors(table, F.col("vec_id") % step == 0, **more).collect()
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got)
+
+
+def random_vectors(n, width, seed=0):
+    rng = np.random.default_rng(seed)
+    return [(i, row.tolist()) for i, row in enumerate(rng.standard_normal((n, width)))]
+
+
+def test_one_part_is_exact_with_ties_and_copies(spark):
+    vectors = random_vectors(80, 5)
+    vectors += [(100 + i, vectors[3][1]) for i in range(60)]  # a common vector, queries among them
+    vectors += [(200 + i, [0.0, 0.0, 0.0, 0.0, 1.0 + i % 2]) for i in range(40)]
+    assert found(spark, vectors, k=7) == expected(vectors, 10, 7)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [
+        *((0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [1.0, -3.0]), (10, None), (20, [0.0, -0.0])),
+        *((30, [nan, 1.0]), (40, [inf, 1.0]), (50, [None, 1.0]), (60, []), (None, [5.0, 5.0])),
+        *((1, [2.0]), (2, [2.0, 0.0, 0.0]), (3, [2.0, 0.0, 7.0]), (70, [1.0, 1.0, 1.0])),
+    ]
+    assert found(spark, vectors, k=20) == expected(vectors, 10, 20)
+
+
+def test_empty_table_and_no_query(spark):
+    assert found(spark, []) == []
+    assert found(spark, [(1, [1.0, 2.0])]) == []
+    assert found(spark, [(10, [1.0, 2.0])]) == []
+
+
+def recall(got, vectors, step, k):
+    wanted = {(q, i) for q, _, i, _ in expected(vectors, step, k)}
+    return len(wanted & {(q, i) for q, _, i, _ in got}) / len(wanted)
+
+
+def scores_are_exact(got, vectors):
+    known = {i: [float(np.float32(x)) for x in v] for i, v in vectors}
+    return all(score == product(known[q], known[i]) for q, _, i, score in got)
+
+
+@pytest.mark.parametrize("cell_values", [1 << 22, 16 * 40])
+def test_several_parts_and_small_cells(spark, monkeypatch, cell_values):
+    """Vectors without any structure: the hardest case."""
+    monkeypatch.setattr(learned_index, "CELL_VALUES", cell_values)
+    vectors = random_vectors(1200, 16, seed=5)
+    got = found(spark, vectors, step=20, k=10, part_rows=150)
+    assert len(got) == 60 * 10
+    assert scores_are_exact(got, vectors)
+    assert recall(got, vectors, 20, 10) >= 0.9
+
+
+def test_groups_are_found_without_asking_all_parts():
+    rng = np.random.default_rng(1)
+    centers = rng.standard_normal((60, 24))
+    vectors = centers[rng.integers(0, 60, 6000)] + 0.2 * rng.standard_normal((6000, 24))
+    parts = fit(vectors[:4000], n_parts=16, k=10, recall=0.95)
+    queries = vectors[4000:4300]
+    asked, kept = parts.ask(queries), parts.keep(vectors)
+    truth = nearest(queries, vectors, 10)
+    assert np.take_along_axis(asked, kept[truth], 1).mean() >= 0.9
+    assert asked.mean() < 0.25
+    assert np.bincount(kept, minlength=16).max() < 3 * 6000 / 16
+
+
+def test_parts_are_balanced_and_follow_the_graph():
+    rng = random.Random(2)
+    # 32 cliques of 16 nodes in a ring.
+    neighbours = np.array(
+        [[j for j in range(i // 16 * 16, i // 16 * 16 + 16) if j != i] for i in range(512)]
+    )
+    neighbours = np.column_stack([neighbours, [(i + 16 * rng.choice([1, 31])) % 512 for i in range(512)]])
+    parts = balanced_parts(neighbours, 8)
+    assert np.bincount(parts).tolist() == [64] * 8
+    assert (parts[neighbours] == parts[:, None]).mean() > 0.8
