@@ -5,9 +5,11 @@ tell the part of any row, another one in which parts the neighbours of a query l
 has both. Every row is kept in one part, every query asks its most probable parts, as many as a
 held-out half of the sample needed for the wanted recall, and all rows of those are compared.
 
-Rows and queries meet in cells: a block of the rows of one part with a block of the queries that
-ask it. Cells are bounded however large a part or however popular it is. Equal vectors are one
-entry with its smallest ids, so copies neither fill a part nor are compared again and again.
+Rows and queries meet in cells. The rows are laid out in tiles of bounded size, neighbouring parts
+or a block of a large one; a query goes to every tile with a part it asks, and gives one merged
+answer there. A tile that very many queries ask is repeated for blocks of them, so cells are bounded
+however large a part or however popular it is. Equal vectors are one entry with its smallest ids, so
+copies neither fill a part nor are compared again and again.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from switchboard.llm.graph_parts import Parts, fit
 SAMPLE_ROWS = 16_384
 # Rows of a part that are aimed at, and the largest number of parts that the sample can tell.
 PART_ROWS, MAX_PARTS = 1_000, 256
-# Values of the sample at most, of the rows and of the queries of a cell, and scores held at once.
+# Values of the sample, of the rows of a tile and of the queries of a cell, at most; scores that are
+# held at once.
 SAMPLE_VALUES = 1 << 24
-CELL_VALUES = 1 << 22
+TILE_VALUES, QUERY_VALUES = 1 << 20, 1 << 17
 SCORES_AT_ONCE = 1 << 21
 
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -102,6 +105,47 @@ class Index:
         return self.parts.ask(queries) if self.parts else np.ones((len(queries), 1), bool)
 
 
+@dataclass
+class Tiles:
+    """Which parts, from ``low`` up to ``high``, are in each tile, in order of the parts; a large
+    part has several tiles of its own, with ``blocks`` for how many. ``copies`` are the blocks of
+    the queries that ask a tile."""
+
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray
+    blocks: np.ndarray
+    copies: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, most: int) -> Tiles:
+        low, high, first, blocks, open_rows = [], [], [], [], None
+        for part, size in enumerate(sizes.tolist()):
+            n = max(1, -(-size // most))
+            if n > 1 or open_rows is None or open_rows + size > most:
+                first.append(len(low))
+                low += [part] * n
+                high += [part + 1] * n
+                open_rows = size if n == 1 else None
+            else:
+                first.append(len(low) - 1)
+                high[-1] = part + 1
+                open_rows += size
+            blocks.append(n)
+        columns = (np.array(c, np.int64) for c in (low, high, first, blocks))
+        return cls(*columns, copies=np.ones(len(low), np.int64))
+
+    def of_rows(self, parts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.first[parts] + (mixed % self.blocks[parts].astype(np.uint64)).astype(np.int64)
+
+    def of_queries(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, tile) of all tiles with a part that is asked."""
+        sums = np.zeros((len(asked), asked.shape[1] + 1), np.int64)
+        np.cumsum(asked, axis=1, out=sums[:, 1:])
+        return np.nonzero(sums[:, self.high] > sums[:, self.low])
+
+
 def learn(
     entries: DataFrame, n: int, width: int, k: int, recall: float, sample_rows: int, part_rows: int
 ) -> Index:
@@ -133,52 +177,62 @@ def matrix(vectors: pa.Array, width: int) -> np.ndarray:
 def _search(entries: DataFrame, queries: DataFrame, index: Index, k: int) -> DataFrame:
     """(key, found): up to k + 1 (vec_id, score) of each query, best first, itself included."""
     vectors = entries.schema["embedding"].dataType.simpleString()
+    width = index.width
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = index.keep(matrix(batch.column("embedding"), index.width))
+            part = index.keep(matrix(batch.column("embedding"), width))
             yield batch.append_column("part", pa.array(part, pa.int32()))
 
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, part = np.nonzero(index.ask(matrix(batch.column("embedding"), index.width)))
-            routes = batch.take(pa.array(row))
-            yield routes.append_column("part", pa.array(part, pa.int32()))
-
     homes = entries.mapInArrow(kept, f"embedding {vectors}, ids array<bigint>, part int")
-    routes = queries.mapInArrow(routed, f"embedding {vectors}, key bigint, part int")
-    cell_size = max(1, CELL_VALUES // max(1, index.width))
-    row_blocks = _blocks(homes, index.n_parts, cell_size)
-    query_blocks = _blocks(routes, index.n_parts, cell_size)
+    sizes = np.zeros(index.n_parts, np.int64)
+    for part, n in homes.groupBy("part").agg(F.count("*")).collect():
+        sizes[part] = n
+    tiles = Tiles.of(sizes, max(1, TILE_VALUES // max(1, width)))
 
-    def cell(of_row: Column, of_query: Column) -> Column:
-        return F.struct(F.col("part"), of_row.alias("row_block"), of_query.alias("query_block"))
-
-    def own(blocks: list[int]) -> Column:
-        return F.pmod(F.xxhash64("embedding"), _of_part(blocks)).cast("int")
-
-    def every(blocks: list[int]) -> Column:
-        return F.explode(F.sequence(F.lit(0), _of_part(blocks) - 1))
-
-    left = homes.withColumn("other", every(query_blocks)).select(
-        cell(own(row_blocks), F.col("other")).alias("cell"),
-        F.lit(False).alias("asks"),
-        F.lit(None).cast("bigint").alias("key"),
-        "ids",
-        "embedding",
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, tile = tiles.of_queries(index.ask(matrix(batch.column("embedding"), width)))
+            found = batch.take(pa.array(row)).append_column("tile", pa.array(tile, pa.int32()))
+            yield found.append_column("copies", pa.array(tiles.copies[tile], pa.int32()))
+
+    def routes() -> DataFrame:
+        schema = f"embedding {vectors}, key bigint, tile int, copies int"
+        return queries.mapInArrow(routed, schema)
+
+    most = max(1, QUERY_VALUES // max(1, width))
+    counted = routes().groupBy("tile").agg(F.count("*")).collect()
+    for tile, n in counted:
+        tiles.copies[tile] = -(-n // most)
+
+    def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kept(batches):
+            part = batch.column("part").to_numpy()
+            tile = tiles.of_rows(part, first_of(batch.column("ids")))
+            batch = batch.append_column("tile", pa.array(tile, pa.int32()))
+            yield batch.append_column("copies", pa.array(tiles.copies[tile], pa.int32()))
+
+    def cell(copy: Column) -> Column:
+        return F.struct("tile", copy.cast("int").alias("copy")).alias("cell")
+
+    homes = entries.mapInArrow(
+        laid, f"embedding {vectors}, ids array<bigint>, part int, tile int, copies int"
+    )
+    left = homes.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(
+        cell(F.col("copy")), "part", F.lit(None).cast("bigint").alias("key"), "ids", "embedding"
     )
-    right = routes.withColumn("other", every(row_blocks)).select(
-        cell(F.col("other"), own(query_blocks)).alias("cell"),
-        F.lit(True).alias("asks"),
+    # Queries come behind the rows of their cell.
+    right = routes().select(
+        cell(F.pmod(F.xxhash64("key"), F.col("copies"))),
+        F.lit(index.n_parts).alias("part"),
         "key",
         F.array().cast("array<bigint>").alias("ids"),
         "embedding",
     )
-    met = left.unionByName(right).repartition("cell").sortWithinPartitions("cell", "asks")
-    width = index.width
+    met = left.unionByName(right).repartition("cell").sortWithinPartitions("cell", "part")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Cell(width, k + 1)
+        held = Cell(index, k + 1)
         for batch in batches:
             yield from held.take(batch)
 
@@ -195,58 +249,52 @@ def _search(entries: DataFrame, queries: DataFrame, index: Index, k: int) -> Dat
     return listed.select("key", found.alias("found"))
 
 
-def _blocks(rows: DataFrame, n_parts: int, size: int) -> list[int]:
-    """Into how many blocks the rows of each part go."""
-    blocks = [1] * n_parts
-    for part, n in rows.groupBy("part").agg(F.count("*")).collect():
-        blocks[part] = -(-n // size)
-    return blocks
-
-
-def _of_part(blocks: list[int]) -> Column:
-    return F.get(F.lit(blocks), F.col("part"))
+def first_of(lists: pa.Array) -> np.ndarray:
+    """The first value of every list; none is empty."""
+    return lists.values.to_numpy()[lists.offsets.to_numpy()[:-1]]
 
 
 class Cell:
-    """The rows of one cell, and its queries as they come; rows are sorted before queries."""
+    """The rows of one cell by part, and its queries as they come; rows are sorted before queries."""
 
-    def __init__(self, width: int, k: int):
-        self.width, self.k = width, k
+    def __init__(self, index: Index, k: int):
+        self.index, self.k = index, k
         self.cell: tuple | None = None
-        self.parts: list[tuple[np.ndarray, pa.Array]] = []
-        self.rows: tuple[np.ndarray, pa.Array] | None = None
+        self.held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.rows: tuple[np.ndarray, np.ndarray, pa.Array] | None = None
 
     def take(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        names = ("part", "row_block", "query_block")
-        flags = [batch.column("cell").field(name).to_numpy() for name in names]
-        flags.append(batch.column("asks").to_numpy(zero_copy_only=False).astype(np.int32))
-        table = np.column_stack(flags)
+        cells = [batch.column("cell").field(i).to_numpy() for i in range(2)]
+        parts = batch.column("part").to_numpy()
+        asks = parts == self.index.n_parts
+        table = np.column_stack([*cells, asks])
         changes = np.flatnonzero((table[1:] != table[:-1]).any(axis=1)) + 1
         ends = [0, *changes.tolist(), len(table)] if len(table) else []
         for start, stop in zip(ends, ends[1:]):
-            part = batch.slice(start, stop - start)
-            cell = tuple(table[start, :3].tolist())
+            some = batch.slice(start, stop - start)
+            cell = tuple(table[start, :2].tolist())
             if cell != self.cell:
-                self.cell, self.parts, self.rows = cell, [], None
-            vectors = matrix(part.column("embedding"), self.width)
-            if table[start, 3]:
-                yield from self._answer(vectors, part.column("key"))
+                self.cell, self.held, self.rows = cell, [], None
+            vectors = matrix(some.column("embedding"), self.index.width)
+            if asks[start]:
+                yield from self._answer(vectors, some.column("key"))
             else:
-                self.parts.append((vectors, part.column("ids")))
+                self.held.append((parts[start:stop], vectors, some.column("ids")))
 
     def _answer(self, queries: np.ndarray, keys: pa.Array) -> Iterator[pa.RecordBatch]:
-        if self.rows is None and self.parts:
-            vectors, ids = zip(*self.parts)
-            self.rows, self.parts = (np.concatenate(vectors), pa.concat_arrays(ids)), []
+        if self.held:
+            parts, vectors, ids = zip(*self.held)
+            self.rows = np.concatenate(parts), np.concatenate(vectors), pa.concat_arrays(ids)
+            self.held = []
         if self.rows is None:
             return
-        rows, ids = self.rows
-        first_ids = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+        parts, rows, ids = self.rows
+        first_ids = first_of(ids)
         at_once = max(1, SCORES_AT_ONCE // len(rows))
         for start in range(0, len(queries), at_once):
-            part = queries[start : start + at_once]
-            query, row = candidates(part, rows, self.k)
-            score = inner_products(part, rows, query, row)
+            some = queries[start : start + at_once]
+            query, row = candidates(some, rows, self.k, self.index.ask(some), parts)
+            score = inner_products(some, rows, query, row)
             order = np.lexsort((first_ids[row], -score, query))
             query, row, score = query[order], row[order], score[order]
             place = np.arange(len(query)) - np.searchsorted(query, query)
@@ -257,19 +305,28 @@ class Cell:
             )
 
 
-def candidates(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of all pairs that may be among the ``k`` best of a query.
+def candidates(
+    queries: np.ndarray, rows: np.ndarray, k: int, asked: np.ndarray, parts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all pairs that may be among the ``k`` best of a query in the parts it asks;
+    rows are in order of their parts.
 
     Fast products differ from sums in order by rounding: pairs within that error of the k-th
     score stay in.
     """
-    scores = queries @ rows.T
+    scores = np.full((len(queries), len(rows)), -np.inf)
+    starts = np.flatnonzero(np.diff(parts, prepend=-1))
+    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+        who = np.flatnonzero(asked[:, parts[low]])
+        if len(who):
+            scores[who, low:high] = queries[who] @ rows[low:high].T
+    compared = scores > -np.inf
     if len(rows) <= k:
-        return tuple(x.ravel() for x in np.indices(scores.shape))
+        return np.nonzero(compared)
     least = np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k]
     lengths = np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max()
     error = lengths * (4e-16 * (rows.shape[1] + 4))
-    return np.nonzero(scores >= (least - error)[:, None])
+    return np.nonzero(compared & (scores >= (least - error)[:, None]))
 
 
 def inner_products(

@@ -81,10 +81,11 @@ def scores_are_exact(got, vectors):
     return all(score == product(known[q], known[i]) for q, _, i, score in got)
 
 
-@pytest.mark.parametrize("cell_values", [1 << 22, 16 * 40])
-def test_several_parts_and_small_cells(spark, monkeypatch, cell_values):
+@pytest.mark.parametrize(("tile", "chunk"), [(1 << 20, 1 << 17), (16 * 40, 16 * 7), (16 * 500, 160)])
+def test_several_parts_and_small_cells(spark, monkeypatch, tile, chunk):
     """Vectors without any structure: the hardest case."""
-    monkeypatch.setattr(learned_index, "CELL_VALUES", cell_values)
+    monkeypatch.setattr(learned_index, "TILE_VALUES", tile)
+    monkeypatch.setattr(learned_index, "QUERY_VALUES", chunk)
     vectors = random_vectors(1200, 16, seed=5)
     got = found(spark, vectors, step=20, k=10, part_rows=150)
     assert len(got) == 60 * 10
