@@ -1,9 +1,11 @@
 """Source files to code-graph nodes, as a Spark job over a corpus ``(path, source)``.
 
-Files are parsed in Python workers, which only list what each file says: definitions, calls and
-imports. Finding the definition a call refers to is done with joins over the whole corpus:
-first a definition visible in the same file, then an imported one, then the only definition with
-that name in the corpus. The result has the input layout of ``operators.export``.
+Files are parsed in Python workers, which only list what each file says: definitions, base classes,
+calls, imports and assignments. Finding the definition a call refers to is done with joins over the
+whole corpus: first a definition visible in the same file, then an imported one, whether directly
+or passed on by other files, each with what classes have from their ancestors; then a method of the
+class that the called object is an instance of; last the only definition with that name in the
+corpus. The result has the input layout of ``operators.export``.
 
 A module body and a class body count as methods, so calls outside of functions have a caller and
 creating an object is a call to its class. A definition is named ``path:<module>.Class.method``.
@@ -17,17 +19,16 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.operators.skew import find_heavy_keys, skew_join
+from switchboard.operators.receivers import typed_targets
+from switchboard.operators.resolve import GUESSED, find, known_names
+from switchboard.operators.skew import find_heavy_keys, skew_join, stored
 from switchboard.schema import UNKNOWN_NAME
 from switchboard.sources import python_facts
-from switchboard.sources.python_facts import FACTS_SCHEMA, MODULE, read_facts
+from switchboard.sources.python_facts import FACTS_SCHEMA, read_facts
 
 # The parsing helper travels with the job, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(python_facts)
 
-# Rank of a target found by name alone, after any same-file or imported target.
-GUESSED = 1_000_000
-
 
 @dataclass(frozen=True)
 class CodeNodes:
@@ -72,6 +73,7 @@ def _definitions(facts: DataFrame) -> DataFrame:
         F.col("written").alias("signature"),
         "path",
         "ord",
+        "is_class",
     )
 
 
@@ -98,6 +100,8 @@ def nodes_from_facts(facts: DataFrame) -> CodeNodes:
         "written",
         "lookups",
         "may_guess",
+        "receiver",
+        "holder",
     )
     call_sites = calls.select(
         "call_id",
@@ -108,125 +112,24 @@ def nodes_from_facts(facts: DataFrame) -> CodeNodes:
     # The keys calls are joined on end in the called name, so only names called very often can
     # make a key heavy.
     heavy = find_heavy_keys(facts.where(F.col("kind") == "call"), "name")
-    targets = _visible_targets(definitions, calls, _imported(facts, definitions), heavy)
+    names = known_names(facts, definitions, heavy)
+    refs = calls.select(F.col("call_id").alias("ref"), "path", "name", "written", "lookups")
+    known = stored(find(refs, names), "named-targets")
+    targets = known.select(
+        F.col("ref").alias("call_id"), "target_ord", F.col("target_id").alias("callee_id")
+    )
+    targets = targets.unionByName(typed_targets(facts, calls, known, names))
     targets = targets.unionByName(_only_definition(definitions, calls, heavy))
     return CodeNodes(method_nodes(facts), call_sites, targets, errors(facts))
 
 
-def _last_definitions(definitions: DataFrame) -> DataFrame:
-    """One definition per full name; a later one replaces an earlier one, as in the source.
-
-    ``def_key`` is the name it is called or imported by: for a module, that of its file.
-    """
-    module_path = F.regexp_replace(F.col("path"), r"(/__init__)?\.py$", "")
-    key = F.when(F.col("name") == MODULE, F.substring_index(module_path, "/", -1)).otherwise(
-        F.col("name")
-    )
-    return definitions.groupBy(F.col("full_name").alias("def_name")).agg(
-        F.max_by("method_id", "ord").alias("callee_id"), F.first(key).alias("def_key")
-    )
-
-
-def _imported(facts: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(import_path, alias, target_name, target_id): what an import binds, be it a function, a
-    class or a module."""
-    folders = F.split(F.col("path"), "/")
-    depth = F.size(folders) - 1
-    module_path = F.replace(F.col("qualname"), F.lit("."), F.lit("/"))
-    # An absolute import is looked for in every enclosing folder, the nearest first;
-    # a relative one in the folder its dots point to.
-    bases = F.when(
-        F.col("level") == 0,
-        F.transform(F.sequence(F.lit(0), depth), lambda up: F.slice(folders, F.lit(1), depth - up)),
-    ).when(
-        F.col("level") <= depth + 1,
-        F.array(F.slice(folders, F.lit(1), depth + 1 - F.col("level"))),
-    )
-
-    def modules(base: Column) -> Column:
-        """Files the import may read, and whether it then names a member of the file."""
-        parts = F.filter(F.array_append(base, module_path), lambda part: part != "")
-        stem = F.array_join(parts, "/")
-        child = F.array_join(F.array_append(parts, F.col("written")), "/")
-        names_member = F.col("written").isNotNull()
-        own = [_module(stem, end, names_member) for end in MODULE_ENDS]
-        below = [_module(child, end, F.lit(False)) for end in MODULE_ENDS]
-        return F.when(names_member, F.array(*own, *below)).otherwise(F.array(*own))
-
-    imports = facts.where(F.col("kind") == "import").withColumn(
-        "import_key", F.coalesce("written", F.substring_index("qualname", ".", -1))
-    )
-    listed = imports.select(
-        "path",
-        F.col("name").alias("alias"),
-        "ord",
-        "written",
-        "import_key",
-        F.posexplode(F.flatten(F.transform(bases, modules))).alias("rank", "module"),
-    )
-    # Most places an import could mean hold no file: those go before any definition is looked up.
-    known = definitions.where(F.col("name") == MODULE).select(F.col("full_name").alias("known"))
-    existing = listed.join(known.distinct(), F.col("module.name") == F.col("known"), "left_semi")
-    member = F.concat_ws(".", "module.name", "written")
-    wanted = F.when(F.col("module.names_member"), member).otherwise(F.col("module.name"))
-    found = skew_join(
-        existing.withColumn("candidate", wanted),
-        _last_definitions(definitions),
-        on=("candidate", "def_name"),
-        spread=["path", "alias"],
-        heavy=find_heavy_keys(imports, "import_key"),
-        heavy_on=("import_key", "def_key"),
-    )
-    nearest = F.min_by(
-        F.struct(F.col("candidate").alias("target_name"), F.col("callee_id").alias("target_id")),
-        F.struct("rank", -F.col("ord")),
-    ).alias("target")
-    found = found.groupBy(F.col("path").alias("import_path"), "alias").agg(nearest)
-    return found.select("import_path", "alias", "target.*")
-
-
-# How a module path ends, as a file or as a package, in a full name.
-MODULE_ENDS = [".py:<module>", "/__init__.py:<module>"]
-
-
-def _module(stem: Column, end: str, names_member: Column) -> Column:
-    return F.struct(F.concat(stem, F.lit(end)).alias("name"), names_member.alias("names_member"))
-
-
-def _visible_targets(
-    definitions: DataFrame, calls: DataFrame, imported: DataFrame, heavy: DataFrame | None
-) -> DataFrame:
-    """Targets in the same file, in order of scope, then through an import."""
-    same_file = calls.select(
-        "call_id", "name", "path", F.posexplode("lookups").alias("target_ord", "lookup")
-    ).select(
-        "call_id", "name", "target_ord", F.concat_ws(":", "path", "lookup").alias("wanted")
-    )
-    # "f()" is what f was bound to; "m.f()" is f inside whatever m was bound to.
-    is_dotted = F.col("written").contains(".")
-    holder_length = F.length("written") - F.length("name") - 1
-    rooted = calls.where(F.size("lookups") > 0)
-    plain = rooted.where(~is_dotted).withColumn("bound", F.col("written"))
-    dotted = rooted.where(is_dotted).withColumn(
-        "bound", F.substring("written", F.lit(1), holder_length)
-    )
-    is_bound = (F.col("path") == F.col("import_path")) & (F.col("bound") == F.col("alias"))
-    through_import = F.lit(GUESSED - 1).alias("target_ord")
-    members = dotted.join(imported, is_bound).select(
-        "call_id", "name", through_import, F.concat_ws(".", "target_name", "name").alias("wanted")
-    )
-    found = skew_join(
-        same_file.unionByName(members),
-        _last_definitions(definitions),
-        on=("wanted", "def_name"),
-        spread=["call_id"],
-        heavy=heavy,
-        heavy_on=("name", "def_key"),
-    ).select("call_id", "target_ord", "callee_id")
-    bound_directly = plain.join(imported, is_bound).select(
-        "call_id", through_import, F.col("target_id").alias("callee_id")
-    )
-    return found.unionByName(bound_directly)
+def ancestors(facts: DataFrame) -> DataFrame:
+    """(class, ancestor, place) of all classes with bases, from written facts."""
+    names = known_names(facts, _definitions(facts), None)
+    if names.ancestors is not None:
+        return names.ancestors
+    schema = "class string, ancestor string, place array<int>"
+    return facts.sparkSession.createDataFrame([], schema)
 
 
 def _only_definition(

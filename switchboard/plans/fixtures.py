@@ -12,6 +12,7 @@ from switchboard.operators.graph import CallGraph
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
     "part": (
         "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
@@ -229,3 +230,82 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = parts.unionByName(orders).unionByName(texts).unionByName(broken)
     # The small tables come in one or two splits; parsing wants as many tasks as a shuffle has.
     return files.repartition("path")
+
+
+REGION_MODULE = """class Region{key}:
+    def locate(self):
+        return self.label()
+
+    def label(self):
+        return "{key}"
+
+    def scale(self):
+        return 1
+"""
+
+NATION_PACKAGE = """from ..r{region} import Region{region} as Base
+from .impl import Nation{key}
+"""
+
+NATION_MODULE = """from world.n{key} import Base
+
+class Nation{key}(Base):
+    pass
+"""
+
+CUSTOMER_MODULE = """from world.n{nation} import Nation{nation}
+
+class Customer{key}(Nation{nation}):
+    def label(self):
+        return self.locate()
+
+    def again(self):
+        return super().label()
+
+def open_{key}():
+    return Customer{key}()
+"""
+
+DESK_MODULE = """from people.c{customer} import open_{customer} as open_one, Customer{customer}
+
+class Desk{key}:
+    def __init__(self):
+        self.customer = open_one()
+
+    def serve(self):
+        guest = self.customer
+        guest.scale()
+        return open_one().again()
+
+Customer{customer}.locate(None)
+"""
+
+
+def class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, source): customers as classes below nations below regions, each known only by names
+    that packages pass on, and orders that call methods of objects in variables."""
+    nation, region = F.col("n_nationkey"), F.col("n_regionkey")
+    regions, nations = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+
+    def files(rows: DataFrame, path: list[Column | str], template: str, **columns: Column):
+        parts = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in path]
+        return rows.select(F.concat(*parts).alias("path"), _fill(template, **columns).alias("source"))
+
+    made = [
+        files(regions, ["world/r", F.col("r_regionkey"), ".py"], REGION_MODULE, key=F.col("r_regionkey")),
+        files(nations, ["world/n", nation, "/__init__.py"], NATION_PACKAGE, key=nation, region=region),
+        files(nations, ["world/n", nation, "/impl.py"], NATION_MODULE, key=nation),
+        files(
+            customers, ["people/c", F.col("c_custkey"), ".py"], CUSTOMER_MODULE,
+            key=F.col("c_custkey"), nation=F.col("c_nationkey"),
+        ),
+        files(
+            orders, ["sales/o", F.col("o_orderkey"), ".py"], DESK_MODULE,
+            key=F.col("o_orderkey"), customer=F.col("o_custkey"),
+        ),
+    ]
+    all_files = made[0]
+    for more in made[1:]:
+        all_files = all_files.unionByName(more)
+    return all_files.repartition("path")

@@ -210,6 +210,19 @@ o as (
  from orders),
 d as (select doc_id as k, concat('docs/d', doc_id, '.py') as path from documents)"""
 
+# Customers with their opener and region; orders with their customer, where there is one.
+CLASS_ROWS = """people as (
+ select c_custkey as k, n_nationkey as nation,
+  concat('people/c', c_custkey, '.py:<module>.Customer', c_custkey) as own,
+  concat('people/c', c_custkey, '.py:<module>.open_', c_custkey) as opener,
+  concat('world/r', n_regionkey, '.py:<module>.Region', n_regionkey) as top
+ from customer join nation on n_nationkey = c_nationkey
+), desks as (
+ select o_orderkey as k, o_custkey as customer,
+  concat('sales/o', o_orderkey, '.py:<module>.Desk', o_orderkey) as desk,
+  own, opener, top, own is not null as known
+ from orders left join people on people.k = o_custkey)"""
+
 ORACLE_SQL = {
     "short_name": f"""with {METHOD_ROWS}, texts as (
  select full_name from method_rows union all select url from pages union all select html from pages)
@@ -375,4 +388,30 @@ select concat(path, ':<module>', caller) as caller_full_name,
  callee_path is not null as resolved
 from found""",
     "extract_errors": "select concat('docs/e', doc_id, '.py') as path from documents",
+    "extract_class_calls": f"""with {CLASS_ROWS}, found as (
+ select concat('world/r', r_regionkey, '.py:<module>.Region', r_regionkey, '.locate') as caller,
+  concat('world/r', r_regionkey, '.py:<module>.Region', r_regionkey, '.label') as callee,
+  3 as line, true as resolved from region
+ union all select concat(own, '.label'), concat(top, '.locate'), 5, true from people
+ union all select concat(own, '.again'), concat(top, '.label'), 8, true from people
+ union all select concat(own, '.again'), 'super', 8, false from people
+ union all select opener, own, 11, true from people
+ union all select concat(desk, '.__init__'), coalesce(opener, 'open_one'), 5, known from desks
+ union all select concat(desk, '.serve'), coalesce(concat(top, '.scale'), 'guest.scale'), 9, known
+  from desks
+ union all select concat(desk, '.serve'), coalesce(opener, 'open_one'), 10, known from desks
+ union all select concat(desk, '.serve'), coalesce(concat(own, '.again'), 'again'), 10, known
+  from desks
+ union all select concat('sales/o', k, '.py:<module>'),
+  coalesce(concat(top, '.locate'), concat('Customer', customer, '.locate')), 12, known from desks)
+select caller as caller_full_name, callee as callee_full_name, line as callsite_line, resolved
+from found""",
+    "class_ancestors": f"""with {CLASS_ROWS}, nations as (
+ select concat('world/n', n_nationkey, '/impl.py:<module>.Nation', n_nationkey) as nation,
+  n_nationkey, concat('world/r', n_regionkey, '.py:<module>.Region', n_regionkey) as top from nation)
+select nation as class, nation as ancestor, 0 as position from nations
+union all select nation, top, 1 from nations
+union all select own, own, 0 from people
+union all select p.own, n.nation, 1 from people p join nations n on n.n_nationkey = p.nation
+union all select own, top, 2 from people""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from switchboard.functions import names, paths
@@ -438,3 +438,33 @@ def extract_calls(spark, sf_dir):
 def extract_errors(spark, sf_dir):
     facts = extract.read_corpus_facts(fixtures.source_files(spark, sf_dir))
     return extract.errors(facts).select("path")
+
+
+@register
+def extract_class_calls(spark, sf_dir):
+    """Calls of inherited members, of names that packages pass on, and on objects in variables."""
+    corpus = fixtures.class_files(spark, sf_dir)
+    nodes = extract.extract(corpus, scratch_path(spark, "class-nodes"))
+    calls = export.resolve_calls(
+        nodes.call_sites,
+        nodes.call_targets,
+        nodes.method_nodes,
+        extract.corpus_meta(spark, "/corpus"),
+    )
+    resolved = F.col("callee_id") != "-1"
+    return calls.select(
+        "caller_full_name", "callee_full_name", "callsite_line", resolved.alias("resolved")
+    )
+
+
+@register
+def class_ancestors(spark, sf_dir):
+    """The classes of a corpus with their ancestors in the order in which members are looked up."""
+    facts = extract.write_facts(
+        fixtures.class_files(spark, sf_dir), f"{scratch_path(spark, 'class-facts')}/facts"
+    )
+    ancestors = extract.ancestors(facts)
+    order = Window.partitionBy("class").orderBy("place")
+    return ancestors.select(
+        "class", "ancestor", (F.row_number().over(order) - 1).alias("position")
+    )
