@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +20,9 @@ SCHEMA = (
 )
 # Sequences that may be open in a task; beyond it they are filled up by cutting.
 MAX_OPEN = 4_096
+# White space in a row from which a text is read by the tokenizer itself.
+LONG_BLANK = 10_000
+LONG_BLANKS = re.compile(rf"\s{{{LONG_BLANK}}}")
 # Sequence ids of a task begin at its number shifted by so many bits.
 TASK_BITS = 36
 
@@ -67,7 +71,8 @@ def pack(
 
 def encoder(vocabulary: str, ranks: str):
     """Text to ids. The rank file gives the same ids several times faster; a text that spells a
-    special token goes to the tokenizer itself, which reads it as that token."""
+    special token goes to the tokenizer itself, which reads it as that token, and so does a text
+    with a long run of white space, for which the fast one needs a stack as deep as the run."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -82,13 +87,17 @@ def encoder(vocabulary: str, ranks: str):
     special = [token.content for token in slow.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> list[int]:
-        if any(token in text for token in special):
+        if any(token in text for token in special) or has_long_blank(text):
             return slow.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
 
 
+def has_long_blank(text: str) -> bool:
+    return len(text) >= LONG_BLANK and LONG_BLANKS.search(text) is not None
+
+
 class SumOfSquares:
     """The sequences of one task. ``counts[h]`` is the number of open sequences filled to ``h``."""
 

@@ -86,3 +86,9 @@ def test_level_with_the_smallest_sum_of_squares():
         packer.add(i, np.zeros(size, "<u4"))
         assert sum(int(n) ** 2 for n in packer.counts) == best[0]
         counts = packer.counts.tolist()
+
+
+def test_long_runs_of_white_space(documents):
+    runs = [c * 1_000_000 for c in " \t\n\u00a0"] + [" \n" * 500_000, "a" + " " * 800_000 + "b"]
+    pairs = list(enumerate(runs))
+    check(pack(documents(pairs)).collect(), pairs, 2048)
