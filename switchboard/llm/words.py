@@ -1,11 +1,14 @@
 """Words of whole texts as 64-bit hashes, computed for a batch at once.
 
 Words are runs of bytes outside [\\x20\\x09-\\x0D], with A-Z lower-cased. The hash of a word is a
-polynomial of its bytes modulo 2**64, taken from one running sum, then mixed.
+polynomial of its bytes modulo 2**64, taken from one running sum, then mixed. Such a polynomial is
+blind to some differences between long words that repeat themselves by halves, so words over
+LONG_WORD bytes are hashed one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +23,8 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 MIX_1, MIX_2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
+LONG_WORD = 64
+
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 # Bytes that stand between tokens of letters and digits: the rest of ASCII.
@@ -98,6 +103,9 @@ def split_words(texts: pa.Array, between: np.ndarray = BLANK) -> Words:
     bounds = np.searchsorted(starts, offsets)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     hashes = span_hash(running_sum(data), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest()
+        hashes[i] = int.from_bytes(digest, "little")
     return Words(data, offsets, hashes, starts, ends, rows, bounds)
 
 

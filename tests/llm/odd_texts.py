@@ -13,3 +13,11 @@ ODD_TEXTS = [
     (5, "and another under the same id"),
     (6, "Ünï çødé \U0001f600 " * 30),
 ]
+
+
+def look_alikes(letters):
+    """Two different words that a polynomial hash modulo a power of two cannot tell apart."""
+    one, two = "a", "b"
+    while len(one) < letters:
+        one, two = one + two, two + one
+    return one, two

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from odd_texts import ODD_TEXTS
+from odd_texts import ODD_TEXTS, look_alikes
 
 from switchboard.llm import near_dedup
 from switchboard.llm.components import connected_components
@@ -162,3 +162,11 @@ def test_components_of_a_long_path(spark):
     roots = {row.node: row.root for row in connected_components(links).collect()}
     assert roots.pop("900") == roots.pop("901") == "900"
     assert set(roots.values()) == {"000"} and len(roots) == 41
+
+
+def test_long_words_that_look_alike(documents):
+    pairs = []
+    for i, letters in enumerate([64, 1_024, 4_096, 65_536]):
+        one, two = look_alikes(letters)
+        pairs += [(10 * i + j, text) for j, text in enumerate([one, two, f"{one} {two}", f"{two} {one}"])]
+    assert found(documents(pairs), 2) == expected(pairs, 2)
