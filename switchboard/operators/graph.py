@@ -67,6 +67,8 @@ class CallGraph:
         # (fn, caller) and (fn, callee) of a stored graph, clustered by fn.
         self.callers_by_name: DataFrame | None = None
         self.callees_by_name: DataFrame | None = None
+        # (part, fn) of a stored graph, clustered by part.
+        self.name_parts: DataFrame | None = None
 
     @classmethod
     def from_csv(

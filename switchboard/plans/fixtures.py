@@ -124,6 +124,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.unionByName(unknown).unionByName(dup)
 
 
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searched texts: words of part names in capitals, their beginnings, and names of nations."""
+    parts = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("query"))
+    asked = [F.upper("word"), F.substring("word", 1, 1), F.substring("word", 2, 2)]
+    texts = parts.select(F.explode(F.array(*asked)).alias("query"))
+    return texts.unionByName(nations)
+
+
 def node_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Orders as call sites, line items as candidate targets, parts as methods."""
     module = F.concat(F.lit("src/m"), _text("p_size"), F.lit(".py"))

@@ -258,6 +258,15 @@ from resolved""",
 select method_id, full_name, signature, file from details where fn = 'blue_bolt'""",
     "search_functions": f"""with {METHOD_ROWS}, {NAMES}
 select distinct fn from names where contains(lower(fn), lower('BOLT'))""",
+    "snapshot_search": f"""with {METHOD_ROWS}, {NAMES}
+select distinct fn from names where contains(lower(fn), lower('BOLT'))""",
+    "search_for": f"""with {METHOD_ROWS}, {NAMES}, words as (
+ select unnest(string_split(p_name, ' ')) as word from part
+), asked as (
+ select upper(word) as query from words union select substr(word, 1, 1) from words
+ union select substr(word, 2, 2) from words union select n_name from nation
+), known as (select distinct fn from names)
+select query, fn from asked join known on contains(lower(fn), lower(query))""",
     "graph_stats": f"""{GRAPH}
 select (select count(*) from methods) as total_methods, (select count(*) from calls) as total_calls,
  (select count(distinct fn) from names) as unique_functions""",

@@ -189,6 +189,13 @@ def snapshot_callees_of(spark, sf_dir):
     return adjacency.callees_of(snapshot.open_snapshot(spark, path), "n15")
 
 
+@register
+def snapshot_search(spark, sf_dir):
+    path = scratch_path(spark, "snapshot")
+    snapshot.save(fixtures.graph(spark, sf_dir), path)
+    return lookup.search_functions(snapshot.open_snapshot(spark, path), "BOLT")
+
+
 # Queries
 
 
@@ -212,6 +219,13 @@ def search_functions(spark, sf_dir):
     return lookup.search_functions(fixtures.graph(spark, sf_dir), "BOLT")
 
 
+@register
+def search_for(spark, sf_dir):
+    return lookup.search_for(
+        fixtures.graph(spark, sf_dir), fixtures.search_requests(spark, sf_dir)
+    )
+
+
 @register
 def graph_stats(spark, sf_dir):
     return lookup.graph_totals(fixtures.graph(spark, sf_dir))

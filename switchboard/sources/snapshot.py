@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from switchboard.operators.adjacency import callees_all, callers_all
 from switchboard.operators.graph import CallGraph
+from switchboard.operators.lookup import name_parts
 from switchboard.sources.tables import path_exists
 
 # Table name to the columns its rows are clustered by. Range bounds cover all the columns, so
 # a key with very many rows is divided over several files.
 READ_TABLES = {"method_rows": ["method_id", "seq"], "calls": []}
 KEYED_TABLES = {"methods": ["method_id"], "names": ["fn", "method_id"]}
+# The index is asked for a few parts at a time, so its row groups are small.
+INDEX = {"name_parts": ["part", "fn"]}
+INDEX_ROW_GROUP = 1 << 20
 ANSWERS = {"callers_by_name": ["fn", "caller"], "callees_by_name": ["fn", "callee"]}
 LAST_TABLE = "callees_by_name"
 
@@ -31,6 +35,7 @@ def save(graph: CallGraph, path: str) -> int:
     read = CallGraph(*(spark.read.parquet(f"{folder}/{name}") for name in READ_TABLES))
     _write({name: getattr(read, name) for name in KEYED_TABLES}, KEYED_TABLES, folder)
     vars(read).update({name: spark.read.parquet(f"{folder}/{name}") for name in KEYED_TABLES})
+    _write({"name_parts": name_parts(read.names)}, INDEX, folder)
     answers = {"callers_by_name": callers_all(read), "callees_by_name": callees_all(read)}
     _write(answers, ANSWERS, folder)
     return version
@@ -41,7 +46,10 @@ def _write(tables: dict[str, DataFrame], layout: dict[str, list[str]], folder: s
         rows = tables[name]
         if keys:
             rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        rows.write.parquet(f"{folder}/{name}")
+        writer = rows.write
+        if name in INDEX:
+            writer = writer.option("parquet.block.size", INDEX_ROW_GROUP)
+        writer.parquet(f"{folder}/{name}")
 
 
 def latest_version(spark: SparkSession, path: str, complete_only: bool = True) -> int:
@@ -67,7 +75,9 @@ def open_snapshot(spark: SparkSession, path: str, out_dir: str | None = None) ->
     folder = f"{path}/version={version}"
     tables = {
         name: spark.read.parquet(f"{folder}/{name}")
-        for name in READ_TABLES | KEYED_TABLES | ANSWERS
+        for name in READ_TABLES | KEYED_TABLES | INDEX | ANSWERS
+        # A version written before there was an index has none.
+        if name not in INDEX or path_exists(spark, f"{folder}/{name}/_SUCCESS")
     }
     graph = CallGraph(tables.pop("method_rows"), tables.pop("calls"), out_dir)
     vars(graph).update(tables)  # stored tables take the place of the derived ones

@@ -1,0 +1,86 @@
+"""Name search through the stored index of name parts, against looking at every name."""
+
+import random
+
+import pytest
+
+from switchboard.operators import lookup
+from switchboard.operators.graph import CallGraph
+from switchboard.schema import CALL_COLUMNS, METHOD_COLUMNS
+from switchboard.sources import snapshot
+
+
+@pytest.fixture(scope="module")
+def names():
+    rng = random.Random(6)
+    made = {"", "a", "ab", "aab", "aabaab", "<operator>.Plus", "Größe", "naïve", "x\U0001f600y", "%_\\"}
+    while len(made) < 150:
+        made.add("".join(rng.choices("abAB_é", k=rng.randint(1, 9))))
+    return sorted(made)
+
+
+@pytest.fixture(scope="module")
+def graph(spark, names):
+    methods = [(i, str(i), f"m.py:<module>.{n}", "", "m.py") for i, n in enumerate(names)]
+    methods += [(len(methods), "null", None, "", "m.py")]
+    schema = "seq long, " + ", ".join(f"{c} string" for c in METHOD_COLUMNS)
+    calls = spark.createDataFrame([], ", ".join(f"{c} string" for c in CALL_COLUMNS))
+    return CallGraph(spark.createDataFrame(methods, schema), calls)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, graph, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("names") / "stored")
+    snapshot.save(graph, path)
+    return snapshot.open_snapshot(spark, path)
+
+
+# Names with a dot are cut at it, so what is searched are the names as the graph has them.
+def known(graph):
+    return sorted(r.fn for r in graph.names.where("fn is not null").select("fn").distinct().collect())
+
+
+ASKED = ["", "a", "B", "ab", "BA", "aab", "baab", "AABAAB", "é", "GRÖSSE", "größe", "öß", "plus",
+         "\U0001f600", "%_", "_\\", "nothing like it", "aaaaaaaaaaaaaaaaaaaaaaaa"]
+
+
+def test_one_search(graph, stored):
+    everything = known(graph)
+    assert stored.name_parts is not None
+    for query in ASKED:
+        expected = [n for n in everything if query.lower() in n.lower()]
+        assert [r.fn for r in lookup.search_functions(stored, query).collect()] == expected, query
+
+
+@pytest.mark.parametrize("is_stored", [False, True])
+def test_many_searches(small_tasks, graph, stored, is_stored):
+    everything = known(graph)
+    asked = [*ASKED, *ASKED[:5], None, *everything[:60:3]]
+    requests = small_tasks.createDataFrame([(q,) for q in asked], "query string")
+    found = lookup.search_for(stored if is_stored else graph, requests).collect()
+    expected = {(q, n) for q in asked if q is not None for n in everything if q.lower() in n.lower()}
+    assert sorted((r.query, r.fn) for r in found) == sorted(expected)
+
+
+def test_no_requests_and_no_names(spark, graph):
+    nothing = spark.createDataFrame([], "query string")
+    assert lookup.search_for(graph, nothing).count() == 0
+    empty = CallGraph(graph.method_rows.limit(0), graph.calls)
+    asked = spark.createDataFrame([("a",), ("",)], "query string")
+    assert lookup.search_for(empty, asked).count() == 0
+
+
+def test_a_search_reads_only_its_parts(stored):
+    rows = lookup.search_functions(stored, "AABA")
+    plan = rows._jdf.queryExecution().toString()
+    assert "In(part, [aab,aba])" in plan or "In(part, [aba,aab])" in plan
+    assert all("/name_parts/" in file for file in rows.inputFiles())
+
+
+def test_versions_without_an_index_are_scanned(spark, graph, tmp_path, monkeypatch):
+    path = str(tmp_path / "old")
+    monkeypatch.setattr(snapshot, "INDEX", {})
+    snapshot.save(graph, path)
+    monkeypatch.undo()
+    old = snapshot.open_snapshot(spark, path)
+    assert [r.fn for r in lookup.search_functions(old, "plus").collect()] == ["Plus"]
