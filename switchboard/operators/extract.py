@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchboard.operators.receivers import typed_targets
-from switchboard.operators.resolve import GUESSED, find, known_names
+from switchboard.operators.resolve import GUESSED, find, known_names, overriders
 from switchboard.operators.skew import find_heavy_keys, skew_join, stored
 from switchboard.schema import UNKNOWN_NAME
 from switchboard.sources import python_facts
@@ -29,6 +29,9 @@ from switchboard.sources.python_facts import FACTS_SCHEMA, read_facts
 # The parsing helper travels with the job, so workers need no copy of this package.
 cloudpickle.register_pickle_by_value(python_facts)
 
+# Rank of methods that may run in place of the one that was found, nearest classes first.
+BY_OVERRIDE = GUESSED + 1
+
 
 @dataclass(frozen=True)
 class CodeNodes:
@@ -132,6 +135,45 @@ def ancestors(facts: DataFrame) -> DataFrame:
     return facts.sparkSession.createDataFrame([], schema)
 
 
+def method_overriders(facts: DataFrame) -> DataFrame:
+    """(callee_id, place, overrider_id) of all members that derived classes define again."""
+    found = overriders(known_names(facts, _definitions(facts), None))
+    if found is None:
+        schema = "callee_id string, place array<int>, overrider_id string"
+        return facts.sparkSession.createDataFrame([], schema)
+    return found.withColumnRenamed("target_id", "callee_id")
+
+
+def dispatch_targets(call_targets: DataFrame, overridden: DataFrame) -> DataFrame:
+    """(call_id, target_ord, callee_id) with all methods a call may run, the first one unchanged.
+
+    Behind the target that ``first_targets`` of the export keeps come the members of derived
+    classes that define it again, ``overridden`` as ``method_overriders`` gives them: nearer classes
+    first, those at one distance by id. A method that everything overrides gives each of its
+    calls that many rows, so this is for chosen calls; the table of overriders itself stays small.
+    """
+    first = call_targets.groupBy("call_id").agg(
+        F.min(F.struct("target_ord", "callee_id")).alias("first")
+    ).select("call_id", "first.*")
+    others = overridden.select(
+        F.col("callee_id").alias("of"), F.size("place").alias("distance"), "overrider_id"
+    )
+    nearest = others.groupBy("of", "overrider_id").agg(F.min("distance").alias("distance"))
+    behind = skew_join(
+        first.select("call_id", "callee_id"),
+        nearest,
+        on=("callee_id", "of"),
+        spread=["call_id"],
+        heavy=find_heavy_keys(first, "callee_id"),
+    )
+    further = behind.select(
+        "call_id",
+        (F.lit(BY_OVERRIDE) + F.col("distance")).alias("target_ord"),
+        F.col("overrider_id").alias("callee_id"),
+    )
+    return first.unionByName(further)
+
+
 def _only_definition(
     definitions: DataFrame, calls: DataFrame, heavy: DataFrame | None
 ) -> DataFrame:

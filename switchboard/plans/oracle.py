@@ -423,4 +423,7 @@ union all select nation, top, 1 from nations
 union all select own, own, 0 from people
 union all select p.own, n.nation, 1 from people p join nations n on n.n_nationkey = p.nation
 union all select own, top, 2 from people""",
+    "class_overriders": f"""with {CLASS_ROWS}
+select concat(top, '.label') as overridden, concat(own, '.label') as overrider, 2 as distance
+from people""",
 }

@@ -482,3 +482,20 @@ def class_ancestors(spark, sf_dir):
     return ancestors.select(
         "class", "ancestor", (F.row_number().over(order) - 1).alias("position")
     )
+
+
+@register
+def class_overriders(spark, sf_dir):
+    """Members with the members of derived classes that may run in their stead."""
+    facts = extract.write_facts(
+        fixtures.class_files(spark, sf_dir), f"{scratch_path(spark, 'class-facts')}/facts"
+    )
+    found = extract.method_overriders(facts)
+    methods = extract.method_nodes(facts).select("method_id", "full_name")
+    of, by = (
+        methods.select(F.col("method_id").alias(f"{side}_id"), F.col("full_name").alias(side))
+        for side in ("overridden", "overrider")
+    )
+    named = found.withColumnRenamed("callee_id", "overridden_id")
+    named = named.join(of, "overridden_id").join(by, "overrider_id")
+    return named.select("overridden", "overrider", F.size("place").alias("distance"))

@@ -349,3 +349,31 @@ def test_calls_on_objects(calls_of):
     # Either class: the export keeps one target of a call.
     either = {(".many", f"{m}.Item.price", 47), (".many", f"{m}.Car.price", 47)}
     assert len(many) == 1 and many < either
+
+
+def test_methods_that_may_run_instead(spark):
+    from test_extract import scratch_path
+
+    from switchboard.operators import extract
+
+    corpus = spark.createDataFrame(list({**CLASSES, **TYPES}.items()), "path string, source string")
+    folder = scratch_path(spark, "overriders")
+    facts = extract.write_facts(corpus, f"{folder}/facts")
+    names = {r.method_id: r.full_name for r in extract.method_nodes(facts).collect()}
+    short = lambda i: names[i].split("<module>.")[1]
+    overridden = extract.method_overriders(facts)
+    assert {(short(r.callee_id), short(r.overrider_id), len(r.place)) for r in overridden.collect()} == {
+        ("Base.check", "Left.check", 1),
+        ("Base.save", "Own.save", 2),
+        ("Base.save", "Right.save", 1),
+        ("Item.price", "Car.price", 1),
+    }
+    ids = {n.split("<module>.")[1]: i for i, n in names.items() if "<module>." in n and "other/" not in n}
+    targets = [("c1", 0, ids["Base.save"]), ("c1", 7, ids["Left.check"]), ("c2", 3, ids["Base.check"]),
+               ("c3", 1, ids["Car.drive"])]
+    calls = spark.createDataFrame(targets, "call_id string, target_ord int, callee_id string")
+    found = extract.dispatch_targets(calls, overridden).orderBy("call_id", "target_ord").collect()
+    assert [(r.call_id, short(r.callee_id)) for r in found] == [
+        ("c1", "Base.save"), ("c1", "Right.save"), ("c1", "Own.save"), ("c2", "Base.check"), ("c2", "Left.check"),
+        ("c3", "Car.drive"),
+    ]
