@@ -7,7 +7,7 @@ import public_tokenizers
 from odd_texts import ODD_TEXTS
 from tokenizers import Tokenizer
 
-from switchboard.llm.packing import SumOfSquares, pack
+from switchboard.llm.packing import LONG_BLANK, SumOfSquares, has_long_blank, pack
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -92,3 +92,11 @@ def test_long_runs_of_white_space(documents):
     runs = [c * 1_000_000 for c in " \t\n\u00a0"] + [" \n" * 500_000, "a" + " " * 800_000 + "b"]
     pairs = list(enumerate(runs))
     check(pack(documents(pairs)).collect(), pairs, 2048)
+
+
+def test_long_blanks_are_noticed_wherever_they_are():
+    for begin in range(0, 2 * LONG_BLANK, 777):
+        assert has_long_blank("a" * begin + " " * LONG_BLANK)
+        assert has_long_blank("a" * begin + "\u3000" * LONG_BLANK + "b" * begin)
+    assert not has_long_blank("a b\n" * LONG_BLANK)
+    assert not has_long_blank("")
