@@ -45,7 +45,7 @@ def test_matches_sql(spark, duck, name):
 
 SALTED = [
     *("callers_all", "callees_all", "callers_json", "calls_with_callee", "resolve_calls"),
-    *("extract_calls", "analyze", "compare"),
+    *("extract_calls", "analyze", "compare", "search_for"),
 ]
 
 

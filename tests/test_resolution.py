@@ -377,3 +377,8 @@ def test_methods_that_may_run_instead(spark):
         ("c1", "Base.save"), ("c1", "Right.save"), ("c1", "Own.save"), ("c2", "Base.check"), ("c2", "Left.check"),
         ("c3", "Car.drive"),
     ]
+
+
+def test_empty_corpus(spark):
+    _, methods, calls = graph_of(spark, {})
+    assert methods.count() == calls.count() == 0
