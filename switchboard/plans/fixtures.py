@@ -287,6 +287,8 @@ class Desk{key}:
         return open_one().again()
 
 Customer{customer}.locate(None)
+from people.c{customer} import *
+open_{customer}()
 """
 
 

@@ -412,7 +412,9 @@ from found""",
  union all select concat(desk, '.serve'), coalesce(concat(own, '.again'), 'again'), 10, known
   from desks
  union all select concat('sales/o', k, '.py:<module>'),
-  coalesce(concat(top, '.locate'), concat('Customer', customer, '.locate')), 12, known from desks)
+  coalesce(concat(top, '.locate'), concat('Customer', customer, '.locate')), 12, known from desks
+ union all select concat('sales/o', k, '.py:<module>'),
+  coalesce(opener, concat('open_', customer)), 14, known from desks)
 select caller as caller_full_name, callee as callee_full_name, line as callsite_line, resolved
 from found""",
     "class_ancestors": f"""with {CLASS_ROWS}, nations as (

@@ -12,7 +12,7 @@ from switchboard.operators.hierarchy import follow, linearize
 def calls_of(spark, request):
     """(caller, callee, line) of the resolved calls of one file, without the module."""
     spark.conf.set("spark.switchboard.rowsPerTask", request.param)
-    _, _, calls = graph_of(spark, {**CLASSES, **CHAINS, **TYPES})
+    _, _, calls = graph_of(spark, {**CLASSES, **CHAINS, **STARS, **TYPES})
     rows = calls.where("callee_id <> '-1'").collect()
     spark.conf.unset("spark.switchboard.rowsPerTask")
 
@@ -242,6 +242,66 @@ def test_classes_that_derive_from_each_other(spark):
     assert above["e"] == list("eabcd")
 
 
+STARS = {
+    "star/one.py": "from star.two import *\ndef shown():\n    pass\ndef _hidden():\n    pass\nfrom numpy import *\n",
+    # These two give each other their names.
+    "star/two.py": "from star.one import *\ndef both():\n    pass\ndef only_two():\n    pass\nshown()\n",
+    "star/listed.py": """\
+from .base import *
+__all__ = ["_kept", "deep"]
+__all__ += ("renamed",)
+from .base import plain as renamed
+def _kept():
+    pass
+def not_listed():
+    pass
+""",
+    "star/base.py": "def deep():\n    pass\ndef plain():\n    pass\ndef both():\n    pass\n",
+    "star/use.py": """\
+from star.two import *
+from star.listed import *
+from star.base import *
+from star.two import shown as again
+
+def plain():
+    pass
+
+shown()
+only_two()
+both()
+deep()
+_kept()
+renamed()
+plain()
+not_listed()
+_hidden()
+again()
+""",
+    # Every name twice, so that none is found by itself.
+    **{
+        f"other/star{i}.py": "".join(
+            f"def {n}():\n    pass\n"
+            for n in "shown only_two both deep _kept renamed plain not_listed _hidden again".split()
+        )
+        for i in range(2)
+    },
+}
+
+
+def test_names_given_by_stars(calls_of):
+    assert calls_of("star/use.py") == {
+        ("", "star/one.py.shown", 9),
+        ("", "star/two.py.only_two", 10),
+        ("", "star/base.py.both", 11),  # the last star counts
+        ("", "star/base.py.deep", 12),
+        ("", "star/listed.py._kept", 13),
+        ("", "star/base.py.plain", 14),
+        ("", "star/use.py.plain", 15),
+        ("", "star/one.py.shown", 18),
+    }
+    assert calls_of("star/two.py") == {("", "star/one.py.shown", 6)}
+
+
 TYPES = {
     "shop/models.py": """\
 class Item:
