@@ -144,9 +144,14 @@ class Parts:
     def keep(self, vectors: np.ndarray) -> np.ndarray:
         return self.keeper.probabilities(vectors).argmax(axis=1)
 
-    def ask(self, queries: np.ndarray) -> np.ndarray:
-        """(query, part) as a table of booleans."""
-        return _sum_before(self.router.probabilities(directions(queries))) <= self.enough
+    def ask(self, queries: np.ndarray, sizes: np.ndarray | None = None, least: int = 0) -> np.ndarray:
+        """(query, part) as a table of booleans; with the ``sizes`` of the parts a query goes on
+        until those it asks have ``least`` rows."""
+        chances = self.router.probabilities(directions(queries))
+        asked = _sum_before(chances, chances) <= self.enough
+        if sizes is not None:
+            asked |= _sum_before(chances, np.broadcast_to(sizes, chances.shape)) < least
+        return asked
 
 
 def directions(vectors: np.ndarray) -> np.ndarray:
@@ -154,10 +159,10 @@ def directions(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
 
-def _sum_before(chances: np.ndarray) -> np.ndarray:
-    """For each part, how probable the more probable parts are together."""
+def _sum_before(chances: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each part, the sum of the values of the more probable parts."""
     order = np.argsort(-chances, axis=1, kind="stable")
-    sums = np.cumsum(np.take_along_axis(chances, order, 1).astype(np.float64), axis=1)
+    sums = np.cumsum(np.take_along_axis(values, order, 1).astype(np.float64), axis=1)
     before = np.zeros_like(sums)
     before[:, 1:] = sums[:, :-1]
     result = np.empty_like(before)
@@ -188,7 +193,8 @@ def fit(sample: np.ndarray, n_parts: int, k: int, recall: float, degree: int = 1
     asked = directions(unseen[: max(1, min(1024, len(unseen) // 2))])
     truth = nearest(asked, unseen, k, own=True)
     kept = keeper.probabilities(unseen).argmax(axis=1)
-    before = _sum_before(router.probabilities(asked))
+    chances = router.probabilities(asked)
+    before = _sum_before(chances, chances)
     needed = np.take_along_axis(before, kept[truth], 1).ravel()
     enough = float(np.quantile(needed, recall, method="higher")) if needed.size else 1.0
     return Parts(keeper, router, enough)

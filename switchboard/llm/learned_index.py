@@ -15,7 +15,7 @@ copies neither fill a part nor are compared again and again.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -92,17 +92,22 @@ def nearest_vectors(
 
 @dataclass
 class Index:
-    """The parts of the rows, of which there may be only one."""
+    """The parts of the rows, of which there may be only one. Once their ``sizes`` are known, a
+    query asks parts with ``least`` rows or more."""
 
     n_parts: int
     width: int
     parts: Parts | None
+    sizes: np.ndarray | None = None
+    least: int = 0
 
     def keep(self, vectors: np.ndarray) -> np.ndarray:
         return self.parts.keep(vectors) if self.parts else np.zeros(len(vectors), np.int64)
 
     def ask(self, queries: np.ndarray) -> np.ndarray:
-        return self.parts.ask(queries) if self.parts else np.ones((len(queries), 1), bool)
+        if self.parts is None:
+            return np.ones((len(queries), 1), bool)
+        return self.parts.ask(queries, self.sizes, self.least)
 
 
 @dataclass
@@ -189,6 +194,7 @@ def _search(entries: DataFrame, queries: DataFrame, index: Index, k: int) -> Dat
     for part, n in homes.groupBy("part").agg(F.count("*")).collect():
         sizes[part] = n
     tiles = Tiles.of(sizes, max(1, TILE_VALUES // max(1, width)))
+    index = replace(index, sizes=sizes, least=k + 1)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

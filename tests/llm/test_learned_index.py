@@ -106,6 +106,18 @@ def test_groups_are_found_without_asking_all_parts():
     assert np.bincount(kept, minlength=16).max() < 3 * 6000 / 16
 
 
+def test_queries_go_on_until_there_are_rows_enough():
+    rng = np.random.default_rng(3)
+    centers = 3 * rng.standard_normal((8, 12))
+    vectors = centers[rng.integers(0, 8, 1600)] + 0.1 * rng.standard_normal((1600, 12))
+    parts = fit(vectors, n_parts=8, k=5, recall=0.9)
+    few = parts.ask(vectors[:50])
+    sizes = np.bincount(parts.keep(vectors), minlength=8)
+    more = parts.ask(vectors[:50], sizes, 700)
+    assert (more @ sizes >= 700).all() and (few @ sizes < 700).any()
+    assert (more >= few).all()
+
+
 def test_parts_are_balanced_and_follow_the_graph():
     rng = random.Random(2)
     # 32 cliques of 16 nodes in a ring.
