@@ -26,24 +26,29 @@ def callers_all(graph: CallGraph, names: DataFrame | None = None) -> DataFrame:
     if names is None and graph.callers_by_name is not None:
         return graph.callers_by_name
     names = graph.names if names is None else names
+    return caller_rows(graph, graph.in_edges, names).select("fn", "caller").distinct()
+
+
+def caller_rows(graph: CallGraph, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(fn, <columns of edges>, caller) for distinct edges: a row per name of an edge's end."""
     named = skew_join(
-        graph.in_edges,
+        edges,
         names.select("fn", "method_id"),
         on=("callee_id", "method_id"),
-        spread=["caller_id"],
+        spread=[c for c in edges.columns if c != "callee_id"],
         heavy=graph.heavy_callees,
         right_heavy=graph.heavy_method_ids,
         right_spread=["fn"],
     )
     # The other end stays in the row, so that rows differ and a heavy caller can be spread.
     callers = skew_join(
-        named.select("fn", "callee_id", "caller_id"),
+        named.select("fn", *edges.columns),
         graph.methods.select("method_id", "full_name"),
         on=("caller_id", "method_id"),
-        spread=["fn", "callee_id"],
+        spread=["fn", *(c for c in edges.columns if c != "caller_id")],
         heavy=graph.heavy_callers,
     )
-    return callers.select("fn", F.col("full_name").alias("caller")).distinct()
+    return callers.select("fn", *edges.columns, F.col("full_name").alias("caller"))
 
 
 def callees_all(graph: CallGraph, names: DataFrame | None = None) -> DataFrame:
@@ -62,20 +67,35 @@ def callees_all(graph: CallGraph, names: DataFrame | None = None) -> DataFrame:
             heavy=graph.heavy_callers,
         )
     names = graph.names if names is None else names
-    named = skew_join(
-        _named_callees(edges, graph.methods, graph.heavy_callees),
+    callees = _named_callees(edges, graph.methods, graph.heavy_callees)
+    return _of_callers(graph, callees, names).select("fn", "callee").distinct()
+
+
+def callee_rows(graph: CallGraph, edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(fn, <columns of edges>, callee) for distinct edges: a row per name of an edge's begin."""
+    return _of_callers(graph, _callee_names(edges, graph.methods, graph.heavy_callees), names)
+
+
+def _of_callers(graph: CallGraph, callees: DataFrame, names: DataFrame) -> DataFrame:
+    return skew_join(
+        callees,
         names.select("fn", "method_id"),
         on=("caller_id", "method_id"),
-        spread=["callee"],
+        spread=[c for c in callees.columns if c != "caller_id"],
         heavy=graph.heavy_callers,
         right_heavy=graph.heavy_method_ids,
         right_spread=["fn"],
     )
-    return named.select("fn", "callee").distinct()
 
 
 def _named_callees(edges: DataFrame, methods: DataFrame, heavy: DataFrame | None) -> DataFrame:
-    """Distinct (caller_id, callee) of distinct edges; an unresolved call needs no method."""
+    """Distinct (caller_id, callee) of distinct edges."""
+    return _callee_names(edges, methods, heavy).select("caller_id", "callee").distinct()
+
+
+def _callee_names(edges: DataFrame, methods: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """Distinct edges with the name of the callee, without those that have none; an unresolved
+    call needs no method."""
     resolved = skew_join(
         edges.where(F.col("callee_id") != UNRESOLVED_ID),
         methods.select("method_id", "full_name"),
@@ -87,10 +107,10 @@ def _named_callees(edges: DataFrame, methods: DataFrame, heavy: DataFrame | None
     known = F.col("method_id").isNotNull()
     callee = F.when(known, F.col("full_name")).otherwise(F.col("callee_full_name"))
     usable = is_usable_name(F.col("callee_full_name"))
-    by_id = resolved.where(known | usable).select("caller_id", callee.alias("callee"))
+    by_id = resolved.where(known | usable).select(*edges.columns, callee.alias("callee"))
     unresolved = edges.where((F.col("callee_id") == UNRESOLVED_ID) & usable)
-    by_name = unresolved.select("caller_id", F.col("callee_full_name").alias("callee"))
-    return by_id.unionByName(by_name).distinct()
+    by_name = unresolved.select(*edges.columns, F.col("callee_full_name").alias("callee"))
+    return by_id.unionByName(by_name)
 
 
 def names_for(graph: CallGraph, requests: DataFrame) -> DataFrame:

@@ -85,6 +85,11 @@ details as (
 
 GRAPH = f"with {METHOD_ROWS}, {METHODS}, {NAMES}, {CALLS}"
 
+# An updated graph counts its rows by file, and by their order within it.
+BY_FILE = f"""with {METHOD_ROWS.replace("method_rows as", "read_rows as")}, method_rows as (
+ select row_number() over (order by file, seq) as seq, method_id, full_name, signature, file
+ from read_rows), {METHODS}, {NAMES}, {CALLS}"""
+
 NODES = """with
 meta as (select concat('/', lower(r_name)) as root from region where r_regionkey = 0),
 m as (
@@ -252,6 +257,8 @@ from resolved""",
     "json_indented": "select c_custkey, c_name, c_acctbal from customer",
     "snapshot_callers_of": ONE_CALLER,
     "snapshot_callees_of": f"{GRAPH}, {CALLEES} select distinct callee from callees where fn = 'n15'",
+    "updated_callers": f"{BY_FILE}, {CALLERS} select * from callers",
+    "updated_callees": f"{BY_FILE}, {CALLEES} select * from callees",
     "callers_of": ONE_CALLER,
     "callees_of": f"{GRAPH}, {CALLEES} select distinct callee from callees where fn = 'n15'",
     "function_details": f"""{GRAPH}, {DETAILS}

@@ -12,7 +12,7 @@ from switchboard.operators import adjacency, export, extract, graph, lookup, sum
 from switchboard.plans import envelope, fixtures
 from switchboard.schema import CALL_COLUMNS, METHOD_COLUMNS
 from switchboard.session import scratch_path
-from switchboard.sources import json_docs, snapshot, tables
+from switchboard.sources import increments, json_docs, snapshot, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,6 +196,24 @@ def snapshot_search(spark, sf_dir):
     return lookup.search_functions(snapshot.open_snapshot(spark, path), "BOLT")
 
 
+def _updated(spark, sf_dir):
+    """A graph stored in an earlier state and then brought to the present one."""
+    path = scratch_path(spark, "increments")
+    increments.create(fixtures.earlier_graph(spark, sf_dir), path)
+    increments.update(fixtures.graph(spark, sf_dir), path)
+    return increments.open_graph(spark, path)
+
+
+@register
+def updated_callers(spark, sf_dir):
+    return adjacency.callers_all(_updated(spark, sf_dir))
+
+
+@register
+def updated_callees(spark, sf_dir):
+    return adjacency.callees_all(_updated(spark, sf_dir))
+
+
 # Queries
 
 

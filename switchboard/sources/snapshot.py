@@ -52,7 +52,9 @@ def _write(tables: dict[str, DataFrame], layout: dict[str, list[str]], folder: s
         writer.parquet(f"{folder}/{name}")
 
 
-def latest_version(spark: SparkSession, path: str, complete_only: bool = True) -> int:
+def latest_version(
+    spark: SparkSession, path: str, complete_only: bool = True, last_table: str = LAST_TABLE
+) -> int:
     """The highest version number, 0 when there is none."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     file_system = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -62,7 +64,7 @@ def latest_version(spark: SparkSession, path: str, complete_only: bool = True) -
     versions = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
     if complete_only:
         versions = [
-            v for v in versions if path_exists(spark, f"{path}/version={v}/{LAST_TABLE}/_SUCCESS")
+            v for v in versions if path_exists(spark, f"{path}/version={v}/{last_table}/_SUCCESS")
         ]
     return max(versions, default=0)
 
