@@ -1,13 +1,19 @@
-"""Benchmark items in documents, also edited ones: n-gram seeds, then local alignment.
+"""Benchmark items in documents, also edited ones: word-pair seeds, then local alignment.
 
 Items are read in blocks of bounded size and each block is sent to all tasks; documents are read
 where they are and never shuffled. For a block,
 
-1. every n-gram of its items is a seed, however frequent: a frequent one may be frequent only
-   because its item leaked often, whole or edited;
-2. where enough different seeds of an item fall on one passage of a document, and the passage has
-   enough of the item's words for the least score that counts, Smith-Waterman alignment of their
-   words scores the copy. The bound on the words is exact: no alignment that counts is left out.
+1. two words of an item with at most one other between them are a seed, however frequent: one may
+   be frequent only because its item leaked often, whole or edited. A seed falls on two words of a
+   document with at most one other between them;
+2. where enough seeds of an item fall on one passage of a document, and the passage has enough of
+   the item's words for the least score that counts, Smith-Waterman alignment of their words scores
+   the copy.
+
+No alignment that counts is left out. Of m matches in a row, two that follow each other are a seed
+unless what is between them costs 1 or more: one mismatch or one gap costs 0.5. So an alignment with
+the score s has at least m - 1 - (m - s) = s - 1 seeds, on different words of the document, and
+at most 2 (m - s) gaps, which bounds how far its seeds and its ends lie apart.
 """
 
 from __future__ import annotations
@@ -22,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from switchboard.llm.common import slices
-from switchboard.llm.words import NOT_ALPHANUMERIC, Words, shingles, split_words
+from switchboard.llm.words import NOT_ALPHANUMERIC, Words, mix, split_words
 
 BLOCK_WORDS = 500_000
 # Seed occurrences that are held at once; one row may have more.
 HITS = 2_000_000
-# Seeds that must fall on a passage, if the item has as many.
-MIN_SEEDS = 2
+# Words from the first to the second of a seed.
+STEPS = (1, 2)
 # Fixed scores of the alignment; the best score of an item is its number of words.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 
@@ -38,7 +44,6 @@ LEAK = [("score", T.DoubleType()), ("start", T.LongType()), ("end", T.LongType()
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
-    n_words: int = 3,
     min_score: float = 0.5,
     min_words: int = 8,
     long_run: int = 13,
@@ -62,8 +67,9 @@ def find_leaks(
         F.coalesce("text", F.lit("")).alias("text"),
         F.array().cast(T.ArrayType(leak)).alias("leaks"),
     )
-    for block in _blocks(items, n_words):
-        rows = _searched(rows, block, Limits(min_score, min_words, long_run))
+    limits = Limits(min_score, min_words, long_run)
+    for block in _blocks(items, limits):
+        rows = _searched(rows, block, limits)
     return rows.select("doc", "leaks")
 
 
@@ -75,28 +81,24 @@ class Limits:
     words: int
     long_run: int
 
+    def least(self, sizes: np.ndarray) -> np.ndarray:
+        """Least score of an alignment that counts, for items of these sizes."""
+        return np.minimum(self.words, sizes)
+
 
 @dataclass
 class Block:
     """Items as word hashes, and their seeds in order of hash: item, and place in it."""
 
-    n_words: int
+    steps: tuple[int, ...]
     ids: list
     words: list[np.ndarray]
     seeds: np.ndarray
     items: np.ndarray
     places: np.ndarray
 
-    def enough(self) -> np.ndarray:
-        """Seeds that must meet, per item."""
-        order = np.lexsort((self.seeds, self.items))
-        seeds, items = self.seeds[order], self.items[order]
-        new = np.ones(len(items), bool)
-        new[1:] = (seeds[1:] != seeds[:-1]) | (items[1:] != items[:-1])
-        return np.minimum(np.bincount(items[new], minlength=len(self.ids)), MIN_SEEDS)
-
 
-def _blocks(items: DataFrame, n_words: int) -> Iterator[Block]:
+def _blocks(items: DataFrame, limits: Limits) -> Iterator[Block]:
     rows: list = []
     size = 0
     texts = items.select("item_id", "text").where("text is not null").distinct()
@@ -104,37 +106,50 @@ def _blocks(items: DataFrame, n_words: int) -> Iterator[Block]:
         rows.append(row)
         size += row.text.count(" ") + 1
         if size >= BLOCK_WORDS:
-            yield from _blocks_of(rows, n_words)
+            yield from _blocks_of(rows, limits)
             rows, size = [], 0
-    yield from _blocks_of(rows, n_words)
+    yield from _blocks_of(rows, limits)
 
 
-def _blocks_of(rows: list, n_words: int) -> Iterator[Block]:
-    """Items of fewer than ``n_words`` words are seeds as a whole, in a block for each length."""
+def _blocks_of(rows: list, limits: Limits) -> Iterator[Block]:
+    """Items of which one word counts have single words as seeds, in a block of their own."""
     rows = sorted(rows, key=lambda row: (row.item_id is None, row.item_id, row.text))
     words = split_words(pa.array([row.text for row in rows], pa.string()), NOT_ALPHANUMERIC)
     tokens = [words.hashes[a:b] for a, b in zip(words.bounds, words.bounds[1:])]
-    for n in range(1, n_words + 1):
-        own = [i for i, t in enumerate(tokens) if min(len(t), n_words) == n]
+    least = limits.least(np.array([len(t) for t in tokens], np.int64))
+    for steps, chosen in (((0,), least == 1), (STEPS, least > 1)):
+        own = [i for i, t in enumerate(tokens) if chosen[i] and len(t)]
         if not own:
             continue
-        chosen = split_words(pa.array([rows[i].text for i in own]), NOT_ALPHANUMERIC)
-        seeds, items = shingles(chosen, n)
-        places = np.arange(len(seeds)) - np.searchsorted(items, items, "left")
+        mine = split_words(pa.array([rows[i].text for i in own]), NOT_ALPHANUMERIC)
+        seeds, items, places = _seeds(mine, steps)
+        places = places - mine.bounds[items]
         order = np.lexsort((places, items, seeds))
         found = (x[order] for x in (seeds, items, places))
-        yield Block(n, [rows[i].item_id for i in own], [tokens[i] for i in own], *found)
+        yield Block(steps, [rows[i].item_id for i in own], [tokens[i] for i in own], *found)
 
 
-def _searched(rows: DataFrame, block: Block, limits: Limits) -> DataFrame:
-    enough = block.enough()
+def _seeds(words: Words, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, row, place of its first word), by place."""
+    seeds, places = [], []
+    for step in steps:
+        last = max(len(words.hashes) - step, 0)
+        first, second = words.hashes[:last], words.hashes[step:]
+        inside = words.rows[:last] == words.rows[step:]
+        seeds.append((mix(first) + second)[inside] if step else first)
+        places.append(np.flatnonzero(inside))
+    places = np.concatenate(places)
+    order = np.argsort(places, kind="stable")
+    return np.concatenate(seeds)[order], words.rows[places[order]], places[order]
 
+
+def _searched(rows: DataFrame, block: Block, limits: Limits) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 words = split_words(part.column("text"), NOT_ALPHANUMERIC)
                 leaks = part.column("leaks").to_pylist()
-                for row, leak in _leaks(words, block, enough, limits):
+                for row, leak in _leaks(words, block, limits):
                     leaks[row].append(leak)
                 kind = part.schema.field("leaks").type
                 yield pa.RecordBatch.from_arrays(
@@ -145,12 +160,14 @@ def _searched(rows: DataFrame, block: Block, limits: Limits) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _leaks(words: Words, block: Block, enough: np.ndarray, limits: Limits):
+def _leaks(words: Words, block: Block, limits: Limits):
     """(row, leak) for every item found in the passages that have enough of its seeds."""
     sizes = np.array([len(w) for w in block.words])
     passages: dict[tuple[int, int], list] = {}
-    for r, i, first, last in _passages(words, block, enough, sizes):
-        slack = int(sizes[i]) // 2 + 1
+    least = limits.least(sizes)
+    gaps = 2 * (sizes - least)  # of an alignment that counts
+    for r, i, first, last in _passages(words, block, np.maximum(least - 1, 1), gaps):
+        slack = int(gaps[i])
         left = max(first - slack, int(words.bounds[r]))
         right = min(last + int(sizes[i]) + slack, int(words.bounds[r + 1]))
         own = passages.setdefault((r, i), [])
@@ -192,21 +209,21 @@ def _found(item: np.ndarray, passage: np.ndarray, gap: np.ndarray, limits: Limit
     return (total if found else 0.0), start, end
 
 
-def _passages(words: Words, block: Block, enough: np.ndarray, sizes: np.ndarray):
-    """(row, item, first begin, last begin) of the passages with enough different seeds."""
-    for row, item, place, seed in _hits(words, block):
+def _passages(words: Words, block: Block, enough: np.ndarray, gaps: np.ndarray):
+    """(row, item, first begin, last begin) of the passages with enough seeds."""
+    for row, item, place in _hits(words, block):
         # A hit says where the item would begin; hits of one copy begin near each other.
         begin = place[:, 0] - place[:, 1]
         order = np.lexsort((begin, item, row))
-        row, item, begin, seed = (x[order] for x in (row, item, begin, seed))
+        row, item, begin, at = (x[order] for x in (row, item, begin, place[:, 0]))
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-        new[1:] |= begin[1:] - begin[:-1] > sizes[item[1:]]
+        new[1:] |= begin[1:] - begin[:-1] > gaps[item[1:]]
         starts = np.append(np.flatnonzero(new), len(row))
         passage = np.cumsum(new) - 1
-        order = np.lexsort((seed, passage))
+        order = np.lexsort((at, passage))
         other = np.ones(len(row), bool)
-        other[1:] = (np.diff(passage[order]) != 0) | (seed[order][1:] != seed[order][:-1])
+        other[1:] = (np.diff(passage[order]) != 0) | (np.diff(at[order]) != 0)
         different = np.bincount(passage[order][other], minlength=len(starts) - 1)
         low = starts[:-1]
         chosen = np.flatnonzero(different >= enough[item[low]])
@@ -225,18 +242,12 @@ def most(item: np.ndarray, passage: np.ndarray) -> int:
 
 
 def _hits(words: Words, block: Block):
-    """(row, item, (place in batch, place in item), seed) of every seed occurrence, in parts of
-    about ``HITS`` occurrences and whole rows."""
-    hashes, rows = shingles(words, block.n_words)
-    low = np.searchsorted(block.seeds, hashes, "left")
-    n = np.searchsorted(block.seeds, hashes, "right") - low
+    """(row, item, (place in batch, place in item)) of every seed occurrence, in parts of about
+    ``HITS`` occurrences and whole rows."""
+    seeds, rows, place = _seeds(words, block.steps)
+    low = np.searchsorted(block.seeds, seeds, "left")
+    n = np.searchsorted(block.seeds, seeds, "right") - low
     hit = np.flatnonzero(n)
-    # Where a shingle begins: those of whole length come first and in order. The others are
-    # whole texts, and no seed is equal to one.
-    last = max(len(words.hashes) - block.n_words + 1, 0)
-    whole = words.rows[:last] == words.rows[block.n_words - 1 :] if last else np.zeros(0, bool)
-    place = np.flatnonzero(whole)
-    hit = hit[hit < len(place)]
     ends = np.cumsum(n[hit])
     start = 0
     while start < len(hit):
@@ -250,7 +261,7 @@ def _hits(words: Words, block: Block):
         before = np.repeat(np.cumsum(times) - times, times)
         entry = np.repeat(low[part], times) + np.arange(times.sum()) - before
         at = np.stack([np.repeat(place[part], times), block.places[entry]], 1)
-        yield np.repeat(rows[part], times), block.items[entry], at, block.seeds[entry]
+        yield np.repeat(rows[part], times), block.items[entry], at
 
 
 def _code_points(words: Words, row: int, first: int, last: int) -> dict:

@@ -62,7 +62,7 @@ def test_item_in_most_documents(spark, documents):
 def test_edited_item_in_hundreds_of_documents(spark, documents):
     rng = random.Random(7)
     item = words(rng, 40)
-    copy = [f"new{j}" if j % 4 == 3 else w for j, w in enumerate(item)]  # 10 of 38 seeds stay
+    copy = [f"new{j}" if j % 4 == 3 else w for j, w in enumerate(item)]  # a word in four is another
     pairs = [(i, " ".join([*words(rng, 30), *copy, *words(rng, 30)])) for i in range(300)]
     # Seeds of the item that the copy lost stand once each in other documents.
     pairs += [(400 + i, " ".join([*words(rng, 9), *item[i : i + 3]])) for i in range(38)]
@@ -101,6 +101,68 @@ def test_hits_in_parts(spark, documents, monkeypatch, hits):
     test_exact_and_edited_copies(spark, documents, monkeypatch, 500_000)
 
 
+def edited(rng, copy):
+    """Edits that leave few or no words of the item side by side."""
+    kind = rng.randrange(6)
+    if kind == 0:
+        return [f"new{j}" if j % 3 == 2 else w for j, w in enumerate(copy)]
+    if kind == 1:
+        return [x for j, w in enumerate(copy) for x in (w, f"put{j}")]
+    if kind == 2:
+        return [w for j, w in enumerate(copy) if j % 3 != 1]
+    if kind == 3:
+        at = rng.randrange(len(copy) + 1)
+        return [*copy[:at], *words(rng, rng.randrange(2 * len(copy) + 2)), *copy[at:]]
+    share = rng.random() * 0.5
+    changed = []
+    for word in copy:
+        if rng.random() >= share:
+            changed.append(word)
+        elif rng.random() < 0.5:
+            changed += words(rng, rng.randint(1, 3))
+    return changed
+
+
+def test_every_third_word_replaced(spark, documents):
+    rng = random.Random(11)
+    item = words(rng, 60)
+    third = [f"new{j}" if j % 3 == 2 else w for j, w in enumerate(item)]
+    doubled = [x for j, w in enumerate(item) for x in (w, f"put{j}")]
+    pairs = [(i, " ".join([*words(rng, 50), *c, *words(rng, 50)])) for i, c in enumerate([third, doubled])]
+    got = found(documents(pairs), spark.createDataFrame([(1, " ".join(item), 1, 1)], ITEMS))
+    assert got.keys() == {(0, 1), (1, 1)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_found_exactly_when_the_whole_text_says_so(spark, documents, seed):
+    """Every item against every whole text by alignment alone; few different words, so that chance
+    seeds are everywhere."""
+    rng = random.Random(seed)
+    some = words(rng, 60 * seed)
+    items = {i: rng.choices(some, k=rng.randint(1, 45)) for i in range(25)}
+    texts = {}
+    for i in range(120):
+        body = rng.choices(some, k=rng.randint(0, 120))
+        for item in rng.choices(list(items.values()), k=2):
+            at = rng.randrange(len(body) + 1)
+            body[at:at] = edited(rng, item)
+        texts[i] = body
+    limits = decontam.Limits(0.5, 8, 13)
+    expected = {}
+    for d, text in texts.items():
+        for i, item in items.items():
+            a, b = (np.array([hash(w) for w in x], np.int64) for x in (item, text))
+            score = decontam._found(a, b, np.zeros(len(b), bool), limits)[0]
+            if score:
+                expected[d, i] = score / len(item)
+    pairs = [(d, " ".join(text)) for d, text in texts.items()]
+    rows = [(i, " ".join(item), 1, 1) for i, item in items.items()]
+    got = found(documents(pairs), spark.createDataFrame(rows, ITEMS))
+    assert got.keys() == expected.keys()
+    same = sum(abs(got[key].score - expected[key]) < 1e-9 for key in expected)
+    assert same >= 0.97 * len(expected)  # equal alignments may be taken in another order
+
+
 def test_no_alignment_scores_more_than_the_bound():
     rng = random.Random(8)
     for _ in range(300):
