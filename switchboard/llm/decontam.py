@@ -164,9 +164,8 @@ def _leaks(words: Words, block: Block, limits: Limits):
     """(row, leak) for every item found in the passages that have enough of its seeds."""
     sizes = np.array([len(w) for w in block.words])
     passages: dict[tuple[int, int], list] = {}
-    least = limits.least(sizes)
-    gaps = 2 * (sizes - least)  # of an alignment that counts
-    for r, i, first, last in _passages(words, block, np.maximum(least - 1, 1), gaps):
+    gaps = 2 * (sizes - limits.least(sizes))  # of an alignment that counts
+    for r, i, first, last in _passages(words, block, limits, sizes, gaps):
         slack = int(gaps[i])
         left = max(first - slack, int(words.bounds[r]))
         right = min(last + int(sizes[i]) + slack, int(words.bounds[r + 1]))
@@ -209,28 +208,59 @@ def _found(item: np.ndarray, passage: np.ndarray, gap: np.ndarray, limits: Limit
     return (total if found else 0.0), start, end
 
 
-def _passages(words: Words, block: Block, enough: np.ndarray, gaps: np.ndarray):
+def _passages(words: Words, block: Block, limits: Limits, sizes: np.ndarray, gaps: np.ndarray):
     """(row, item, first begin, last begin) of the passages with enough seeds."""
+    least = limits.least(sizes)
+    enough = np.maximum(least - 1, 1)
+    # Alignments that make a find use different words of the item, and each has at least
+    # (least - 1) / least seeds for a point of its score.
+    whole = np.maximum(limits.share * sizes, least) * enough / np.maximum(least, 1)
+    in_all = np.minimum(whole, np.maximum(np.maximum(limits.long_run, least) - 1, 1))
     for row, item, place in _hits(words, block):
         # A hit says where the item would begin; hits of one copy begin near each other.
         begin = place[:, 0] - place[:, 1]
         order = np.lexsort((begin, item, row))
-        row, item, begin, at = (x[order] for x in (row, item, begin, place[:, 0]))
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+        row, item, begin = row[order], item[order], begin[order]
+        at, of_item = place[order].T
+        pair = np.cumsum(_changes(row, item)) - 1
+        # The seeds of an alignment begin within its gaps of each other.
+        width = int(begin.max() - begin.min() + gaps.max()) + 1
+        line = pair * width + (begin - begin.min())
+        stop = np.searchsorted(line, line + gaps[item], "right")
+        full = np.flatnonzero(stop - np.arange(len(line)) >= enough[item])
+        marks = np.bincount(full, minlength=len(line) + 1) - np.bincount(
+            stop[full], minlength=len(line) + 1
+        )
+        keep = np.cumsum(marks[:-1]) > 0
+        row, item, begin, at, of_item, pair = (
+            x[keep] for x in (row, item, begin, at, of_item, pair)
+        )
+        new = _changes(row, item)
         new[1:] |= begin[1:] - begin[:-1] > gaps[item[1:]]
         starts = np.append(np.flatnonzero(new), len(row))
         passage = np.cumsum(new) - 1
-        order = np.lexsort((at, passage))
-        other = np.ones(len(row), bool)
-        other[1:] = (np.diff(passage[order]) != 0) | (np.diff(at[order]) != 0)
-        different = np.bincount(passage[order][other], minlength=len(starts) - 1)
         low = starts[:-1]
-        chosen = np.flatnonzero(different >= enough[item[low]])
+        good = _different(passage, at) >= enough[item[low]]
+        good &= _different(passage, of_item) >= enough[item[low]]
+        good &= _different(pair, of_item)[pair[low]] >= in_all[item[low]]
+        chosen = np.flatnonzero(good)
         low, high = low[chosen], starts[chosen + 1] - 1
         yield from zip(*(x.tolist() for x in (row[low], item[low], begin[low], begin[high])))
 
 
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where a row of sorted keys is not like the one before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([key[1:] != key[:-1] for key in keys], axis=0)
+    return new
+
+
+def _different(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Different values per group number."""
+    order = np.lexsort((value, group))
+    return np.bincount(group[order][_changes(group[order], value[order])])
+
+
 def most(item: np.ndarray, passage: np.ndarray) -> int:
     """No alignment scores more: words of the item in the passage, and of a stretch of the passage
     in the item. An alignment above 0 has fewer gaps than two to a match, so it is no longer than
