@@ -8,14 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from switchboard.operators.skew import stored
 
+# Integers are summed in this type, whose sums have 38 digits: the sum of a large data set need not
+# be an integer of 64 bits.
+SUMMED = "decimal(28,0)"
 
-def _aggregates(value: Column) -> list[Column]:
+
+def _aggregates(values: DataFrame, name: str) -> list[Column]:
+    value = F.col(name)
+    is_integer = isinstance(values.schema[name].dataType, IntegralType)
+    summed = value.cast(SUMMED) if is_integer else value
     return [
         F.count("*").alias("n"),
-        F.coalesce(F.sum(value), F.lit(0)).alias("total"),  # integer sums stay exact
+        F.coalesce(F.sum(summed), F.lit(0)).alias("total"),  # integer sums stay exact
         F.coalesce(F.avg(value), F.lit(0.0)).alias("average"),
         F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("std_dev"),
         (F.min(value) == F.max(value)).alias("constant"),
@@ -27,7 +35,15 @@ def statistics(values: DataFrame, value: str, by: str | None = None) -> DataFram
     by_columns = [by] if by else []
     present = values.where(F.col(value).isNotNull())
     columns = [*by_columns, "total", "average", "std_dev"]
-    return present.groupBy(*by_columns).agg(*_aggregates(F.col(value))).select(*columns)
+    return present.groupBy(*by_columns).agg(*_aggregates(present, value)).select(*columns)
+
+
+def with_integer_totals(stats: DataFrame) -> DataFrame:
+    """Exact totals as 64-bit integers where every one is within their range, else as they are."""
+    stats = stored(stats, "statistics")
+    limits = F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")
+    beyond = stats.where(~F.col("total").between(*limits))
+    return stats.withColumn("total", F.col("total").cast("bigint")) if beyond.isEmpty() else stats
 
 
 def statistics_for(values: DataFrame, value: str, by: str, requests: DataFrame) -> DataFrame:
@@ -50,10 +66,10 @@ def analyze(values: DataFrame, value: str, by: str | None = None) -> DataFrame:
     present = values.where(F.col(value).isNotNull())
     names = ("total", "average", "std_dev", "constant")
     if by is None:
-        stats = present.agg(*_aggregates(F.col(value))).select(F.struct(*names))
+        stats = present.agg(*_aggregates(present, value)).select(F.struct(*names))
         joined = present.withColumn("stats", stats.scalar()).select("*", "stats.*").drop("stats")
     else:
-        grouped = present.groupBy(F.col(by).alias("set_key")).agg(*_aggregates(F.col(value)))
+        grouped = present.groupBy(F.col(by).alias("set_key")).agg(*_aggregates(present, value))
         stats = stored(grouped.select("set_key", *names), "statistics")
         joined = present.join(stats, F.col(by).eqNullSafe(F.col("set_key")))
     x = F.col(value).cast("double")

@@ -405,9 +405,8 @@ def stat_integers(spark, sf_dir):
     """Integer totals beyond what a double holds exactly."""
     items = fixtures.table(spark, sf_dir, "lineitem")
     large = (F.col("l_orderkey") * 1_000_003 + F.lit(10_000_000_000_007)).alias("large")
-    return summary.statistics(items.select("l_returnflag", large), "large", "l_returnflag").select(
-        "l_returnflag", "total"
-    )
+    stats = summary.statistics(items.select("l_returnflag", large), "large", "l_returnflag")
+    return summary.with_integer_totals(stats.select("l_returnflag", "total"))
 
 
 @register

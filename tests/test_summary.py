@@ -131,3 +131,15 @@ def test_indented_json_document(spark, tmp_path):
     (tmp_path / "one.json").write_text(text)
     row = load_json(spark, str(tmp_path / "one.json"), indented=True).first()
     assert (row.name, row.stats.n) == ("x", 3)
+
+
+def test_integer_totals_beyond_64_bits(spark):
+    rows = spark.createDataFrame([("a", 2**62)] * 3 + [("b", 5), ("c", -(2**63))], "k string, x bigint")
+    stats = summary.statistics(rows, "x", "k")
+    expected = {"a": 3 * 2**62, "b": 5, "c": -(2**63)}
+    assert {r.k: int(r.total) for r in stats.collect()} == expected
+    assert {r.k: int(r.total) for r in summary.with_integer_totals(stats).collect()} == expected
+    small = summary.with_integer_totals(stats.where("k <> 'a'"))
+    assert small.schema["total"].dataType.simpleString() == "bigint"
+    assert {r.k: r.total for r in small.collect()} == {"b": 5, "c": -(2**63)}
+    assert int(summary.analyze(rows, "x").first().total) == sum(r.x for r in rows.collect())
