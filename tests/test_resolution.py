@@ -439,6 +439,45 @@ def test_methods_that_may_run_instead(spark):
     ]
 
 
+FAR = {
+    "far/__init__.py": "from .a import *\n",
+    "far/a.py": "from .b import Top as Renamed\nimport nothing\n",
+    "far/b.py": "from .c import Top\n",
+    "far/c.py": "class Top:\n    pass\n",
+    "far/sub/__init__.py": "",
+    "far/sub/leaf.py": "from ..c import Top\nfrom nowhere import f\n",
+    "use/one.py": "import far\nclass One(far.Renamed):\n    pass\n",
+    "use/two.py": "import far.sub as s\nclass Two(s.leaf.Top):\n    pass\n",
+    "use/three.py": "from use import two\nclass Three(two.Two):\n    pass\n",
+    "unrelated.py": "from use.one import One as f\nfrom far import *\nf()\n",
+}
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 12])
+def test_ancestors_follow_from_the_imports_of_bases(spark, monkeypatch, rounds):
+    from test_extract import scratch_path
+
+    from switchboard.operators import extract, resolve
+
+    monkeypatch.setattr(resolve, "MAX_ROUNDS", rounds)
+    corpus = spark.createDataFrame(list(FAR.items()), "path string, source string")
+    facts = extract.write_facts(corpus, f"{scratch_path(spark, 'far')}/facts", extract.NAMING)
+    assert not {r.kind for r in facts.collect()} & {"call", "flow"}
+    short = lambda name: name.split(".")[-1]
+    found = {(short(r["class"]), short(r.ancestor), len(r.place)) for r in extract.ancestors(facts).collect()}
+    assert found == {
+        *(("One", "One", 0), ("Two", "Two", 0), ("Three", "Three", 0)),
+        *(("One", "Top", 1), ("Two", "Top", 1), ("Three", "Two", 1), ("Three", "Top", 2)),
+    }
+    if rounds == 12:
+        imports = facts.where("kind = 'import'")
+        kept = resolve._imports_of_bases(
+            facts, imports, resolve._last_definitions(extract._definitions(facts))
+        )
+        assert kept.where("path = 'unrelated.py'").isEmpty()
+        assert not kept.where("path = 'far/sub/leaf.py'").isEmpty()
+
+
 def test_empty_corpus(spark):
     _, methods, calls = graph_of(spark, {})
     assert methods.count() == calls.count() == 0
