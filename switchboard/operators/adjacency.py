@@ -32,7 +32,7 @@ def callers_all(graph: CallGraph, names: DataFrame | None = None) -> DataFrame:
 def caller_rows(graph: CallGraph, edges: DataFrame, names: DataFrame) -> DataFrame:
     """(fn, <columns of edges>, caller) for distinct edges: a row per name of an edge's end."""
     named = skew_join(
-        edges,
+        graph.reaching_methods(edges, "callee_id"),
         names.select("fn", "method_id"),
         on=("callee_id", "method_id"),
         spread=[c for c in edges.columns if c != "callee_id"],
@@ -195,7 +195,7 @@ def calls_with_callee(graph: CallGraph) -> DataFrame:
 def _merge(graph: CallGraph, key: str, heavy: DataFrame | None) -> DataFrame:
     """Call rows may be exact copies of each other, which no hash of theirs could separate. Those
     of heavy keys become (row, copies), are joined, and are expanded again."""
-    rows, calls = graph.method_rows, graph.calls
+    rows, calls = graph.method_rows, graph.reaching_methods(graph.calls, key)
     columns = [*(c for c in rows.columns if c != "seq"), *calls.columns]
     on = F.col(key) == F.col("method_id")
     if heavy is None:

@@ -118,6 +118,15 @@ class CallGraph:
     def call_count(self) -> int:
         return self.row_counts[1]
 
+    def reaching_methods(self, calls: DataFrame, key: str) -> DataFrame:
+        """The calls or edges, for a join of ``key`` with the method ids, without those that have
+        no id there; they may be most of all rows, and all have one key. Usually no method has it."""
+        return calls.where(F.col(key) != UNRESOLVED_ID) if self.none_is_unresolved else calls
+
+    @cached_property
+    def none_is_unresolved(self) -> bool:
+        return self.method_rows.where(F.col("method_id") == UNRESOLVED_ID).isEmpty()
+
     @cached_property
     def heavy_callees(self) -> DataFrame | None:
         return find_heavy_keys(self.calls, "callee_id", self.call_count)

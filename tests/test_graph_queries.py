@@ -394,3 +394,20 @@ def test_stats_without_known_files(spark):
     row = lookup.graph_stats(graph).first()
     assert (row.methods_file, row.calls_file) == (None, None)
     assert (row.methods_loaded, row.calls_loaded) == (False, False)
+
+
+@pytest.mark.parametrize("has_method", [False, True])
+def test_unresolved_calls_meet_methods_only_where_one_has_their_id(spark, has_method):
+    methods = [("1", "a.py:<module>.f", "", "a", 1), ("2", "a.py:<module>.g", "", "a", 2)]
+    methods += [("-1", "a.py:<module>.odd", "", "a", 3)] if has_method else []
+    columns = "method_id string, full_name string, signature string, file string, seq bigint"
+    rows = spark.createDataFrame(methods, columns)
+    sites = [("1", "f", "a", "2", "g", "a", "a", "7")] + 30 * [("2", "g", "a", "-1", "x", "a", "a", "8")]
+    calls = spark.createDataFrame(sites, ", ".join(f"{c} string" for c in CALL_COLUMNS))
+    graph = CallGraph(rows, calls)
+    kept = 31 if has_method else 1
+    assert graph.reaching_methods(calls, "callee_id").count() == kept
+    assert adjacency.calls_with_callee(graph).count() == kept
+    found = {tuple(row) for row in adjacency.callers_all(graph).collect()}
+    odd = {("odd", "a.py:<module>.g")} if has_method else set()
+    assert found == {("g", "a.py:<module>.f")} | odd
