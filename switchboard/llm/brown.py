@@ -3,15 +3,17 @@ scored by class transitions and word emissions.
 
 All corpus statistics come from whole training texts. The steps, each a Spark job:
 
-1. Context words: every word that makes up at least ``MIN_SHARE`` of some slice of text is a
-   candidate; the most frequent ``CONTEXTS`` of them are the contexts.
+1. Context words to begin with: every word that makes up at least ``MIN_SHARE`` of some slice of
+   text is a candidate; the most frequent ``CONTEXTS`` of them are taken.
 2. A vector per word: how often it occurs, and how often after and before each context word.
 3. Exchange: class counts are frozen, every word moves to the class that gives its contexts the
    highest likelihood, counts are taken again; ``rounds`` times. The class of a word is a function
    of its vector and the frozen counts, so no table of classes is kept between rounds.
-4. Texts are grouped into chunks of bounded size. Each chunk asks for its distinct words once,
-   gets counts and classes back, and turns its texts into sequences of classes.
-5. Class transitions are summed over the training sequences, and all sequences are scored.
+4. Texts are grouped into chunks of bounded size. Each chunk asks for its distinct words once and
+   gets counts and classes back. The first time it counts for each word the classes beside it, so
+   that every word is a context of its neighbours; the exchange is done again on these vectors.
+5. The second time each chunk turns its texts into sequences of the new classes. Class transitions
+   are summed over the training sequences, and all sequences are scored.
 
 Only tables of at most classes x contexts numbers reach the driver or are sent to all tasks.
 """
@@ -25,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from switchboard.llm.common import ask_small_batches, id_and_text, slices, stored
+from switchboard.llm.common import ask_small_batches, id_and_text, slices
 from switchboard.llm.words import U64, Words, split_words
+from switchboard.operators.skew import stored
 
 CONTEXTS = 64
 MIN_SHARE = 0.0005
@@ -68,13 +71,14 @@ def score_texts(
     vectors = stored(_word_vectors(train, contexts), "word-vectors")
     sums = vectors.agg(F.count("*"), F.sum("n"), F.count_if(F.col("n") == 1)).first()
     n_words, n_tokens, n_once = (int(value or 0) for value in sums)
-    model = _exchange(vectors, classes, rounds)
-    known = _assigned(vectors, model)
+    known = _assigned(vectors, _exchange(vectors, classes, rounds, CONTEXTS), classes, CONTEXTS)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_chunks = max(1, -(-total // CHUNK_BYTES))
+    vectors = stored(_class_vectors(rows.where(~F.col("held_out")), known, n_chunks, classes), "class-vectors")
+    known = _assigned(vectors, _exchange(vectors, classes, rounds, classes), classes, classes)
     sizes = np.zeros(classes + 1)
     for row in known.groupBy("word_class").agg(F.sum("n").alias("n")).collect():
         sizes[row.word_class] = row.n
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks = max(1, -(-total // CHUNK_BYTES))
     sequences = stored(_sequences(rows, known, n_chunks, sizes, n_words, n_tokens), "sequences")
     log_next = _transitions(sequences, classes, n_tokens, n_once, sizes)
     return _scored(sequences, log_next, n_tokens)
@@ -125,6 +129,12 @@ def _word_vectors(train: DataFrame, contexts: list[int]) -> DataFrame:
         if found:
             yield _packed(*(np.concatenate(parts) for parts in zip(*found)))
 
+    return _merged(train.mapInArrow(count, WORD_VECTOR))
+
+
+def _merged(vectors: DataFrame) -> DataFrame:
+    """One vector per word, the sum of its vectors."""
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -140,17 +150,14 @@ def _word_vectors(train: DataFrame, contexts: list[int]) -> DataFrame:
         if held is not None:
             yield _packed(*_unpacked(held))
 
-    each = train.mapInArrow(count, WORD_VECTOR)
-    return each.repartition("word").sortWithinPartitions("word").mapInArrow(merge, WORD_VECTOR)
+    dealt = vectors.repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(merge, WORD_VECTOR)
 
 
 def _pairs(words: Words, contexts: np.ndarray):
     """Counted (word, code): code 0 for the word itself, 1 + i after and CONTEXTS + 1 + i before
     context word i. The end of a text is its own context, also of the first word."""
-    tokens = _with_ends(words)
-    begins = words.bounds[:-1] + np.arange(words.n_rows)
-    before = np.concatenate([[END], tokens[:-1]])
-    before[begins] = END
+    tokens, before = _neighbours(words)
     codes = [np.zeros(len(tokens), np.int64)]
     parts = [tokens]
     if len(contexts):
@@ -162,6 +169,14 @@ def _pairs(words: Words, contexts: np.ndarray):
     return _summed(np.concatenate(parts), np.concatenate(codes), None)
 
 
+def _neighbours(words: Words):
+    """All tokens, and the token before each."""
+    tokens = _with_ends(words)
+    before = np.concatenate([np.full(1, END), tokens[:-1]])
+    before[words.bounds[:-1] + np.arange(words.n_rows)] = END
+    return tokens, before
+
+
 def _summed(words: np.ndarray, codes: np.ndarray, n: np.ndarray | None):
     order = np.lexsort((codes, words))
     words, codes = words[order], codes[order]
@@ -215,20 +230,20 @@ def _unpacked(batch: pa.RecordBatch):
 
 # 3. Exchange
 
-# Class 0 holds the end of a text alone. A word that never stands beside a context word is in
-# class 1.
+# Class 0 holds the end of a text alone. Words that never stand beside a context word are dealt
+# over the classes by their hash.
 
 
-def _exchange(vectors: DataFrame, classes: int, rounds: int) -> np.ndarray | None:
+def _exchange(vectors: DataFrame, classes: int, rounds: int, contexts: int) -> np.ndarray | None:
     """Log weights (class, 1 + code) of the last frozen counts; column 0 is the class size."""
     model = None
-    width = 1 + 2 * CONTEXTS
+    width = 1 + 2 * contexts
     for _ in range(rounds):
 
         def run(batches, model=model):
             sums = np.zeros((classes, width))
             for batch in batches:
-                found, rows, codes, n = _classes_of(batch, model, classes)
+                found, rows, codes, n = _classes_of(batch, model, classes, contexts)
                 np.add.at(sums, (found, 0), batch.column("n").to_numpy())
                 np.add.at(sums, (found[rows], codes), n)
             at = np.nonzero(sums)
@@ -238,14 +253,14 @@ def _exchange(vectors: DataFrame, classes: int, rounds: int) -> np.ndarray | Non
         sums = np.zeros((classes, width))
         for row in counts.agg(F.sum("n").alias("n")).collect():
             sums[row.c, row.code] = row.n
-        model = _log_weights(sums)
+        model = _log_weights(sums, contexts)
     return model
 
 
-def _log_weights(sums: np.ndarray) -> np.ndarray:
+def _log_weights(sums: np.ndarray, contexts: int) -> np.ndarray:
     """Weights whose sum over a word's contexts is its log likelihood in a class: of the class
     given the word before, and of the word after given the class."""
-    after, before = sums[:, 1 : 1 + CONTEXTS] + 0.1, sums[:, 1 + CONTEXTS :] + 0.1
+    after, before = sums[:, 1 : 1 + contexts] + 0.1, sums[:, 1 + contexts :] + 0.1
     return np.hstack(
         [
             -np.log(sums[:, :1] + 1.0),
@@ -255,15 +270,24 @@ def _log_weights(sums: np.ndarray) -> np.ndarray:
     )
 
 
-def _classes_of(batch: pa.RecordBatch, model: np.ndarray | None, classes: int):
+def _classes_of(
+    batch: pa.RecordBatch, model: np.ndarray | None, classes: int, contexts: int
+):
     """The class of each word of a batch, and the context entries of the batch."""
     words, totals = (batch.column(c).to_numpy() for c in ("word", "n"))
     rows, codes, n = _entries(batch)
+    begins = codes > 2 * contexts
+    begin_rows, begin_classes = rows[begins], codes[begins] - 1 - 2 * contexts
+    rows, codes, n = rows[~begins], codes[~begins], n[~begins]
     found = np.ones(batch.num_rows, np.int64)
     free = np.arange(2, classes)
+    if len(free):
+        found = free[(words.view(U64) % U64(len(free))).astype(np.int64)]
     if len(rows) and len(free):
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        if model is None:
+        if model is None and len(begin_rows):
+            found[begin_rows] = begin_classes
+        elif model is None:
             # To begin with, words go by the context they have most often.
             order = np.lexsort((-n, rows))
             found[rows[first]] = free[codes[order][first] % len(free)]
@@ -275,12 +299,13 @@ def _classes_of(batch: pa.RecordBatch, model: np.ndarray | None, classes: int):
     return found, rows, codes, n
 
 
-def _assigned(vectors: DataFrame, model: np.ndarray | None) -> DataFrame:
-    classes = len(model)
+def _assigned(
+    vectors: DataFrame, model: np.ndarray | None, classes: int, contexts: int
+) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = _classes_of(batch, model, classes)[0].astype(np.int16)
+            found = _classes_of(batch, model, classes, contexts)[0].astype(np.int16)
             yield _batch(word=batch.column("word"), n=batch.column("n"), word_class=found)
 
     return vectors.mapInArrow(run, "word long, n long, word_class short")
@@ -294,14 +319,8 @@ SEQUENCE = (
 )
 
 
-def _sequences(
-    rows: DataFrame,
-    known: DataFrame,
-    n_chunks: int,
-    sizes: np.ndarray,
-    n_words: int,
-    n_tokens: int,
-) -> DataFrame:
+def _with_answers(rows: DataFrame, known: DataFrame, n_chunks: int):
+    """The texts dealt into chunks, and for each chunk what is known of its words, as groups."""
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))
     dealt = rows.withColumn("chunk", chunk).repartition("chunk")
 
@@ -321,15 +340,58 @@ def _sequences(
 
     # All columns, so that this and the last step read the same exchange of texts.
     asked = dealt.mapInArrow(ask, "chunk long, word long")
-    answers = asked.distinct().join(known, "word")
+    return dealt, asked.distinct().join(known, "word").groupBy("chunk")
+
+
+def _class_vectors(
+    train: DataFrame, known: DataFrame, n_chunks: int, classes: int
+) -> DataFrame:
+    """Word vectors whose contexts are the classes of all words that stand beside a word: code
+    1 + c after and classes + 1 + c before a word of class c. Behind these stands the code of the
+    word's own class, from which it goes on."""
+    dealt, answers = _with_answers(train, known, n_chunks)
+
+    def count(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        vocabulary, _, word_classes = _by_word(answers)
+        found = []
+        for batch in texts.combine_chunks().to_batches():
+            for part in slices(batch):
+                tokens, before = _neighbours(split_words(part.column("text")))
+                of_tokens, of_before = (
+                    word_classes[np.searchsorted(vocabulary, of)] for of in (tokens, before)
+                )
+                words = np.concatenate([tokens, tokens, before])
+                codes = [np.zeros(len(tokens), np.int64), 1 + of_before, 1 + classes + of_tokens]
+                found.append(_summed(words, np.concatenate(codes), None))
+        found.append(_summed(vocabulary, 1 + 2 * classes + word_classes, None))
+        return pa.Table.from_batches([_packed(*(np.concatenate(parts) for parts in zip(*found)))])
+
+    grouped = dealt.groupBy("chunk").cogroup(answers)
+    return _merged(grouped.applyInArrow(lambda left, right: count(left, right), WORD_VECTOR))
+
+
+def _by_word(answers: pa.Table):
+    """Words in order, with their counts and classes."""
+    words = answers.column("word").to_numpy().view(U64)
+    order = np.argsort(words)
+    counts = answers.column("n").to_numpy()[order]
+    return words[order], counts, answers.column("word_class").to_numpy()[order].astype(np.int64)
+
+
+def _sequences(
+    rows: DataFrame,
+    known: DataFrame,
+    n_chunks: int,
+    sizes: np.ndarray,
+    n_words: int,
+    n_tokens: int,
+) -> DataFrame:
+    dealt, answers = _with_answers(rows, known, n_chunks)
     log_sizes = np.log10(np.maximum(sizes, 1))
     log_base = np.log10(n_tokens + ADDED * (n_words + 1))
 
     def encode(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        order = np.argsort(answers.column("word").to_numpy().view(U64))
-        vocabulary = answers.column("word").to_numpy().view(U64)[order]
-        counts = answers.column("n").to_numpy()[order]
-        classes = answers.column("word_class").to_numpy()[order].astype(np.int64)
+        vocabulary, counts, classes = _by_word(answers)
         made = []
         for batch in texts.combine_chunks().to_batches():
             for part in slices(batch):
@@ -360,7 +422,7 @@ def _sequences(
                 )
         return pa.Table.from_batches(made)
 
-    grouped = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    grouped = dealt.groupBy("chunk").cogroup(answers)
     return grouped.applyInArrow(lambda left, right: encode(left, right), SEQUENCE)
 
 

@@ -4,10 +4,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from odd_texts import ODD_TEXTS, look_alikes
 from pyspark.sql import functions as F
 
 from switchboard.llm import brown
+from switchboard.llm.words import split_words
+
 
 def held_out():
     return F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False))
@@ -62,6 +65,43 @@ def test_classes_tell_word_order(documents):
     assert rows[30].n_known == 1 and rows[30].score < 0
 
 
+def test_words_beside_no_frequent_word_have_contexts(documents):
+    """Words that alternate, and never stand beside one of the most frequent words."""
+    rng = random.Random(5)
+    fillers = [f"f{i}" for i in range(brown.CONTEXTS + 16)]
+    left, right = ([f"{side}{i}" for i in range(10)] for side in "lr")
+    pairs = [(10 * i + 1, " ".join(3 * fillers)) for i in range(200)]
+    for i in range(40):
+        inner = " ".join(f"{rng.choice(left)} {rng.choice(right)}" for _ in range(12))
+        pairs.append((10 * i + 2, f"begin {inner} end"))
+    ordered = " ".join(f"{one} {two}" for one, two in zip(left, right))
+    pairs += [(10, f"begin {ordered} end"), (20, f"begin {' '.join(left + right)} end")]
+    rows = {r.doc_id: r for r in brown.score_texts(documents(pairs), held_out()).collect()}
+    assert rows[10].n_known == rows[20].n_known == 23
+    assert rows[10].score > rows[20].score + 3
+
+
+def test_every_word_is_a_context(documents):
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(0, 40))) for _ in range(60)]
+    hashes = {w: int(split_words(pa.array([w])).hashes[0]) for w in pool} | {None: int(brown.END)}
+    word_class = {h: h % 7 for h in hashes.values()}
+    expected = Counter()
+    for text in texts:
+        found = [hashes[t] for t in tokens(text)]
+        for before, word in zip([int(brown.END), *found], found):
+            expected.update([(word, 0), (word, 1 + word_class[before]), (before, 8 + word_class[word])])
+    docs = documents(list(enumerate(texts)))
+    signed = [(h - 2**64 if h >= 2**63 else h, 1, c) for h, c in word_class.items()]
+    known = docs.sparkSession.createDataFrame(signed, "word long, n long, word_class short")
+    got = Counter()
+    for batch in brown._class_vectors(docs, known, 3, 7).toArrow().combine_chunks().to_batches():
+        words, codes, n = brown._unpacked(batch)
+        got.update({(int(w), int(c)): int(k) for w, c, k in zip(words, codes, n) if c < 15})
+    assert got == expected
+
+
 def test_probabilities_sum_to_one(spark):
     rows = [(1, False, 3, 3, 0.0, 0.0, bytes([2, 3 + brown.RARE, 0]))]
     sequences = spark.createDataFrame(rows, brown.SEQUENCE)
