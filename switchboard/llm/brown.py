@@ -157,7 +157,10 @@ def _merged(vectors: DataFrame) -> DataFrame:
 def _pairs(words: Words, contexts: np.ndarray):
     """Counted (word, code): code 0 for the word itself, 1 + i after and CONTEXTS + 1 + i before
     context word i. The end of a text is its own context, also of the first word."""
-    tokens, before = _neighbours(words)
+    tokens = _with_ends(words)
+    begins = words.bounds[:-1] + np.arange(words.n_rows)
+    before = np.concatenate([[END], tokens[:-1]])
+    before[begins] = END
     codes = [np.zeros(len(tokens), np.int64)]
     parts = [tokens]
     if len(contexts):
@@ -169,14 +172,6 @@ def _pairs(words: Words, contexts: np.ndarray):
     return _summed(np.concatenate(parts), np.concatenate(codes), None)
 
 
-def _neighbours(words: Words):
-    """All tokens, and the token before each."""
-    tokens = _with_ends(words)
-    before = np.concatenate([np.full(1, END), tokens[:-1]])
-    before[words.bounds[:-1] + np.arange(words.n_rows)] = END
-    return tokens, before
-
-
 def _summed(words: np.ndarray, codes: np.ndarray, n: np.ndarray | None):
     order = np.lexsort((codes, words))
     words, codes = words[order], codes[order]
@@ -353,18 +348,23 @@ def _class_vectors(
 
     def count(texts: pa.Table, answers: pa.Table) -> pa.Table:
         vocabulary, _, word_classes = _by_word(answers)
-        found = []
+        end = np.searchsorted(vocabulary, END)
+        # A word and a code as one number, the word by its place in the vocabulary.
+        width = 1 + 3 * classes
+        own = np.arange(len(vocabulary)) * width + 1 + 2 * classes + word_classes
+        found = [(own, np.ones(len(own), np.int64))]
         for batch in texts.combine_chunks().to_batches():
             for part in slices(batch):
-                tokens, before = _neighbours(split_words(part.column("text")))
-                of_tokens, of_before = (
-                    word_classes[np.searchsorted(vocabulary, of)] for of in (tokens, before)
-                )
-                words = np.concatenate([tokens, tokens, before])
-                codes = [np.zeros(len(tokens), np.int64), 1 + of_before, 1 + classes + of_tokens]
-                found.append(_summed(words, np.concatenate(codes), None))
-        found.append(_summed(vocabulary, 1 + 2 * classes + word_classes, None))
-        return pa.Table.from_batches([_packed(*(np.concatenate(parts) for parts in zip(*found)))])
+                words = split_words(part.column("text"))
+                at = np.searchsorted(vocabulary, _with_ends(words))
+                before = np.concatenate([[end], at[:-1]])
+                before[words.bounds[:-1] + np.arange(words.n_rows)] = end
+                after_word = at * width + 1 + word_classes[before]
+                before_word = before * width + 1 + classes + word_classes[at]
+                keys = np.concatenate([at * width, after_word, before_word])
+                found.append(np.unique(keys, return_counts=True))
+        keys, n = (np.concatenate(parts) for parts in zip(*found))
+        return pa.Table.from_batches([_packed(vocabulary[keys // width], keys % width, n)])
 
     grouped = dealt.groupBy("chunk").cogroup(answers)
     return _merged(grouped.applyInArrow(lambda left, right: count(left, right), WORD_VECTOR))
