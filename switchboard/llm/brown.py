@@ -34,6 +34,10 @@ from switchboard.operators.skew import stored
 CONTEXTS = 64
 MIN_SHARE = 0.0005
 CHUNK_BYTES = 24_000_000
+# Words that make one batch of vectors.
+VECTORS = 10_000
+# Codes are below this, three to each context at most.
+CODES = 1 << 10
 # The token after the last word of a text; no hash of a word is looked up under it by chance
 # more often than two words share a hash.
 END = np.uint64(0xE9D0E9D0E9D0E9D0)
@@ -123,11 +127,11 @@ def _word_vectors(train: DataFrame, contexts: list[int]) -> DataFrame:
                 words = split_words(part.column("text"))
                 found.append(_pairs(words, sorted_contexts))
                 size += len(words.data)
-            if size >= CHUNK_BYTES:
-                yield _packed(*(np.concatenate(parts) for parts in zip(*found)))
-                found, size = [], 0
+                if size >= CHUNK_BYTES:
+                    yield from _packed(*(np.concatenate(parts) for parts in zip(*found)))
+                    found, size = [], 0
         if found:
-            yield _packed(*(np.concatenate(parts) for parts in zip(*found)))
+            yield from _packed(*(np.concatenate(parts) for parts in zip(*found)))
 
     return _merged(train.mapInArrow(count, WORD_VECTOR))
 
@@ -146,9 +150,9 @@ def _merged(vectors: DataFrame) -> DataFrame:
             done = int(np.searchsorted(words, words[-1]))  # the last word may go on
             held = batch.slice(done)
             if done:
-                yield _packed(*_unpacked(batch.slice(0, done)))
+                yield from _packed(*_unpacked(batch.slice(0, done)))
         if held is not None:
-            yield _packed(*_unpacked(held))
+            yield from _packed(*_unpacked(held))
 
     dealt = vectors.repartition("word").sortWithinPartitions("word")
     return dealt.mapInArrow(merge, WORD_VECTOR)
@@ -157,37 +161,43 @@ def _merged(vectors: DataFrame) -> DataFrame:
 def _pairs(words: Words, contexts: np.ndarray):
     """Counted (word, code): code 0 for the word itself, 1 + i after and CONTEXTS + 1 + i before
     context word i. The end of a text is its own context, also of the first word."""
-    tokens = _with_ends(words)
+    distinct, tokens = np.unique(_with_ends(words), return_inverse=True)
     begins = words.bounds[:-1] + np.arange(words.n_rows)
-    before = np.concatenate([[END], tokens[:-1]])
-    before[begins] = END
-    codes = [np.zeros(len(tokens), np.int64)]
-    parts = [tokens]
+    before = np.concatenate([tokens[-1:], tokens[:-1]])
+    before[begins] = np.searchsorted(distinct, END)
+    # A word and a code as one number, the word by its place among the distinct ones.
+    width = 1 + 2 * CONTEXTS
+    keys = [tokens * width]
     if len(contexts):
+        at = np.minimum(np.searchsorted(contexts, distinct), len(contexts) - 1)
+        code = np.where(contexts[at] == distinct, at, -1)
         for near, owner, base in ((before, tokens, 1), (tokens, before, 1 + CONTEXTS)):
-            at = np.minimum(np.searchsorted(contexts, near), len(contexts) - 1)
-            hit = contexts[at] == near
-            parts.append(owner[hit])
-            codes.append(at[hit] + base)
-    return _summed(np.concatenate(parts), np.concatenate(codes), None)
-
-
-def _summed(words: np.ndarray, codes: np.ndarray, n: np.ndarray | None):
-    order = np.lexsort((codes, words))
-    words, codes = words[order], codes[order]
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (codes[1:] != codes[:-1])
-    first = np.flatnonzero(new)
-    if n is None:
-        sums = np.diff(np.append(first, len(words)))
-    else:
-        sums = np.add.reduceat(n[order], first) if len(first) else n[:0]
-    return words[first], codes[first], sums.astype(np.int64)
-
-
-def _packed(words: np.ndarray, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """A row per word. Each entry of ``contexts`` is 8 bytes: the code above a 48-bit count."""
-    words, codes, n = _summed(words, codes, n)
+            hit = code[near] >= 0
+            keys.append(owner[hit] * width + code[near[hit]] + base)
+    keys, n = np.unique(np.concatenate(keys), return_counts=True)
+    return distinct[keys // width], keys % width, n
+
+
+def _packed(words: np.ndarray, codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Vectors of the words in order, whatever the order of their counts, each in one row."""
+    distinct, place = np.unique(words, return_inverse=True)
+    keys = place * CODES + codes
+    del place
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    n = np.add.reduceat(n[order], first) if len(first) else n[:0]
+    del order
+    keys = keys[first]
+    for start in range(0, len(distinct), VECTORS):
+        low, high = np.searchsorted(keys, [start * CODES, (start + VECTORS) * CODES])
+        own = keys[low:high]
+        yield _vectors(distinct[own // CODES], own % CODES, n[low:high])
+
+
+def _vectors(words: np.ndarray, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row per word, from counts in order of word and code. Each entry of ``contexts`` is 8
+    bytes: the code above a 48-bit count."""
     own = codes == 0
     entries = ((codes.astype(U64) << U64(48)) | n.astype(U64))[~own]
     first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]) if len(words) else [])
@@ -347,27 +357,40 @@ def _class_vectors(
     dealt, answers = _with_answers(train, known, n_chunks)
 
     def count(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        vocabulary, _, word_classes = _by_word(answers)
-        end = np.searchsorted(vocabulary, END)
-        # A word and a code as one number, the word by its place in the vocabulary.
-        width = 1 + 3 * classes
-        own = np.arange(len(vocabulary)) * width + 1 + 2 * classes + word_classes
-        found = [(own, np.ones(len(own), np.int64))]
-        for batch in texts.combine_chunks().to_batches():
-            for part in slices(batch):
-                words = split_words(part.column("text"))
-                at = np.searchsorted(vocabulary, _with_ends(words))
-                before = np.concatenate([[end], at[:-1]])
-                before[words.bounds[:-1] + np.arange(words.n_rows)] = end
-                after_word = at * width + 1 + word_classes[before]
-                before_word = before * width + 1 + classes + word_classes[at]
-                keys = np.concatenate([at * width, after_word, before_word])
-                found.append(np.unique(keys, return_counts=True))
-        keys, n = (np.concatenate(parts) for parts in zip(*found))
-        return pa.Table.from_batches([_packed(vocabulary[keys // width], keys % width, n)])
+        return _count_classes(texts, answers, classes)
 
     grouped = dealt.groupBy("chunk").cogroup(answers)
-    return _merged(grouped.applyInArrow(lambda left, right: count(left, right), WORD_VECTOR))
+    return _merged(grouped.applyInArrow(count, WORD_VECTOR))
+
+
+def _count_classes(texts: pa.Table, answers: pa.Table, classes: int) -> pa.Table:
+    vocabulary, _, word_classes = _by_word(answers)
+    end = np.searchsorted(vocabulary, END)
+    # A word and a code as one number, the word by its place in the vocabulary. All numbers of the
+    # chunk are sorted in place, and what is made of them is made for some words at a time.
+    width = 1 + 3 * classes
+    number = np.uint32 if len(vocabulary) * width < 1 << 32 else np.int64
+    found = [(np.arange(len(vocabulary)) * width + 1 + 2 * classes + word_classes).astype(number)]
+    for batch in texts.to_batches():
+        for part in slices(batch):
+            words = split_words(part.column("text"))
+            at = np.searchsorted(vocabulary, _with_ends(words))
+            before = np.concatenate([[end], at[:-1]])
+            before[words.bounds[:-1] + np.arange(words.n_rows)] = end
+            after_word = at * width + 1 + word_classes[before]
+            before_word = before * width + 1 + classes + word_classes[at]
+            found += [keys.astype(number) for keys in (at * width, after_word, before_word)]
+    keys = np.concatenate(found)
+    del found
+    keys.sort()
+    made = []
+    for start in range(0, len(vocabulary), VECTORS):
+        stop = min(start + VECTORS, len(vocabulary))
+        low, high = np.searchsorted(keys, np.array([start * width, stop * width], number))
+        own, n = np.unique(keys[low:high], return_counts=True)
+        own = own.astype(np.int64)
+        made.append(_vectors(vocabulary[own // width], own % width, n))
+    return pa.Table.from_batches(made)
 
 
 def _by_word(answers: pa.Table):
@@ -393,7 +416,7 @@ def _sequences(
     def encode(texts: pa.Table, answers: pa.Table) -> pa.Table:
         vocabulary, counts, classes = _by_word(answers)
         made = []
-        for batch in texts.combine_chunks().to_batches():
+        for batch in texts.to_batches():
             for part in slices(batch):
                 tokens = _with_ends(words := split_words(part.column("text")))
                 at = np.searchsorted(vocabulary, tokens)

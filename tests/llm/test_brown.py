@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -102,6 +103,22 @@ def test_every_word_is_a_context(documents):
     assert got == expected
 
 
+def test_counting_classes_holds_little_more_than_the_chunk():
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.2, 300) % 100_000) for _ in range(2_000)]
+    hashes = np.unique(np.append(split_words(pa.array(texts)).hashes, brown.END))
+    answers = {"word": hashes.view(np.int64), "n": hashes % 9, "word_class": (hashes % 64).astype(np.int16)}
+    chunk = pa.table({"text": texts})
+    tracemalloc.start()
+    vectors = brown._count_classes(chunk, pa.table(answers), 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(vectors.column("word").to_numpy().view(np.uint64) != hashes) == 0
+    assert max(b.num_rows for b in vectors.to_batches()) <= brown.VECTORS < len(hashes)
+    # Three numbers of 4 bytes a token, twice, and a slice of text: 48 bytes; it was 118.
+    assert peak < 70 * 301 * len(texts)
+
+
 def test_probabilities_sum_to_one(spark):
     rows = [(1, False, 3, 3, 0.0, 0.0, bytes([2, 3 + brown.RARE, 0]))]
     sequences = spark.createDataFrame(rows, brown.SEQUENCE)
