@@ -48,9 +48,11 @@ def read_quoted_csv(spark: SparkSession, path: str, multi_line: bool | None = No
 
     quoted_names = ["`" + name.replace("`", "``") + "`" for name in header.columns]
     schema = ", ".join(f"{n} string" for n in quoted_names)
-    records = _records(_lines(spark, path))
-    is_usual = _state_after(F.col("record"), F.lit(START)) < UNUSUAL
+    records, all_usual = _records(_lines(spark, path))
     parsed = F.from_csv("record", schema, READ_OPTIONS)
+    if all_usual:
+        return records.select(parsed.alias("fields"), "seq").select("fields.*", "seq")
+    is_usual = _state_after(F.col("record"), F.lit(START)) < UNUSUAL
     by_parser = records.where(is_usual).select(parsed.alias("fields"), "seq")
     by_module = _parsed_by_module(records.where(~is_usual), schema)
     return by_parser.unionByName(by_module).select("fields.*", "seq")
@@ -106,23 +108,27 @@ def _state_after(text: Column, state: Column) -> Column:
 
     first = passed(state, F.get(pieces, F.lit(0)))
     rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.aggregate(rest, first.cast("int"), lambda s, piece: step(s, piece).cast("int"))
-
+    after = F.aggregate(rest, first.cast("int"), lambda s, piece: step(s, piece).cast("int"))
+    # Most lines of a long text have no quote: they are one piece.
+    return F.when(F.contains(text, F.lit('"')), after).otherwise(passed(state, text).cast("int"))
 
-def _ends_inside(state: int) -> Column:
-    return (_state_after(F.col("value"), F.lit(state)) % UNUSUAL == QUOTED).cast("int")
 
-
-def _records(lines: DataFrame) -> DataFrame:
-    """(record, seq) without header records and blank lines."""
+def _records(lines: DataFrame) -> tuple[DataFrame, bool]:
+    """(record, seq) without header records and blank lines, and whether the built-in parser reads
+    all of them as the csv module does."""
     lines = lines.select(
         "value",
         F.col("seq.file").alias("file"),
         F.col("seq.block").alias("block"),
         F.col("seq.line").alias("line"),
-        _ends_inside(START).alias("from_outside"),
-        _ends_inside(QUOTED).alias("from_inside"),
+        _state_after(F.col("value"), F.lit(START)).alias("state_outside"),
+        _state_after(F.col("value"), F.lit(QUOTED)).alias("state_inside"),
     )
+    for side in ("outside", "inside"):
+        state = F.col(f"state_{side}")
+        ends_inside = (state % UNUSUAL == QUOTED).cast("int")
+        lines = lines.withColumns({f"from_{side}": ends_inside, f"unusual_{side}": state >= UNUSUAL})
+    lines = lines.drop("state_outside", "state_inside")
     splits = stored(_splits(lines.drop("value")), "csv-splits")
     _check_closed(splits)
     in_split = Window.partitionBy("file", "block").orderBy("line")
@@ -135,9 +141,12 @@ def _records(lines: DataFrame) -> DataFrame:
     own = F.struct("block", start.alias("line"))
     head = F.when(start.isNotNull(), own).otherwise(F.col("begun"))
     is_header = (F.col("block") == 0) & (F.col("place") == 1)
-    marked = marked.withColumn("head", head).where(~is_header)
-
     is_whole = (F.col("inside") == 0) & (F.col("from_outside") == 0)
+    marked = marked.withColumns({"head": head, "is_whole": is_whole}).where(~is_header)
+    # Written once: whole records and the lines of longer ones are both read from it.
+    marked = stored(marked.select("value", "file", "block", "line", "head", "is_whole"), "csv-lines")
+
+    is_whole = F.col("is_whole")
     whole = marked.where(is_whole & (F.col("value") != "")).select(
         F.col("value").alias("record"),
         _seq(F.col("file"), F.col("block"), F.col("line")).alias("seq"),
@@ -153,7 +162,7 @@ def _records(lines: DataFrame) -> DataFrame:
             _seq(F.col("file"), F.col("head.block"), F.col("head.line")).alias("seq"),
         )
     )
-    return whole.unionByName(stitched)
+    return whole.unionByName(stitched), splits.where("unusual").isEmpty()
 
 
 def _with_sides(
@@ -191,14 +200,17 @@ def _splits(lines: DataFrame) -> DataFrame:
     sides = {"outside": F.lit(0), "inside": F.lit(1)}
     lines = _with_sides(lines, ["file", "block"], "line", sides)
 
-    def after(side: str) -> Column:
-        return F.when(F.col(side) == 0, F.col("from_outside")).otherwise(F.col("from_inside"))
+    def after(side: str, what: str = "from") -> Column:
+        outside, inside = F.col(f"{what}_outside"), F.col(f"{what}_inside")
+        return F.when(F.col(side) == 0, outside).otherwise(inside)
 
     splits = lines.groupBy("file", "block").agg(
         F.max_by(after("outside"), "line").alias("from_outside"),
         F.max_by(after("inside"), "line").alias("from_inside"),
         F.max(F.when(F.col("outside") == 0, F.col("line"))).alias("start_if_outside"),
         F.max(F.when(F.col("inside") == 0, F.col("line"))).alias("start_if_inside"),
+        F.max(after("outside", "unusual")).alias("unusual_if_outside"),
+        F.max(after("inside", "unusual")).alias("unusual_if_inside"),
     )
     splits = _with_sides(splits, ["file"], "block", {"open": F.lit(0)})
     is_outside = F.col("open") == 0
@@ -206,6 +218,7 @@ def _splits(lines: DataFrame) -> DataFrame:
     place = F.when(start.isNotNull(), F.struct("block", start.alias("line")))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ends = F.when(is_outside, F.col("from_outside")).otherwise(F.col("from_inside"))
+    unusual = F.when(is_outside, F.col("unusual_if_outside")).otherwise(F.col("unusual_if_inside"))
     return splits.select(
         "file",
         "block",
@@ -213,6 +226,7 @@ def _splits(lines: DataFrame) -> DataFrame:
         F.last(place, ignorenulls=True).over(earlier).alias("begun"),
         place.alias("last_start"),
         ends.alias("ends_inside"),
+        unusual.alias("unusual"),
     )
 
 

@@ -190,3 +190,19 @@ def test_order_of_a_file_in_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert [tuple(r)[:4] for r in found] == rows
+
+
+def test_lines_are_put_together_once(spark, tmp_path):
+    """Windows over the lines are no part of what is read later; the csv module takes part only
+    where some record needs it."""
+    usual = HEADER + as_text(AWKWARD)
+    unusual = usual + '"6"x,"two\nlines"y,"",""\n'
+    for name, text in (("usual", usual), ("unusual", unusual)):
+        path = tmp_path / f"{name}.csv"
+        path.write_text(text, encoding="utf-8")
+        rows = read_quoted_csv(spark, str(path), multi_line=True)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
+        assert ("MapInArrow" in plan) == (name == "unusual")
+        expected = list(csv.reader(io.StringIO(text, newline="")))[1:]
+        assert [list(r)[:4] for r in rows.orderBy("seq").collect()] == expected
