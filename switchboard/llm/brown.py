@@ -214,10 +214,11 @@ def _vectors(words: np.ndarray, codes: np.ndarray, n: np.ndarray) -> pa.RecordBa
 def _entries(batch: pa.RecordBatch):
     """(row, code, count) of all context entries of a batch of word vectors."""
     column = batch.column("contexts")
-    joined = b"".join(value.as_buffer() for value in column)
-    entries = np.frombuffer(joined, U64)
     offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
     rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 8)
+    entries = np.zeros(0, U64)
+    if len(rows):
+        entries = np.frombuffer(column.buffers()[2], U64, len(rows), int(offsets[0]))
     counts = entries & U64((1 << 48) - 1)
     return rows, (entries >> U64(48)).astype(np.int64), counts.astype(np.int64)
 
@@ -249,8 +250,8 @@ def _exchange(vectors: DataFrame, classes: int, rounds: int, contexts: int) -> n
             sums = np.zeros((classes, width))
             for batch in batches:
                 found, rows, codes, n = _classes_of(batch, model, classes, contexts)
-                np.add.at(sums, (found, 0), batch.column("n").to_numpy())
-                np.add.at(sums, (found[rows], codes), n)
+                for c, own, k in ((found, 0, batch.column("n").to_numpy()), (found[rows], codes, n)):
+                    sums += np.bincount(c * width + own, k, sums.size).reshape(sums.shape)
             at = np.nonzero(sums)
             yield _batch(c=at[0], code=at[1], n=sums[at])
 
@@ -297,9 +298,12 @@ def _classes_of(
             order = np.lexsort((-n, rows))
             found[rows[first]] = free[codes[order][first] % len(free)]
         else:
-            fits = np.add.reduceat(model[2:, codes].T * n[:, None], first)
-            fits += model[2:, 0] * totals[rows[first]][:, None]
-            found[rows[first]] = free[fits.argmax(1)]
+            beside = rows[first]
+            counts = np.zeros((len(beside), model.shape[1]))
+            counts[:, 0] = totals[beside]
+            counts[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows)))), codes] = n
+            # Classes that fit alike but for the order of the sum are alike: the first counts.
+            found[beside] = free[np.round(counts @ model[2:].T, 6).argmax(1)]
     found[words.view(U64) == END] = 0
     return found, rows, codes, n
 

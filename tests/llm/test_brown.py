@@ -119,6 +119,26 @@ def test_counting_classes_holds_little_more_than_the_chunk():
     assert peak < 70 * 301 * len(texts)
 
 
+def test_choosing_classes_holds_no_row_of_classes_for_each_context():
+    rng = np.random.default_rng(8)
+    n_words, contexts, classes = 3_000, 64, 64
+    codes = np.concatenate([[0], np.arange(1, 1 + 2 * contexts)])
+    words = np.repeat(np.arange(n_words).astype(np.uint64), len(codes))
+    counts = rng.integers(1, 9, len(words))
+    batch = brown._vectors(words, np.tile(codes, n_words), counts)
+    model = brown._log_weights(rng.integers(0, 50, (classes, len(codes))).astype(float), contexts)
+    tracemalloc.start()
+    found, rows, own, n = brown._classes_of(batch, model, classes, contexts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for word in range(0, n_words, 100):
+        by_hand = counts.reshape(n_words, -1)[word] @ model[2:].T
+        assert math.isclose(by_hand[found[word] - 2], by_hand.max())
+    # Some numbers of 8 bytes for each context; 62 and more were held before.
+    assert len(rows) == len(own) == len(n) == n_words * 2 * contexts
+    assert peak < 20 * 8 * len(n)
+
+
 def test_probabilities_sum_to_one(spark):
     rows = [(1, False, 3, 3, 0.0, 0.0, bytes([2, 3 + brown.RARE, 0]))]
     sequences = spark.createDataFrame(rows, brown.SEQUENCE)
