@@ -288,11 +288,14 @@ def _apply(
 def _touched(
     spark: SparkSession, path: str, methods: DataFrame, chain: list[int], version: int
 ) -> DataFrame:
-    """(<edge>, before, after): call rows of each edge that may give other answers now: all edges
-    of callers of edges that came or went, and all edges with a changed method at an end. Edges
-    are looked at where they are read; only those found are shuffled."""
+    """(<edge>, before, after): call rows of each edge that may give other answers now: edges that
+    came or went, and all edges with a changed method at an end. Edges are looked at where they
+    are read, by their callers; only those found are shuffled, and of these the ones that were
+    there and still are, between the same methods, are dropped."""
     new = _read(spark, path, "edges", [version])
-    callers = new.select("caller_id").union(methods).distinct().withColumn("by_caller", F.lit(1))
+    by_edge = new.select("caller_id", F.lit(0).alias("by_caller"))
+    by_method = methods.select(F.col("method_id").alias("caller_id"), F.lit(1).alias("by_caller"))
+    callers = by_edge.unionByName(by_method).groupBy("caller_id").agg(F.max("by_caller").alias("by_caller"))
     callees = methods.select(F.col("method_id").alias("callee_id"), F.lit(1).alias("by_callee"))
     edges = _read(spark, path, "edges", [*chain, version])
     found = edges.join(stored(callers, "callers"), "caller_id", "left").join(
@@ -302,4 +305,7 @@ def _touched(
     found = found.where("by_caller is not null or by_callee is not null")
     old = F.when(F.col("version") < version, F.col("n")).otherwise(0)
     counts = [F.sum(old).alias("before"), F.sum("n").alias("after")]
-    return stored(found.groupBy(*EDGE).agg(*counts), "touched-edges")
+    counts.append(F.max(F.greatest("by_caller", "by_callee")).alias("by_method"))
+    summed = found.groupBy(*EDGE).agg(*counts)
+    touched = summed.where("by_method = 1 or (before > 0) <> (after > 0)").drop("by_method")
+    return stored(touched, "touched-edges")

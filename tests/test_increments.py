@@ -121,6 +121,25 @@ def test_only_rows_of_changed_files_are_written(spark, tmp_path):
     assert plan._jdf.queryExecution().toString().count("EqualTo(fn,first)") >= 1
 
 
+def test_edges_that_stay_are_not_joined_again(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "stored")
+    methods = [(i, str(i), f"a:f{i}", "", "a" if i < 4 else "b") for i in range(1, 6)]
+    calls = [("1", "", "", callee, "x", "", "c", "") for callee in ("2", "3", "5")]
+    increments.create(frames_of(spark, methods, calls), path)
+    find, found = increments._touched, []
+    monkeypatch.setattr(increments, "_touched", lambda *given: found.append(find(*given)) or found[-1])
+    # Another edge of the same caller comes, one goes, and a method at the end of a third changes.
+    methods[4] = (5, "5", "a:other", "", "b")
+    calls = [("1", "", "", callee, "x", "", "c", "") for callee in ("4", "3", "5")]
+    graph = frames_of(spark, methods, calls)
+    increments.update(graph, path)
+    rows = found[0].collect()
+    assert {(r.callee_id, r.before, r.after) for r in rows} == {("2", 1, 0), ("4", 0, 1), ("5", 1, 1)}
+    stored = increments.open_graph(spark, path)
+    for ask in (adjacency.callers_all, adjacency.callees_all):
+        assert sorted(ask(stored).collect()) == sorted(ask(graph).collect())
+
+
 def test_unfinished_updates_do_not_count(spark, tmp_path, monkeypatch):
     corpus, path = Corpus(6), str(tmp_path / "stored")
     increments.create(frames(spark, *corpus.rows()), path)
