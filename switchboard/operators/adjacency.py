@@ -67,8 +67,8 @@ def callees_all(graph: CallGraph, names: DataFrame | None = None) -> DataFrame:
             heavy=graph.heavy_callers,
         )
     names = graph.names if names is None else names
-    callees = _named_callees(edges, graph.methods, graph.heavy_callees)
-    return _of_callers(graph, callees, names).select("fn", "callee").distinct()
+    # Edges are distinct, and few of a caller's lead to the same name: those meet at the end alone.
+    return callee_rows(graph, edges, names).select("fn", "callee").distinct()
 
 
 def callee_rows(graph: CallGraph, edges: DataFrame, names: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ every special case."""
 
 import json
 import random
+import re
 
 import duckdb
 import pytest
@@ -411,3 +412,10 @@ def test_unresolved_calls_meet_methods_only_where_one_has_their_id(spark, has_me
     found = {tuple(row) for row in adjacency.callers_all(graph).collect()}
     odd = {("odd", "a.py:<module>.g")} if has_method else set()
     assert found == {("g", "a.py:<module>.f")} | odd
+
+
+def test_callees_are_made_distinct_by_name_alone(spark):
+    graph = frames(spark, *random_graph(2))
+    plan = adjacency.callees_all(graph)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"keys=\[fn#\d+, callee#\d+\]", plan)
+    assert not re.search(r"keys=\[caller_id#\d+, callee#\d+\]", plan)
