@@ -481,3 +481,28 @@ def test_ancestors_follow_from_the_imports_of_bases(spark, monkeypatch, rounds):
 def test_empty_corpus(spark):
     _, methods, calls = graph_of(spark, {})
     assert methods.count() == calls.count() == 0
+
+
+def test_an_import_is_looked_up_once_per_folder(spark, monkeypatch):
+    from test_extract import scratch_path
+
+    from switchboard.operators import extract, resolve
+
+    files = {"lib/__init__.py": "", "lib/a.py": "def f():\n    pass\n"}
+    files |= {f"use/u{i}.py": "from lib.a import f\nf()\n" for i in range(20)}
+    files["use/in/v.py"] = files["use/in/w.py"] = "from lib.a import f\n"
+    corpus = spark.createDataFrame(list(files.items()), "path string, source string")
+    facts = extract.write_facts(corpus, scratch_path(spark, "once"))
+    store, seen = resolve.stored, {}
+
+    def watched(rows, label):
+        seen[label] = store(rows, label)
+        return seen[label]
+
+    monkeypatch.setattr(resolve, "stored", watched)
+    names = resolve.known_names(facts, extract._definitions(facts), None)
+    assert seen["asked-imports"].count() == 2
+    links = names.links.where("alias = 'f'").select("import_path", "target_name").collect()
+    assert sorted(tuple(r) for r in links) == sorted(
+        (path, "lib/a.py:<module>.f") for path in files if path.startswith("use/")
+    )
